@@ -2,16 +2,115 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat
 from .common import table
+from .lines import drop_boilerplate
+from .mixing import mix_sources
+from .packing import pack
+from .quality import quality_verdicts
+from .secrets import find_secrets
 from .simhash import near_duplicate_groups
+from .tokens import token_counts
+from .topk import top_k
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with a stale last reply."""
+    whole = chat.conversations(table(spark, sf_dir, "conversations"))
+    pairs = whole.select("conv_id", F.col("turns").alias("chosen"), chat.stale_reply(F.col("turns")).alias("rejected"))
+    made = chat.format_preferences(pairs)
+    out = made.select("conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", *[f(F.col(side)).alias(f"{side}{name}") for side in ("chosen", "rejected") for name, f in (("", chat.completion), ("_mask", chat.mask))])
+    return out
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in proportion to the square root of their documents, as many rows as there are documents."""
+    return mix_sources(table(spark, sf_dir, "documents"), exponent=0.5).withColumn("copy", F.col("copy").cast("long"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return drop_boilerplate(docs, min_sites=3).select("doc_id", "text")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_token_counts": op3_token_counts,
+    "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_secrets": op7_secrets,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn
+  FROM conversations),
+r AS (SELECT conv_id, rn, row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) AS back, text FROM t WHERE role = 'assistant'),
+last AS (SELECT conv_id, max(CASE WHEN back = 1 THEN rn END) AS last_rn, max(CASE WHEN back = 2 THEN text END) AS stale FROM r GROUP BY conv_id),
+b AS (SELECT t.*, CASE WHEN rn = last_rn THEN coalesce(stale, '') ELSE text END AS other FROM t LEFT JOIN last USING (conv_id)),
+n AS (SELECT conv_id, coalesce(min(CASE WHEN other <> text THEN rn END), max(rn) + 1) - 1 AS prompt_turns FROM b GROUP BY conv_id),
+p AS (SELECT b.*, prompt_turns, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body, other || '<|im_end|>' || chr(10) AS body2,
+             CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS flag FROM b JOIN n USING (conv_id))
+SELECT conv_id, CAST(prompt_turns AS BIGINT) AS prompt_turns,
+  coalesce(string_agg(head || body, '' ORDER BY rn) FILTER (WHERE rn <= prompt_turns), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY rn) FILTER (WHERE rn > prompt_turns), '') AS chosen,
+  coalesce(string_agg(length(head) || ':0,' || length(body) || flag, ',' ORDER BY rn) FILTER (WHERE rn > prompt_turns), '') AS chosen_mask,
+  coalesce(string_agg(head || body2, '' ORDER BY rn) FILTER (WHERE rn > prompt_turns), '') AS rejected,
+  coalesce(string_agg(length(head) || ':0,' || length(body2) || flag, ',' ORDER BY rn) FILTER (WHERE rn > prompt_turns), '') AS rejected_mask
+FROM p GROUP BY conv_id, prompt_turns
+""",
+    "op5_mixing": """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, round(pow(CAST(n AS DOUBLE), 0.5) / (SELECT sum(round(pow(CAST(n AS DOUBLE), 0.5), 9)) FROM counts) * (SELECT CAST(sum(n) AS DOUBLE) FROM counts) / n, 12) AS rate FROM counts),
+steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cumulative FROM rates
+          UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cumulative + p * rate / (k + 1) FROM steps WHERE k < 63),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
+c AS (SELECT u.doc_id, count(steps.k) AS n FROM u JOIN steps ON u.source = steps.source AND steps.cumulative <= u.u GROUP BY u.doc_id)
+SELECT d.*, k.copy, CAST(CAST('0x' || substr(md5('18:' || d.doc_id || ':' || k.copy), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS shuffle_key
+FROM documents d JOIN c USING (doc_id) JOIN (SELECT unnest(range(0, 64)) AS copy) k ON k.copy < c.n
+""",
+    "op6_line_dedup": """
+WITH a AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+l AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM a),
+s AS (SELECT bare, min(doc_id) AS keeper FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, '')) >= 3)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.bare IS NULL OR l.doc_id = s.keeper), '') AS text
+FROM l LEFT JOIN s ON l.bare = s.bare GROUP BY l.doc_id
+UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL
+""",
+}
