@@ -16,12 +16,19 @@ from .secrets import find_secrets
 from .simhash import near_duplicate_groups
 from .tokens import token_counts
 from .topk import top_k
+from .toxicity import held_out, learn_lexicon, toxicity_scores
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"), train_rows=20_000)
+    return toxicity_scores(docs, lexicon).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -65,6 +72,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
