@@ -1,8 +1,8 @@
 """All named queries and their SQL."""
 
-from riskloom.plans import panel_queries, risk_queries
+from riskloom.plans import inference_queries, panel_queries, risk_queries
 
 QUERIES, SQL = {}, {}
-for module in (panel_queries, risk_queries):
+for module in (panel_queries, risk_queries, inference_queries):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
