@@ -1,0 +1,183 @@
+"""Special functions, low-discrepancy points and small optimisers in NumPy, for grouped functions."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+from statistics import NormalDist
+
+import numpy as np
+
+
+def beta_inc(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction."""
+    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    swap = x > (a + 1) / (a + b + 2)
+    y = np.where(swap, 1 - x, x)
+    p, q = np.where(swap, b, a), np.where(swap, a, b)
+    tiny = 1e-300
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(p * np.log(np.maximum(y, tiny)) + q * np.log1p(-np.minimum(y, 1 - 1e-16)) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / p
+    c, d = np.ones_like(y), 1 / np.where(abs(1 - (p + q) * y / (p + 1)) < tiny, tiny, 1 - (p + q) * y / (p + 1))
+    f = d.copy()
+    for m in range(1, 200):
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + num * d
+            c = 1 + num / c
+            d, c = 1 / np.where(abs(d) < tiny, tiny, d), np.where(abs(c) < tiny, tiny, c)
+            f *= d * c
+        if np.max(np.abs(d * c - 1)) < 1e-15:
+            break
+    out = np.where(y > 0, front * f, 0.0)
+    return np.where(swap, 1 - out, out)
+
+
+def gamma_inc(a: float, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function: its series, or the continued fraction of the upper one."""
+    x = np.maximum(np.asarray(x, float), 0.0)
+    safe = np.maximum(x, 1e-300)
+    front = np.exp(-x + a * np.log(safe) - math.lgamma(a))
+    term = total = np.full_like(x, 1 / a)
+    for n in range(1, 500):
+        term = term * x / (a + n)
+        total = total + term
+    b = x + 1 - a
+    c, d = np.full_like(x, 1e300), 1 / np.where(b == 0, 1e-300, b)
+    h = d.copy()
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b = b + 2
+        d = 1 / np.where(abs(an * d + b) < 1e-300, 1e-300, an * d + b)
+        c = b + an / c
+        h = h * d * c
+    return np.where(x == 0, 0.0, np.where(x < a + 1, front * total, 1 - front * h))
+
+
+def t_cdf(nu: float, x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    tail = 0.5 * beta_inc(nu / 2, 0.5, nu / (nu + x * x))
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def bisect(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, rounds: int = 80) -> np.ndarray:
+    """Where a rising function crosses zero, elementwise."""
+    low, high = np.array(low, float), np.array(high, float)
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        below = f(middle) < 0
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return (low + high) / 2
+
+
+def t_quantile(nu: float, u: np.ndarray) -> np.ndarray:
+    u = np.clip(np.asarray(u, float), 1e-10, 1 - 1e-10)
+    wide = np.full_like(u, 10.0)
+    while (t_cdf(nu, wide) < np.maximum(u, 1 - u)).any():
+        wide *= 2
+    return bisect(lambda x: t_cdf(nu, x) - u, -wide, wide, 70)
+
+
+def t_tail_mean(nu: float, x: np.ndarray) -> np.ndarray:
+    """E[T; T > x] of a Student t variable."""
+    x = np.asarray(x, float)
+    log_f = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - (nu + 1) / 2 * np.log1p(x * x / nu)
+    return np.exp(log_f) * (nu + x * x) / (nu - 1)
+
+
+def chi2_sf(x: float, k: int) -> float:
+    return float(1 - gamma_inc(k / 2, np.array([x / 2]))[0])
+
+
+def chi2_quantile(nu: float, u: np.ndarray) -> np.ndarray:
+    u = np.asarray(u, float)
+    return bisect(lambda x: gamma_inc(nu / 2, x / 2) - u, np.zeros_like(u), np.full_like(u, nu + 40 * math.sqrt(2 * nu) + 40), 60)
+
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    inverse = NormalDist().inv_cdf
+    return np.vectorize(inverse, otypes=[float])(np.clip(u, 1e-10, 1 - 1e-10))
+
+
+def low_discrepancy(n: int, dims: int, seed: int) -> np.ndarray:
+    """n points in the unit cube: multiples of the powers of a generalised golden ratio, from a seeded start.
+
+    Stands in for scrambled Sobol points, whose streams differ between libraries;
+    results agree in distribution only.
+    """
+    g = 2.0
+    for _ in range(60):
+        g = (1 + g) ** (1 / (dims + 1))
+    return np.mod(np.random.default_rng(seed).random(dims) + np.arange(1, n + 1)[:, None] * g ** -np.arange(1.0, dims + 1), 1.0)
+
+
+def minimise(f: Callable[[np.ndarray], float], x0: Sequence[float], low: Sequence[float], high: Sequence[float], rounds: int = 150, tolerance: float = 1e-7) -> tuple[np.ndarray, float, bool, int]:
+    """Quasi-Newton descent inside a box: central differences, BFGS on the free coordinates, projected backtracking. (x, value, converged, rounds)."""
+    low, high = np.asarray(low, float), np.asarray(high, float)
+    x = np.clip(np.asarray(x0, float), low, high)
+    n, value = len(x), f(x)
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        g = np.empty(n)
+        for k in range(n):
+            step = 1e-6 * max(1.0, abs(x[k]))
+            a, b = x.copy(), x.copy()
+            a[k], b[k] = min(x[k] + step, high[k]), max(x[k] - step, low[k])
+            g[k] = (f(a) - f(b)) / max(a[k] - b[k], 1e-300)
+        return g
+
+    g, inverse = slope(x), np.eye(n)
+    for done in range(rounds):
+        free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
+        if np.abs(g[free]).max(initial=0.0) < tolerance:
+            return x, value, True, done
+        way = np.where(free, -(inverse @ np.where(free, g, 0.0)), 0.0)
+        if way @ g >= 0:
+            inverse, way = np.eye(n), np.where(free, -g, 0.0)
+        size = min(1.0, 2.0 / max(np.abs(way).max(), 1e-300))
+        while size > 1e-14:
+            y = np.clip(x + size * way, low, high)
+            new = f(y)
+            if new <= value + 1e-4 * (g @ (y - x)):
+                break
+            size /= 2
+        else:
+            return x, value, bool(np.abs(g[free]).max() < 1e-3), done
+        g_new = slope(y)
+        s, t = y - x, g_new - g
+        flat = value - new < 1e-12 * max(1.0, abs(value))
+        x, value, g = y, new, g_new
+        if s @ t > 1e-12:
+            rho, eye = 1 / (s @ t), np.eye(n)
+            inverse = (eye - rho * np.outer(s, t)) @ inverse @ (eye - rho * np.outer(t, s)) + rho * np.outer(s, s)
+        if flat:
+            return x, value, True, done + 1
+    return x, value, False, rounds
+
+
+def to_simplex(x: np.ndarray) -> np.ndarray:
+    """The nearest point with non-negative parts that sum to one."""
+    u = np.sort(x)[::-1]
+    c = (np.cumsum(u) - 1) / np.arange(1, len(x) + 1)
+    return np.maximum(x - c[np.nonzero(u > c)[0][-1]], 0.0)
+
+
+def minimise_on_simplexes(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x0: np.ndarray, parts: int, rounds: int = 120) -> tuple[np.ndarray, float]:
+    """Projected gradient descent over ``parts`` simplexes side by side."""
+    project = lambda x: np.concatenate([to_simplex(p) for p in np.split(x, parts)])
+    x = project(np.asarray(x0, float))
+    value, g = f(x)
+    size = 1.0
+    for _ in range(rounds):
+        while size > 1e-12:
+            y = project(x - size * g)
+            new, g_new = f(y)
+            if new <= value - 1e-4 * ((x - y) @ (x - y)) / size:
+                break
+            size /= 2
+        else:
+            break
+        done = value - new < 1e-12 * max(1.0, abs(value))
+        x, value, g, size = y, new, g_new, size * 2
+        if done:
+            break
+    return x, value

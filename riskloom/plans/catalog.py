@@ -1,8 +1,8 @@
 """All named queries and their SQL."""
 
-from riskloom.plans import inference_queries, panel_queries, risk_queries
+from riskloom.plans import inference_queries, model_queries, panel_queries, risk_queries
 
 QUERIES, SQL = {}, {}
-for module in (panel_queries, risk_queries, inference_queries):
+for module in (panel_queries, risk_queries, inference_queries, model_queries):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -1,0 +1,106 @@
+"""Queries of fitted models. Optimisers have no SQL form; tests hold them against known facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.functions.columns import r6
+from riskloom.operators import filters as G
+from riskloom.operators import models as M
+from riskloom.operators.reshape import basis_long
+from riskloom.operators.risk import realised
+from riskloom.plans.base import panel, returns, scores
+
+QUERIES, SQL = {}, {}
+P = G.Garch()
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def calendar(spark, d):
+    return panel(spark, d).select("t", "d")
+
+
+def percent(spark, d):
+    return basis_long(returns(spark, d)).withColumn("x", 100 * F.col("r"))
+
+
+@query
+def garch_fit(spark, d):
+    """Twenty marginal fits a year on the 750 rows before its cutoff."""
+    return M.fit_garch(M.yearly_windows(percent(spark, d), calendar(spark, d), 750), ["year", "reference", "node"], "x")
+
+
+@query
+def fhs_fitted(spark, d):
+    """Persistence and unconditional variance of each yearly fit."""
+    f = garch_fit(spark, d)
+    return f.select("year", "reference", "node", r6(F.col("alpha") + F.col("beta")).alias("persistence"), r6(F.col("omega") / (1 - F.col("alpha") - F.col("beta"))).alias("long_run_variance"))
+
+
+@query
+def ewma_gauss(spark, d):
+    return M.gaussian_risk(M.covariance_rows(G.ewma_covariance(returns(spark, d))).where("t > 20"))
+
+
+@query
+def radial(spark, d):
+    r = returns(spark, d)
+    return M.radial_risk(M.covariance_rows(G.ewma_covariance(r)).where("t > 20"), r, 250)
+
+
+@query
+def tcop_parameters(spark, d):
+    return M.copula_parameters(G.filtered(returns(spark, d), P), calendar(spark, d))
+
+
+@query
+def tcop(spark, d):
+    return M.copula_risk(G.filtered(returns(spark, d), P), calendar(spark, d), P.omega, P.alpha, P.beta, P.mu)
+
+
+@query
+def bekk(spark, d):
+    return M.bekk_risk(returns(spark, d), calendar(spark, d))
+
+
+@query
+def direct_two_step(spark, d):
+    labels = realised(returns(spark, d)).withColumnRenamed("t", "s").where(F.col("book").isin("funded_assets", "net_cashflows"))
+    return M.direct_risk(labels, calendar(spark, d))
+
+
+def combined(spark, d, rule: str):
+    s = scores(spark, d).where(F.col("book").isin("funded_assets", "net_cashflows"))
+    return M.combination_weights(s, calendar(spark, d), ["HS60", "HS120", "HS250"]).where(F.col("rule") == rule)
+
+
+@query
+def taylor_opt(spark, d):
+    return combined(spark, d, "TAYLOR_OPT")
+
+
+@query
+def tw_relative(spark, d):
+    return combined(spark, d, "TW_RELATIVE")
+
+
+@query
+def tw_min_ridge(spark, d):
+    return combined(spark, d, "TW_MIN_RIDGE")
+
+
+@query
+def wald_calibration(spark, d):
+    return M.calibration_tests(scores(spark, d))
+
+
+@query
+def parameter_bootstrap(spark, d):
+    """Twenty block resamples of the last cutoff's window, each with all twenty nodes refitted."""
+    w = M.yearly_windows(percent(spark, d), calendar(spark, d), 750)
+    last = w.agg(F.max("year").alias("last"))
+    return M.bootstrap_parameters(w.join(F.broadcast(last), F.col("year") == F.col("last")).drop("last"), ["year", "reference", "node"], "x", 20, 20, 7)
