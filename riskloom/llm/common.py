@@ -52,7 +52,8 @@ def map_texts(df: DataFrame, row: Callable[[str], tuple], schema: str, types: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            out = [row(state, t) if setup else row(t) for t in map(str, (x if x is not None else "" for x in batch.column(1).to_pylist()))]
+            texts = (x.as_py() or "" for x in batch.column(1))  # one at a time: a batch of long texts stays in Arrow's memory alone
+            out = [row(state, t) if setup else row(t) for t in texts]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
 

@@ -8,15 +8,21 @@ right, so what follows does not depend on where a chunk began. Where an overlap
 holds no such boundary it is widened, in the end to the whole text. Memory
 follows the chunk, not the text.
 
-The same proof lets short texts reuse the counts of pieces between cuts: each
-distinct piece is encoded by the library once a task.
+Short texts reuse what is known of their parts. Where the tokenizer's split into
+words is one this module can make itself, each distinct word goes through the
+library's model once a task; other texts are cut at the proven boundaries and each distinct
+piece is encoded by the library once.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
 from collections.abc import Callable
+from types import ModuleType
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +31,10 @@ from .common import id_and_text, map_texts
 
 #: Python counts these control characters as white space and the libraries do not.
 CONTROL = re.compile("[\x1c-\x1f]")
+#: Texts in which Python's letters, digits and white space are those of the libraries: Latin, Greek and Cyrillic letters, ASCII, common punctuation. Superscript digits, fractions and the capital sigma, which lower-cases by context, are left out.
+PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u0377\u0384-\u038a\u038e-\u03a1\u03a4-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac]*")
 PIECE = re.compile(r"\s*\S+|\s+")
-MEMO = 300_000
+MEMO = 400_000
 
 
 def stable_at_space(spec: dict) -> bool:
@@ -40,10 +48,29 @@ def stable_at_space(spec: dict) -> bool:
     return before and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True)
 
 
+def word_pattern(spec: dict) -> re.Pattern | None:
+    """The tokenizer's own first split as a pattern of this module's ``re``, equal on PLAIN texts; None if it is another split."""
+    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])[0]
+    kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if first.get("type") == "Split" and kinds == ["NFC", "Replace", "Lowercase"] and first["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+        return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    if first.get("type") == "ByteLevel" and not spec.get("normalizer") and first.get("use_regex", True) and not first.get("add_prefix_space", True):
+        return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+    return None
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if it is printable Latin-1, else one from 256 up in turn."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """A tokenizer file with what it has made of pieces so far; value() turns the ids of a piece into what is kept of them."""
+    """A tokenizer file with what it has made of words and pieces so far; value() turns ids into what is kept of them."""
 
     def __init__(self, path: str, value: Callable[[list[int]], object] = len):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +78,10 @@ class Encoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.stable, self.memo, self.value = stable_at_space(spec), {}, value
+        self.stable, self.memo, self.words, self.value = stable_at_space(spec), {}, {}, value
+        self.model, self.pattern, self.letters = self.tokenizer.model, word_pattern(spec), byte_letters()
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.lower = bool(spec.get("normalizer"))
         first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.split = str.split if first.get("behavior") == "Removed" else PIECE.findall
 
@@ -59,20 +89,40 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False)
 
     def pieces(self, text: str) -> list:
-        """What value() makes of the pieces of the text in turn; all of it is one piece where cuts are not proven."""
-        if not self.stable or CONTROL.search(text):
+        """What value() makes of the parts of the text in turn: words by the model, where the split into words is known to be the library's; else pieces between proven cuts; else the whole."""
+        if self.pattern and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+            found = self.pattern.findall(normalize("NFC", text).lower() if self.lower else text)
+            memo, encode = self.words, self.encode_words
+        elif self.stable and not CONTROL.search(text):
+            found, memo, encode = self.split(text), self.memo, self.encode_pieces
+        else:
             return [self.value(self.whole(text).ids)]
-        found = self.split(text)
-        if new := set(found).difference(self.memo):
-            if len(self.memo) > MEMO:
-                self.memo.clear()
+        if new := set(found).difference(memo):
+            if len(memo) > MEMO:
+                memo.clear()
                 new = set(found)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for piece, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.memo[piece] = self.value(encoded.ids)
-        return list(map(self.memo.__getitem__, found))
+            encode(list(new))
+        return list(map(memo.__getitem__, found))
+
+    def encode_words(self, new: list[str]) -> None:
+        tokenize = self.model.tokenize
+        for word in new:
+            shown = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            self.words[word] = self.value([x.id for x in tokenize(shown)])
+
+    def encode_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for piece, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[piece] = self.value(encoded.ids)
+
+
+def encoder(path: str, value: Callable[[list[int]], object], kind: str) -> Encoder:
+    """The encoder of a file, made once in the life of a Python worker; kind names what value() keeps."""
+    held = sys.modules.setdefault("_kept_encoders", ModuleType("_kept_encoders")).__dict__
+    if (path, kind) not in held:
+        held[path, kind] = Encoder(path, value)
+    return held[path, kind]
 
 
 def spliced_count(encoder: Encoder, text: str, chunk: int, overlap: int) -> int:
@@ -112,8 +162,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     row; other columns are not read; an empty table returns none.
     """
 
-    def row(encoder: Encoder, text: str) -> tuple[int, int, bool]:
-        n = spliced_count(encoder, text, chunk, overlap) if len(text) > chunk else sum(encoder.pieces(text))
+    def row(state: Encoder, text: str) -> tuple[int, int, bool]:
+        n = spliced_count(state, text, chunk, overlap) if len(text) > chunk else sum(state.pieces(text))
         return len(text.encode("utf-8", "surrogatepass")), n, n > limit
 
-    return map_texts(id_and_text(docs, id_col, text_col), row, "n_bytes long, n_tokens long, over_limit boolean", [pa.int64(), pa.int64(), pa.bool_()], lambda: Encoder(tokenizer))
+    return map_texts(id_and_text(docs, id_col, text_col), row, "n_bytes long, n_tokens long, over_limit boolean", [pa.int64(), pa.int64(), pa.bool_()], lambda: encoder(tokenizer, len, "count"))
