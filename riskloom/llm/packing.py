@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts
-from .tokens import Encoder
+from .tokens import Encoder, encoder
 
 
 class Room:
@@ -53,11 +53,11 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, end_id: int) -> DataFrame:
     """(doc_id, doc_tokens, crcs): the checksum of each full sequence of the document's ids, then that of the rest if there is one."""
 
-    def row(encoder: Encoder, text: str) -> tuple[int, list[int]]:
-        ids = b"".join(encoder.pieces(text)) + end_id.to_bytes(4, "little")
+    def row(state: Encoder, text: str) -> tuple[int, list[int]]:
+        ids = b"".join(state.pieces(text)) + end_id.to_bytes(4, "little")
         return len(ids) // 4, [zlib.crc32(ids[k : k + 4 * size]) for k in range(0, len(ids), 4 * size)]
 
-    setup = lambda: Encoder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes())
+    setup = lambda: encoder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes(), "bytes")
     return map_texts(id_and_text(docs, id_col, text_col), row, "doc_tokens long, crcs array<long>", [pa.int64(), pa.list_(pa.int64())], setup)
 
 
