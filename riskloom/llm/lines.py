@@ -34,7 +34,8 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     sketched = cut_lineage(lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("doc_id").alias("keeper")).where(f"sites >= {int(min_sites * (1 - error(lg_k))) - 1}"))
     near = F.abs(F.col("sites") - min_sites) <= 1 + min_sites * error(lg_k)
     unsure = sketched.where(near).select("line")
-    exact = lines.join(unsure, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact")).where(F.col("exact") >= min_sites)
+    sites = lines.select("line", "site").distinct()  # a hot line shrinks to its sites before it meets others
+    exact = sites.join(unsure, "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
     sure = sketched.where(~near & (F.col("sites") >= min_sites)).select("line", "keeper")
     return sure.unionByName(sketched.join(exact, "line").select("line", "keeper"))
 
