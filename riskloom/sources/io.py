@@ -75,7 +75,7 @@ def read_pipe_table(spark: SparkSession, path: str) -> DataFrame:
     """(line, cells) of a Markdown pipe table, its rule left out."""
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^[\s|:-]+$"))
     bare = F.regexp_replace(F.trim("value"), r"^\||\|$", "")
-    return lines.select("line", F.transform(F.split(bare, r"\|"), F.trim).alias("cells"))
+    return lines.select("line", F.transform(F.split(bare, r"\|"), lambda x: F.trim(x)).alias("cells"))
 
 
 def pipe_rows(df: DataFrame, digits: int = 4) -> DataFrame:

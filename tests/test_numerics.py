@@ -1,0 +1,107 @@
+"""Special functions, optimisers and fitted models against known facts."""
+
+import math
+
+import numpy as np
+
+from riskloom.functions import numerics as N
+from riskloom.operators import inference as I
+from riskloom.operators import models as M
+from riskloom.operators.books import REFERENCES, basis
+from riskloom.operators.filters import Garch, variance_path
+
+
+def test_student_t():
+    x = np.linspace(-6, 6, 41)
+    for nu in (2.5, 4.0, 30.0):
+        assert np.allclose(N.t_cdf(nu, x) + N.t_cdf(nu, -x), 1, atol=1e-13)
+        assert np.allclose(N.t_quantile(nu, N.t_cdf(nu, x)), x, atol=1e-6)
+    assert np.allclose(N.t_cdf(1, x), 0.5 + np.arctan(x) / math.pi, atol=1e-12)
+    assert abs(N.t_quantile(4, np.array([0.975]))[0] - 2.7764451) < 1e-6
+
+
+def test_gamma_and_chi2():
+    x = np.array([0.0, 0.1, 1.0, 3.0, 10.0])
+    assert np.allclose(N.gamma_inc(1.0, x), 1 - np.exp(-x), atol=1e-12)
+    assert abs(N.chi2_sf(7.8147279, 3) - 0.05) < 1e-7
+    u = np.array([0.05, 0.5, 0.99])
+    assert np.allclose(N.gamma_inc(2.5, N.chi2_quantile(5, u) / 2), u, atol=1e-9)
+
+
+def test_points_fill_the_cube():
+    u = N.low_discrepancy(4096, 8, 3)
+    assert np.abs(u.mean(axis=0) - 0.5).max() < 0.01 and np.abs(np.corrcoef(u.T) - np.eye(8)).max() < 0.05
+
+
+def test_optimisers():
+    x, value, ok, _ = N.minimise(lambda p: (p[0] - 3) ** 2 + (p[1] + 1) ** 4, [0, 0], [-5, -0.5], [2, 5])
+    assert ok and abs(x[0] - 2) < 1e-5 and abs(x[1] + 0.5) < 1e-5
+    target = np.array([0.7, 0.2, 0.4])
+    y, _ = N.minimise_on_simplexes(lambda p: (float(((p - target) ** 2).sum()), 2 * (p - target)), np.ones(3) / 3, 1)
+    assert abs(y.sum() - 1) < 1e-12 and np.allclose(y, target - 0.1, atol=1e-5)
+
+
+def test_variance_recursions_agree():
+    rng = np.random.default_rng(1)
+    r, p = rng.normal(size=500), Garch(0.1, 0.05, 0.08, 0.9, 1.3)
+    assert np.allclose(variance_path(r, p), M.garch_variance(r, p.mu, p.omega, p.alpha, p.beta, p.h0), rtol=1e-10)
+    changed = r.copy()
+    changed[300:] = 9
+    assert (variance_path(changed, p)[:301] == variance_path(r, p)[:301]).all()
+
+
+def test_garch_fit_beats_the_truth_in_sample():
+    rng, n, h = np.random.default_rng(0), 800, 1.0
+    r = np.empty(n)
+    for k in range(n):
+        r[k] = 0.05 + math.sqrt(h) * rng.standard_t(8) * math.sqrt(6 / 8)
+        h = 0.05 + 0.1 * (r[k] - 0.05) ** 2 + 0.85 * h
+    fit = M.garch_fit(r)
+    v = M.garch_variance(r, 0.05, 0.05, 0.1, 0.85)
+    c = math.lgamma(4.5) - math.lgamma(4) - 0.5 * math.log(math.pi * 6)
+    truth = -np.mean(c - 0.5 * np.log(v) - 4.5 * np.log1p((r - 0.05) ** 2 / (v * 6)))
+    assert fit["converged_starts"] >= 1 and fit["nll"] <= truth and 0 < fit["alpha"] + fit["beta"] < 0.999
+
+
+def test_two_step_risk_without_dynamics():
+    fit = {"mu": -0.01, "omega": 0.09, "alpha": 0.0, "beta": 0.0, "nu": 7.0}
+    z = N.t_quantile(7, N.low_discrepancy(64, 1, 1)[:, 0])
+    x, s = N.t_quantile(7, np.array([0.95])), 0.3 * math.sqrt(5 / 7)
+    q, es = M.two_step_risk(fit, np.array([0.09]), 0.95, z)
+    assert abs(q[0] - (-0.01 + s * x[0])) < 1e-6 and abs(es[0] - (-0.01 + s * N.t_tail_mean(7, x)[0] / 0.05)) < 1e-5
+    moving = fit | {"alpha": 0.1, "beta": 0.8}
+    small, large = (M.two_step_risk(moving, np.array([h]), 0.95, z) for h in (0.09, 0.9))
+    assert large[0] > small[0] and large[1] > small[1]
+
+
+def test_combinations():
+    rng = np.random.default_rng(2)
+    y, v = rng.normal(0.5, 1, 200), rng.normal(1.6, 0.1, (200, 4))
+    e = 1.3 * v
+    a, b, value = M.taylor(y, v, e, 0.95)
+    equal = np.full(4, 0.25)
+    assert abs(a.sum() - 1) < 1e-9 and abs(b.sum() - 1) < 1e-9 and (a >= 0).all()
+    assert value <= np.mean(M.fz0(y, v @ equal, e @ equal, 0.95)) + 1e-12
+    w = M.relative(y, v, e, 0.95)
+    assert abs(w.sum() - 1) < 1e-9
+    assert abs(np.mean(M.fz0(100 * y, 100 * v[:, 0], 100 * e[:, 0], 0.95) - M.fz0(y, v[:, 0], e[:, 0], 0.95)) - math.log(100)) < 1e-12
+
+
+def test_confidence_set():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    x[:, 2] += 1
+    draws = np.stack([x[rng.integers(0, 80, 80)].mean(axis=0) for _ in range(300)])
+    out = I.confidence_set(x.mean(axis=0), draws, ["a", "b", "c"])
+    assert out[0]["model"] == "c" and out[0]["mcs_p"] <= 0.05 and [r["mcs_p"] for r in out] == sorted(r["mcs_p"] for r in out)
+    assert [r["p"] for r in I.confidence_set(7 * x.mean(axis=0) + 3, 7 * draws + 3, ["a", "b", "c"])] == [r["p"] for r in out]
+
+
+def test_basis_and_wald():
+    for ref in REFERENCES:
+        m = np.array([c for _, c in basis(ref)])
+        assert abs(abs(np.linalg.det(m)) - 1) < 1e-12
+    x = np.random.default_rng(4).normal(size=(400, 2))
+    stat, p = M.wald(x, 0)
+    assert abs(stat - 400 * x.mean(axis=0) @ np.linalg.solve(np.cov(x.T, ddof=0), x.mean(axis=0))) < 1e-8 and 0 <= p <= 1
+    assert M.wald(np.column_stack([x[:, 0], x[:, 0]]), 5) == (None, None)
