@@ -24,18 +24,21 @@ def unit(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_count(u: Column, rate: Column, most: int) -> Column:
-    """Inverse Poisson distribution: the number of n >= 0, below most, whose cumulative probability is u or less.
+def poisson_count(u: Column, rate: Column) -> Column:
+    """Inverse Poisson distribution: the number of n >= 0 whose cumulative probability is u or less.
 
-    The probabilities are summed from n = 0 up, each the one before times rate / n.
+    Probabilities are summed from n = 0 up, in logarithms, each the one before
+    times rate / n, to twelve standard deviations and 40 beyond the mean, where
+    less than one in 2**52 is left.
     """
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cumulative"), F.lit(0).alias("n"))
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 40)
+    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("cumulative"), F.lit(0).alias("n"))
 
     def step(state: Column, k: Column) -> Column:
-        p = state["p"] * rate / k
-        return F.struct(p.alias("p"), (state["cumulative"] + p).alias("cumulative"), F.when(state["cumulative"] <= u, state["n"] + 1).otherwise(state["n"]).alias("n"))
+        log_p = state["log_p"] + F.log(rate / k)
+        return F.struct(log_p.alias("log_p"), (state["cumulative"] + F.exp(log_p)).alias("cumulative"), F.when(state["cumulative"] <= u, state["n"] + 1).otherwise(state["n"]).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["n"])
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), most), start, step, lambda s: s["n"])).otherwise(0)
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float] | None, total: int | None, exponent: float) -> DataFrame:
@@ -53,7 +56,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float]
     return weighed.join(F.broadcast(sums)).select("source", F.round(share * want / F.col("n"), 12).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str, float] | None = None, total: int | None = None, exponent: float = 0.5, seed: int = 17, most: int = 64, broadcast_sources: int = 100_000, copy_col: str | None = "copy", shuffle_col: str | None = "shuffle_key") -> DataFrame:
+def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str, float] | None = None, total: int | None = None, exponent: float = 0.5, seed: int = 17, broadcast_sources: int = 100_000, copy_col: str | None = "copy", shuffle_col: str | None = "shuffle_key") -> DataFrame:
     """docs with each row repeated by its Poisson count, in a global pseudo-random order.
 
     weights: target share of each source (any scale; sources left out get none);
@@ -63,17 +66,14 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     that orders them; either may be None to leave it out, and takes a name with
     trailing underscores where docs has the column already. A null source is a
     source of its own (under weights: the one named ""). Rows with the same id,
-    null included, get the same count. A rate is at most most / 4, or the call
-    fails: beyond, cut counts would matter. An empty table returns none.
+    null included, get the same count. An empty table returns none.
 
     The table of rates has a row a source; it is broadcast while it has at most
     broadcast_sources rows. Beyond that the join is dealt by source and one of 64
     salts, so that no source meets in one task.
     """
     rates = source_rates(docs, source_col, weights, total, exponent)
-    n, high = rates.agg(F.count("*"), F.max("rate")).first()
-    if high is not None and high > most / 4:
-        raise ValueError(f"a source would be repeated {high:.1f} times on average; raise most, now {most}")
+    n = rates.count()
     source, rate, salt, copies, shuffle = fresh(docs, "mix_source", "mix_rate", "mix_salt", copy_col or "copy", shuffle_col or "shuffle_key")
     rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate))
     same = docs[f"`{source_col}`"].eqNullSafe(F.col(source))
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
         spread = docs.withColumn(f"{salt}d", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(64)).cast("int"))
         rated = spread.join(salted, spread[f"`{source_col}`"].eqNullSafe(F.col(source)) & (F.col(f"{salt}d") == F.col(salt))).drop(salt, f"{salt}d")
     ident = F.col(f"`{id_col}`")
-    count = poisson_count(unit(seed, ident), F.col(rate), most)
+    count = poisson_count(unit(seed, ident), F.col(rate))
     repeated = rated.withColumn(copies, count).where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     mixed = repeated.withColumn(shuffle, unit(seed + 1, ident, F.col(copies))).orderBy(shuffle, id_col, copies)
     out = [F.col(f"`{c}`") for c in docs.columns]

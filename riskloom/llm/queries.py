@@ -106,12 +106,12 @@ FROM p GROUP BY conv_id, prompt_turns
     "op5_mixing": """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, round(pow(CAST(n AS DOUBLE), 0.5) / (SELECT sum(round(pow(CAST(n AS DOUBLE), 0.5), 9)) FROM counts) * (SELECT CAST(sum(n) AS DOUBLE) FROM counts) / n, 12) AS rate FROM counts),
-steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cumulative FROM rates
-          UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cumulative + p * rate / (k + 1) FROM steps WHERE k < 63),
+steps AS (SELECT source, rate, 0 AS k, -rate AS p, exp(-rate) AS cumulative FROM rates
+          UNION ALL SELECT source, rate, k + 1, p + ln(rate / (k + 1)), cumulative + exp(p + ln(rate / (k + 1))) FROM steps WHERE k < rate + 12 * sqrt(rate) + 40),
 u AS (SELECT *, CAST(CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
 c AS (SELECT u.doc_id, count(steps.k) AS n FROM u JOIN steps ON u.source = steps.source AND steps.cumulative <= u.u GROUP BY u.doc_id)
 SELECT d.*, k.copy, CAST(CAST('0x' || substr(md5('18:' || d.doc_id || ':' || k.copy), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS shuffle_key
-FROM documents d JOIN c USING (doc_id) JOIN (SELECT unnest(range(0, 64)) AS copy) k ON k.copy < c.n
+FROM documents d JOIN c USING (doc_id) JOIN (SELECT unnest(range(0, (SELECT max(n) FROM c))) AS copy) k ON k.copy < c.n
 """,
     "op6_line_dedup": """
 WITH a AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
