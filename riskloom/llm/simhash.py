@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, fresh, id_and_text, map_texts
 
 LEAF, FANOUT, CHUNK = 16, 8, 1 << 14
+#: Hash functions of a sketch, and their odd factors and addends.
+SKETCH = 128
+SALTS = np.random.default_rng(20240229).integers(0, 1 << 63, (SKETCH, 2), np.uint64) | np.array([1, 0], np.uint64)
 
 
 def fingerprint(text: str, shingle_words: int = 4, seed: int = 42) -> int:
@@ -47,6 +50,29 @@ def fingerprint(text: str, shingle_words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def sketch(text: str, shingle_words: int, size: int = SKETCH) -> bytes:
+    """MinHash of the set of word shingles, a byte for each of ``size`` hash functions; equal bytes estimate the Jaccard similarity. Empty for a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return b""
+    joined, hashes = b" ".join(words), xxhash.xxh32_intdigest
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    starts = [0, *ends[:-1]]
+    width = min(shingle_words, len(words))
+    n, low = len(words) - width + 1, np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    odd, add = SALTS[:size, 0], SALTS[:size, 1]
+    for at in range(0, n, 1 << 12):
+        to = min(n, at + (1 << 12))
+        h = np.fromiter({hashes(joined[a : b - 1]) for a, b in zip(starts[at:to], ends[at + width - 1 : to + width - 1], strict=True)}, np.uint64)
+        low = np.minimum(low, ((h[:, None] * odd + add) >> np.uint64(11)).min(axis=0))
+    return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(doc_id, fp, sketch) of each row."""
+    return map_texts(id_and_text(docs, id_col, text_col), lambda t: (fingerprint(t, shingle_words), sketch(t, shingle_words)), "fp long, sketch binary", [pa.int64(), pa.binary()])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """(doc_id, fp) of each row; null and empty texts have fingerprint zero."""
     return map_texts(id_and_text(docs, id_col, text_col), lambda t: (fingerprint(t, shingle_words),), "fp long", [pa.int64()])
@@ -77,8 +103,10 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Levels of nodes over distinct codes in Gray order; each node holds its first and last member, the mask of bits that all members share, and their pattern."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    def __init__(self, codes: np.ndarray, sketches: np.ndarray | None = None, similarity: float = 0.0):
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.codes, self.similarity = codes[self.order], similarity
+        self.sketches = None if sketches is None else sketches[self.order]
         n = len(codes)
         edges = np.arange(0, n, LEAF)
         low, high = np.bitwise_and.reduceat(self.codes, edges), np.bitwise_or.reduceat(self.codes, edges)
@@ -91,7 +119,7 @@ class GrayIndex:
             low, high, edges = np.bitwise_and.reduceat(low, up), np.bitwise_or.reduceat(high, up), edges[up]
 
     def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links (code, smallest-placed code of its component) that span the components."""
+        """Links (member, a member of its component) that span the components, as places in the codes given. With sketches, near codes link only if their sketches agree often enough."""
         n = len(self.codes)
         label, stack = np.arange(n), [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -103,7 +131,7 @@ class GrayIndex:
             shared = mask[i] & mask[j]
             least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared).astype(np.int64)
             keep = least <= max_bits
-            whole = keep & (least + np.bitwise_count(~shared) <= max_bits)
+            whole = keep & (least + np.bitwise_count(~shared) <= max_bits) & (self.sketches is None)
             for a, b in zip(i[whole], j[whole], strict=True):  # every member links with every other
                 members = np.concatenate([np.arange(first[a], last[a]), np.arange(first[b], last[b])])
                 label = merge(label, members, np.full(len(members), members[0]))
@@ -127,9 +155,15 @@ class GrayIndex:
                     y = np.minimum(first[j[k : k + 1024], None] + steps, n - 1)
                     near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= max_bits
                     p, q, r = np.nonzero(near)
-                    label = merge(label, x[p, q], y[p, r])
+                    a, b = x[p, q], y[p, r]
+                    if self.sketches is not None:
+                        open_ = label[a] != label[b]
+                        a, b = a[open_], b[open_]
+                        alike = np.concatenate([(self.sketches[a[m : m + CHUNK]] == self.sketches[b[m : m + CHUNK]]).mean(axis=1) >= self.similarity for m in range(0, max(len(a), 1), CHUNK)])
+                        a, b = a[alike], b[alike]
+                    label = merge(label, a, b)
         roots = np.flatnonzero(label != np.arange(n))
-        return self.codes[roots], self.codes[label[roots]]
+        return self.order[roots], self.order[label[roots]]
 
 
 def block_masks(max_bits: int, blocks: int) -> list[int]:
@@ -147,39 +181,44 @@ def blocks_for(distinct: int, max_bits: int) -> int:
     return blocks
 
 
-def links(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """Spanning links (u, v) between the distinct fingerprints ``fp`` of nodes."""
+def links(nodes: DataFrame, max_bits: int, blocks: int, similarity: float | None = None) -> DataFrame:
+    """Spanning links (u, v) between nodes (node, fp), or (node, fp, sketch) where a similarity is asked for as well."""
     masks = block_masks(max_bits, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    node = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
-    dealt = nodes.select("fp", node.alias("node")).select("node.block", "node.bits", "fp").repartition("block", "bits").sortWithinPartitions("block", "bits")
+    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
+    kept = ["fp", "node"] + (["sketch"] if similarity is not None else [])
+    dealt = nodes.select(*kept, upper.alias("upper")).select("upper.block", "upper.bits", *kept).repartition("block", "bits").sortWithinPartitions("block", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush(block: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
+            block, bits, fp, node, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             new = np.flatnonzero((block[1:] != block[:-1]) | (bits[1:] != bits[:-1])) + 1
-            found = [([], [])]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in zip(np.append(0, new), np.append(new, len(fp)), strict=True):
                 if b - a > 1:
-                    found.append(GrayIndex(fp[a:b].view(np.uint64)).forest(max_bits))
-            u, v = (np.concatenate([np.asarray(x[k], np.uint64) for x in found]).view(np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    index = GrayIndex(fp[a:b].view(np.uint64), more[0][a:b] if more else None, similarity or 0.0)
+                    found.append(tuple(node[a:b][x] for x in index.forest(max_bits)))
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            rows = tuple(batch.column(k).to_numpy() for k in range(3))
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
+            rows = [batch.column(k).to_numpy() for k in range(4)]
+            if similarity is not None:
+                rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             # Rows after the last change of node stay for the next batch.
             change = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = change[-1] + 1 if len(change) else 0
             if cut or (held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0])):
                 held.append(tuple(x[:cut] for x in rows))
-                yield flush(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-                held = []
+                yield flush()
             held.append(tuple(x[cut:] for x in rows))
         if held:
-            yield flush(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield flush()
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -205,33 +244,41 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that
-    links of at most max_bits differing bits reach. Null and empty texts have
-    fingerprint zero and link like others; rows with a null id keep it, take
+    links of at most max_bits differing bits reach; with a similarity, links
+    whose shingle sets also have that Jaccard similarity by MinHash sketches of
+    128 bytes (texts without words have only each other). Null and empty texts
+    have fingerprint zero and link like others; rows with a null id keep it, take
     part in links, and never name a component unless all its ids are null (then
     null). Repeated rows each return a row. Other columns are not read; an empty
-    table returns none. blocks None: chosen from the number of distinct fingerprints.
+    table returns none. blocks None: chosen from the number of distinct nodes.
     """
-    fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    stars = components(links(nodes, max_bits, blocks or blocks_for(nodes.count(), max_bits)))
-    rooted = cut_lineage(nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    if similarity is None:
+        fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words).withColumn("node", F.col("fp")))
+        nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("low"))
+    else:
+        made = sketched(docs, id_col, text_col, shingle_words).withColumn("sketch", F.rpad("sketch", SKETCH, F.lit(b"\0")))
+        fps = cut_lineage(made.withColumn("node", F.xxhash64("fp", "sketch")))
+        nodes = fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("low"))
+    nodes = cut_lineage(nodes)
+    stars = components(links(nodes, max_bits, blocks or blocks_for(nodes.count(), max_bits), similarity)).withColumnRenamed("node", "member")
+    rooted = cut_lineage(nodes.join(stars, nodes.node == stars.member, "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("root", "component_id")
-    named = cut_lineage(rooted.join(lowest, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut_lineage(rooted.join(lowest, "root", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
+    return fps.select("doc_id", "fp", "node").join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4, broadcast_ids: int = 4_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4, similarity: float | None = None, broadcast_ids: int = 4_000_000) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest id; all columns stay.
 
     The ids that go are broadcast while there are at most broadcast_ids of them
     (8 bytes each) and joined by a shuffle beyond. Repeated ids keep one row.
     Rows with a null id stay as they are.
     """
-    groups = cut_lineage(near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits).select("doc_id", "component_id"))
+    groups = cut_lineage(near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits, similarity=similarity).select("doc_id", "component_id"))
     ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
     ids = cut_lineage(ids.where("low <> doc_id or times > 1"))
     gone = ids.where("low <> doc_id").select(F.col("doc_id").alias(key := fresh(docs, "gone_id")[0]))

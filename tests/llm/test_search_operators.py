@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from riskloom.llm.simhash import GrayIndex, block_masks, blocks_for, components, drop_near_duplicates, fingerprint, gray_rank, merge, near_duplicate_groups
+from riskloom.llm.simhash import GrayIndex, block_masks, blocks_for, components, drop_near_duplicates, fingerprint, gray_rank, merge, near_duplicate_groups, sketch
 from riskloom.llm.topk import KDTree, top_k
 
 
@@ -35,8 +35,7 @@ def test_gray_index(n, spread):
     bits = rng.random((n, 64)) < (spread / 128)
     codes = np.unique(np.packbits(bits, axis=1).view(np.uint64).ravel() ^ np.uint64(0x123456789ABCDEF))
     u, v = GrayIndex(codes).forest(4)
-    place = {c: k for k, c in enumerate(codes)}
-    label = merge(np.arange(len(codes)), np.array([place[x] for x in u], int), np.array([place[x] for x in v], int))
+    label = merge(np.arange(len(codes)), u, v)
     assert (label == brute_components(codes, 4)).all()
 
 
@@ -52,6 +51,28 @@ def test_gray_rank_and_blocks():
     assert blocks_for(1000, 4) == 5 < blocks_for(10**9, 4)
 
 
+def test_similarity_of_sets(spark):
+    """With a similarity asked for, close fingerprints link only where the shingle sets agree, and copies always do."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=400)
+    near = [base[:k] + ["changed"] + base[k + 1 :] for k in range(0, 400, 40)]
+    hot = "boiler plate line that repeats " * 200  # decides every bit of the fingerprint
+    rows = [(0, " ".join(base), "x"), *[(1 + k, " ".join(w), "x") for k, w in enumerate(near)], (50, " ".join(base), "x"), (60, hot + "one tail " + " ".join(rng.choices(words, k=60)), "x"), (61, hot + "other tail " + " ".join(rng.choices(words, k=60)), "x"), (70, None, "x"), (71, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
+    out = {r.doc_id: r for r in near_duplicate_groups(docs, shingle_words=5, max_bits=8, similarity=0.8).collect()}
+    codes = {k: int(r.fingerprint, 16) for k, r in out.items()}
+    linked = [k for k in range(11) if bin(codes[k] ^ codes[0]).count("1") <= 8]
+    assert len(linked) > 3 and all(out[k].component_id == 0 for k in linked) and out[50].component_id == 0
+    assert out[61].component_id == 61 and out[60].component_id == 60 and out[71].component_id == 70
+    assert bin(codes[60] ^ codes[61]).count("1") <= 8
+    a, b = (set(zip(*(x.split()[k:] for k in range(5)))) for x in (rows[0][1], rows[3][1]))
+    x, y = (np.frombuffer(sketch(r[1], 5), np.uint8) for r in (rows[0], rows[3]))
+    assert abs((x == y).mean() - len(a & b) / len(a | b)) < 0.12
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs, max_bits=8, similarity=0.8).collect()) == sorted({r.component_id for r in out.values()})
+    assert near_duplicate_groups(docs.limit(0), similarity=0.8).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 6000 + k) for k in range(50)]
