@@ -12,6 +12,11 @@ pairs of nodes: a pair is dropped once the differences accumulated on shared
 bits exceed ``max_bits``, and taken whole once the bits left open cannot exceed
 it. A node yields a spanning forest of its links, never all pairs; star
 contraction joins the forests into components.
+
+Links by shingle sets take their patterns from MinHash sketches instead, a band
+of bytes each: pairs at the similarity share one with probability 0.998. Leaders
+below a pattern hold such pairs together, and the texts of the components this
+gives are compared by their exact shingle sets.
 """
 
 from __future__ import annotations
@@ -50,27 +55,32 @@ def fingerprint(text: str, shingle_words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def sketch(text: str, shingle_words: int, size: int = SKETCH) -> bytes:
-    """MinHash of the set of word shingles, a byte for each of ``size`` hash functions; equal bytes estimate the Jaccard similarity. Empty for a text without words."""
+def shingle_set(text: str, shingle_words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; empty for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return b""
-    joined, hashes = b" ".join(words), xxhash.xxh32_intdigest
+        return np.zeros(0, np.uint64)
+    joined, hashes = b" ".join(words), xxhash.xxh3_64_intdigest
     ends = list(accumulate((len(w) + 1 for w in words)))
-    starts = [0, *ends[:-1]]
     width = min(shingle_words, len(words))
-    n, low = len(words) - width + 1, np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    found = {hashes(joined[a : b - 1]) for a, b in zip([0, *ends], ends[width - 1 :], strict=False)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def sketch_of(shingles: np.ndarray, size: int = SKETCH) -> bytes:
+    """MinHash of a set of shingle hashes, a byte for each of ``size`` hash functions; equal bytes estimate the Jaccard similarity."""
+    if not len(shingles):
+        return b""
+    low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     odd, add = SALTS[:size, 0], SALTS[:size, 1]
-    for at in range(0, n, 1 << 12):
-        to = min(n, at + (1 << 12))
-        h = np.fromiter({hashes(joined[a : b - 1]) for a, b in zip(starts[at:to], ends[at + width - 1 : to + width - 1], strict=True)}, np.uint64)
-        low = np.minimum(low, ((h[:, None] * odd + add) >> np.uint64(11)).min(axis=0))
+    for at in range(0, len(shingles), 1 << 10):
+        low = np.minimum(low, ((shingles[at : at + (1 << 10), None] * odd + add) >> np.uint64(11)).min(axis=0))
     return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(doc_id, fp, sketch) of each row."""
-    return map_texts(id_and_text(docs, id_col, text_col), lambda t: (fingerprint(t, shingle_words), sketch(t, shingle_words)), "fp long, sketch binary", [pa.int64(), pa.binary()])
+def sketch(text: str, shingle_words: int, size: int = SKETCH) -> bytes:
+    """Sketch of a text's set of word shingles. Empty for a text without words."""
+    return sketch_of(shingle_set(text, shingle_words), size)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
@@ -103,10 +113,9 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Levels of nodes over distinct codes in Gray order; each node holds its first and last member, the mask of bits that all members share, and their pattern."""
 
-    def __init__(self, codes: np.ndarray, sketches: np.ndarray | None = None, similarity: float = 0.0):
+    def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes, self.similarity = codes[self.order], similarity
-        self.sketches = None if sketches is None else sketches[self.order]
+        self.codes = codes[self.order]
         n = len(codes)
         edges = np.arange(0, n, LEAF)
         low, high = np.bitwise_and.reduceat(self.codes, edges), np.bitwise_or.reduceat(self.codes, edges)
@@ -119,7 +128,7 @@ class GrayIndex:
             low, high, edges = np.bitwise_and.reduceat(low, up), np.bitwise_or.reduceat(high, up), edges[up]
 
     def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links (member, a member of its component) that span the components, as places in the codes given. With sketches, near codes link only if their sketches agree often enough."""
+        """Links (member, a member of its component) that span the components, as places in the codes given."""
         n = len(self.codes)
         label, stack = np.arange(n), [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -131,7 +140,7 @@ class GrayIndex:
             shared = mask[i] & mask[j]
             least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared).astype(np.int64)
             keep = least <= max_bits
-            whole = keep & (least + np.bitwise_count(~shared) <= max_bits) & (self.sketches is None)
+            whole = keep & (least + np.bitwise_count(~shared) <= max_bits)
             for a, b in zip(i[whole], j[whole], strict=True):  # every member links with every other
                 members = np.concatenate([np.arange(first[a], last[a]), np.arange(first[b], last[b])])
                 label = merge(label, members, np.full(len(members), members[0]))
@@ -156,11 +165,6 @@ class GrayIndex:
                     near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= max_bits
                     p, q, r = np.nonzero(near)
                     a, b = x[p, q], y[p, r]
-                    if self.sketches is not None:
-                        open_ = label[a] != label[b]
-                        a, b = a[open_], b[open_]
-                        alike = np.concatenate([(self.sketches[a[m : m + CHUNK]] == self.sketches[b[m : m + CHUNK]]).mean(axis=1) >= self.similarity for m in range(0, max(len(a), 1), CHUNK)])
-                        a, b = a[alike], b[alike]
                     label = merge(label, a, b)
         roots = np.flatnonzero(label != np.arange(n))
         return self.order[roots], self.order[label[roots]]
@@ -181,26 +185,24 @@ def blocks_for(distinct: int, max_bits: int) -> int:
     return blocks
 
 
-def links(nodes: DataFrame, max_bits: int, blocks: int, similarity: float | None = None) -> DataFrame:
-    """Spanning links (u, v) between nodes (node, fp), or (node, fp, sketch) where a similarity is asked for as well."""
+def links(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """Spanning links (u, v) between nodes (node, fp)."""
     masks = block_masks(max_bits, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
-    kept = ["fp", "node"] + (["sketch"] if similarity is not None else [])
-    dealt = nodes.select(*kept, upper.alias("upper")).select("upper.block", "upper.bits", *kept).repartition("block", "bits").sortWithinPartitions("block", "bits")
+    dealt = nodes.select("fp", "node", upper.alias("upper")).select("upper.block", "upper.bits", "fp", "node").repartition("block", "bits").sortWithinPartitions("block", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            block, bits, fp, node, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            block, bits, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             new = np.flatnonzero((block[1:] != block[:-1]) | (bits[1:] != bits[:-1])) + 1
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in zip(np.append(0, new), np.append(new, len(fp)), strict=True):
                 if b - a > 1:
-                    index = GrayIndex(fp[a:b].view(np.uint64), more[0][a:b] if more else None, similarity or 0.0)
-                    found.append(tuple(node[a:b][x] for x in index.forest(max_bits)))
+                    found.append(tuple(node[a:b][x] for x in GrayIndex(fp[a:b].view(np.uint64)).forest(max_bits)))
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -208,8 +210,6 @@ def links(nodes: DataFrame, max_bits: int, blocks: int, similarity: float | None
             if not batch.num_rows:
                 continue
             rows = [batch.column(k).to_numpy() for k in range(4)]
-            if similarity is not None:
-                rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             # Rows after the last change of node stay for the next batch.
             change = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = change[-1] + 1 if len(change) else 0
@@ -244,13 +244,197 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+def sketch_bands(similarity: float, missed: float = 0.002) -> tuple[int, int]:
+    """(bytes a band, bands) so that a pair of this similarity agrees on no band with probability missed at most."""
+    for width in range(5, 0, -1):
+        bands = 1 if similarity >= 1 else int(np.ceil(np.log(missed) / np.log1p(-(similarity**width))))
+        if width * bands <= SKETCH:
+            return width, bands
+    return 1, SKETCH
+
+
+class Bucket:
+    """Sketches that share a band, as they stream by; only leaders stay.
+
+    A sketch that agrees with a leader on all but ``slack`` bytes is absorbed, any
+    other one becomes a leader. Differing bytes are a metric, so two sketches with
+    ``near`` equal bytes are both linked to one leader by ``near - slack``.
+    """
+
+    def __init__(self, near: int, slack: int = 12):
+        self.near, self.slack = near, slack
+        self.sketches, self.nodes, self.label = np.zeros((0, SKETCH), np.uint8), [], np.zeros(0, np.int64)
+
+    def add(self, nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+        """Links of these members, one each and one more for each two components they join."""
+        out, free, tag, old = [], np.ones(len(nodes), bool), np.full(len(nodes), -1), len(self.nodes)
+        self.label = np.append(self.label, np.arange(old, old + len(nodes)))
+
+        def attach(rows: np.ndarray, leader: int) -> None:
+            mine, node = self.label[leader], self.nodes[leader]
+            new = rows[tag[rows] < 0]
+            out.extend((int(x), node) for x in nodes[new])
+            tag[new] = mine
+            for other, k in zip(*np.unique(tag[rows], return_index=True), strict=True):
+                if other != mine:
+                    out.append((int(nodes[rows[k]]), node))
+                    self.label[self.label == other] = mine
+                    tag[tag == other] = mine
+
+        for at in range(0, old, 1 << 10):
+            leaders = self.sketches[at : at + (1 << 10)]
+            step = max(1, (1 << 18) // len(leaders))
+            for a in range(0, len(nodes), step):
+                equal = (sketches[a : a + step, None] == leaders).sum(axis=2)
+                for k in np.flatnonzero((equal >= self.near - self.slack).any(axis=0)).tolist():
+                    attach(a + np.flatnonzero(equal[:, k] >= self.near - self.slack), at + k)
+                free[a : a + step] &= (equal < SKETCH - self.slack).all(axis=1)
+        rest, led = np.flatnonzero(free), []
+        while len(rest):
+            first, rest = rest[0], rest[1:]
+            self.nodes.append(int(nodes[first]))
+            led.append(first)
+            mine = len(self.nodes) - 1
+            if tag[first] >= 0:
+                self.label[mine] = tag[first]
+            equal = (sketches[rest] == sketches[first]).sum(axis=1)
+            attach(rest[equal >= self.near - self.slack], mine)
+            rest = rest[equal < SKETCH - self.slack]
+        self.label = self.label[: len(self.nodes)]
+        self.sketches = np.concatenate([self.sketches, sketches[led]])
+        return out
+
+
+def loose_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes (node, sketch) whose components hold together all pairs of the similarity that share a band."""
+    width, bands = sketch_bands(similarity)
+    near = int(SKETCH * similarity - 4 * np.sqrt(SKETCH * similarity * (1 - similarity)))
+    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.expr(f"substring(sketch, {1 + k * width}, {width})").alias("bits")) for k in range(bands)]))
+    dealt = nodes.select("node", "sketch", upper.alias("upper")).select(F.xxhash64("upper.band", "upper.bits").alias("key"), "node", "sketch")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, bucket, held = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data = batch.column(2)
+            at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
+            sketches = np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, SKETCH)
+            found = []
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(edges[1:], len(key))
+            busy = ends - edges > 1
+            busy[0] = busy[-1] = True  # may go on in other batches
+            for a, b in zip(edges[busy].tolist(), ends[busy].tolist(), strict=True):
+                if key[a] != open_:
+                    open_, bucket = key[a], Bucket(near)
+                found += bucket.add(node[a:b], sketches[a:b])
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of sets with this Jaccard similarity, exactly."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    values, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    out, mark = [], np.zeros(len(values), bool)
+    left, stack = np.arange(len(sets)), []
+    while len(left):
+        if not stack:
+            stack, left = [int(left[0])], left[1:]
+            continue
+        k = stack.pop()
+        close = left[(np.minimum(sizes[left], sizes[k]) >= similarity * np.maximum(sizes[left], sizes[k])) & (sizes[left] > 0)]
+        if sizes[k] and len(close):
+            mark[dense[starts[k] : starts[k + 1]]] = True
+            marked = np.concatenate([[0], np.cumsum(mark[dense])])
+            both = marked[starts[close + 1]] - marked[starts[close]]
+            mark[dense[starts[k] : starts[k + 1]]] = False
+            hit = close[both >= similarity * (sizes[close] + sizes[k] - both) - 1e-9]
+            out += [(k, x) for x in hit.tolist()]
+            stack += hit.tolist()
+            left = left[~np.isin(left, hit)]
+    return out
+
+
+def exact_links(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes of texts (key, node, text) that have one key and whose shingle sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, nodes, sets = None, [], []
+        for batch in batches:
+            found = []
+            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != open_:
+                    if len(nodes) > 1:
+                        found += [(nodes[a], nodes[b]) for a, b in set_forest(sets, similarity)]
+                    open_, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(shingle_set(text.as_py() or "", shingle_words))
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if len(nodes) > 1:
+            found = [(nodes[a], nodes[b]) for a, b in set_forest(sets, similarity)]
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return texts.repartition("key").sortWithinPartitions("key").select("key", "node", "text").mapInArrow(run, "u long, v long")
+
+
+def name_groups(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the smallest id (low) among the nodes that edges reach from a row's node."""
+    stars = components(edges).withColumnRenamed("node", "member")
+    rooted = cut_lineage(nodes.join(stars, nodes.node == stars.member, "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("root", "component_id")
+    named = cut_lineage(rooted.join(lowest, "root", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
+    return rows.join(named, "node")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, with_fingerprint: bool, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; fp is zero unless asked for.
+
+    Equal shingle sets are one node. Upper nodes of the index are patterns of the
+    sketch, a band each, and give components that are too wide; the texts of
+    those meet, in pairs of blocks where there are many, and link by their exact
+    shingle sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node, sketches = [], [], []
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                shingles = shingle_set(text, shingle_words)
+                fp.append(fingerprint(text, shingle_words) if with_fingerprint else 0)
+                node.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+                sketches.append(sketch_of(shingles).ljust(SKETCH, b"\0"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text", "fp", "node", "sketch"])
+
+    rows = cut_lineage(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, fp long, node long, sketch binary"))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch"), F.max(F.octet_length("text")).alias("bytes")))
+    wide = cut_lineage(components(loose_links(nodes, similarity)))
+    wide = cut_lineage(wide.union(wide.select("root", "root")).distinct().join(nodes.select("node", "low", "bytes"), "node"))
+    sizes = wide.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).alias("blocks"))
+    met = wide.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)")).select(F.col("node").alias("met"), "low", "root", "blocks", "block")
+    texts = rows.select("doc_id", "node", "text").join(met, (F.col("node") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("low"))).dropDuplicates(["node"])
+    pairs = texts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pairs = pairs.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "text")
+    edges = exact_links(pairs, shingle_words, similarity)
+    return name_groups(rows.select("doc_id", "fp", "node"), nodes.select("node", "low"), edges).select("doc_id", "fp", "component_id")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that
     links of at most max_bits differing bits reach; with a similarity, links
-    whose shingle sets also have that Jaccard similarity by MinHash sketches of
-    128 bytes (texts without words have only each other). Null and empty texts
+    whose shingle sets have that Jaccard similarity instead, however far apart
+    the fingerprints are (texts without words have only each other). Null and empty texts
     have fingerprint zero and link like others; rows with a null id keep it, take
     part in links, and never name a component unless all its ids are null (then
     null). Repeated rows each return a row. Other columns are not read; an empty
@@ -258,17 +442,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if similarity is None:
         fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words).withColumn("node", F.col("fp")))
-        nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("low"))
+        nodes = cut_lineage(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("low")))
+        groups = name_groups(fps, nodes.select("node", "low"), links(nodes, max_bits, blocks or blocks_for(nodes.count(), max_bits)))
     else:
-        made = sketched(docs, id_col, text_col, shingle_words).withColumn("sketch", F.rpad("sketch", SKETCH, F.lit(b"\0")))
-        fps = cut_lineage(made.withColumn("node", F.xxhash64("fp", "sketch")))
-        nodes = fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("low"))
-    nodes = cut_lineage(nodes)
-    stars = components(links(nodes, max_bits, blocks or blocks_for(nodes.count(), max_bits), similarity)).withColumnRenamed("node", "member")
-    rooted = cut_lineage(nodes.join(stars, nodes.node == stars.member, "left").select("node", "low", F.coalesce("root", "node").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("root", "component_id")
-    named = cut_lineage(rooted.join(lowest, "root", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
-    return fps.select("doc_id", "fp", "node").join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        groups = similar_groups(docs, id_col, text_col, shingle_words, similarity, with_fingerprint=True)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4, similarity: float | None = None, broadcast_ids: int = 4_000_000) -> DataFrame:
@@ -278,7 +456,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (8 bytes each) and joined by a shuffle beyond. Repeated ids keep one row.
     Rows with a null id stay as they are.
     """
-    groups = cut_lineage(near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits, similarity=similarity).select("doc_id", "component_id"))
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits) if similarity is None else similar_groups(docs, id_col, text_col, shingle_words, similarity, with_fingerprint=False)
+    groups = cut_lineage(groups.select("doc_id", "component_id"))
     ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
     ids = cut_lineage(ids.where("low <> doc_id or times > 1"))
     gone = ids.where("low <> doc_id").select(F.col("doc_id").alias(key := fresh(docs, "gone_id")[0]))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from riskloom.llm.simhash import GrayIndex, block_masks, blocks_for, components, drop_near_duplicates, fingerprint, gray_rank, merge, near_duplicate_groups, sketch
+from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, blocks_for, components, drop_near_duplicates, fingerprint, gray_rank, merge, near_duplicate_groups, set_forest, similar_groups, sketch
 from riskloom.llm.topk import KDTree, top_k
 
 
@@ -73,6 +73,56 @@ def test_similarity_of_sets(spark):
     assert near_duplicate_groups(docs.limit(0), similarity=0.8).count() == 0
 
 
+def brute_similar(texts, width, similarity):
+    """Component labels of texts by exact Jaccard similarity of word shingles, every pair compared."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) if sets[a] and sets[b] else sets[a] == sets[b])]
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return merge(np.arange(len(texts)), a, b), pairs
+
+
+def test_similar_pairs_beyond_eight_bits(spark, small):
+    """Near copies link by their shingle sets, however many bits their fingerprints differ in."""
+    rng = random.Random(12)
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    for _ in range(60):
+        base = rng.choices([f"w{k}" for k in range(3000)], k=200)
+        texts += [" ".join(base), " ".join(x if k not in (20, 70, 120, 150) else "changed" for k, x in enumerate(base))]
+    label, pairs = brute_similar(texts, 5, 0.8)
+    far = [(a, b) for a, b in pairs if bin((fingerprint(texts[a], 5) ^ fingerprint(texts[b], 5)) % (1 << 64)).count("1") > 8]
+    assert len(far) >= 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in near_duplicate_groups(docs, shingle_words=5, similarity=0.8).collect()}
+    assert [out[k] for k in range(len(texts))] == label.tolist()
+    kept = drop_near_duplicates(docs, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(label.tolist()))
+    blocks = similar_groups(docs, "doc_id", "text", 5, 0.8, False, block_rows=1, block_bytes=500).collect()
+    assert {r.doc_id: r.component_id for r in blocks} == out
+
+
+def test_bucket_and_sets():
+    """Leaders hold together every pair near enough, in whatever batches it comes; set forests are the exact components."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        heart = rng.integers(0, 256, (3, SKETCH), np.uint8)
+        rows = heart[rng.integers(0, 3, 60)]
+        flip = rng.random(rows.shape) < rng.random((60, 1)) * 0.3
+        rows = np.where(flip, rng.integers(0, 256, rows.shape, np.uint8), rows)
+        bucket, found = Bucket(84), []
+        for a in range(0, 60, 17):
+            found += bucket.add(np.arange(a, min(60, a + 17)), rows[a : a + 17])
+        assert len(found) < 120  # in proportion to the members, not to their pairs
+        label = merge(np.arange(60), *np.array(found, np.int64).reshape(-1, 2).T)
+        for a in range(60):
+            for b in range(a):
+                assert (rows[a] == rows[b]).sum() < 84 or label[a] == label[b]
+        sets = [np.unique(rng.choice(14, rng.integers(1, 12))).astype(np.uint64) for _ in range(30)]
+        want = [(a, b) for a in range(30) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        x, y = (merge(np.arange(30), *np.array(e, np.int64).reshape(-1, 2).T) for e in (want, set_forest(sets, 0.8)))
+        assert (x == y).all()
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 6000 + k) for k in range(50)]
