@@ -3,7 +3,7 @@
 Each text is the first layer of a worklist. A layer is scanned by the base
 patterns and searched for encoded runs: percent escapes, Unicode and hex
 escapes, base64, and base64 whose bytes are a gzip, zlib or bzip2 stream. Every
-run decodes into a further layer with, for each of its characters, the span of
+run, and the layer with all its escapes decoded in place, is a further layer with, for each of its characters, the span of
 the original text it came from. Layers seen before are not taken again, so
 cycles end, and the worklist runs until nothing new decodes. Findings of inner
 layers are reported as spans of the original text. One map, no shuffle.
@@ -76,27 +76,33 @@ def as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
     return Layer(text, start[first], end[np.append(first[1:], len(data)) - 1])
 
 
-def percent(layer: Layer, run: re.Match) -> Layer | None:
-    """Percent escapes; the bytes in between stand for themselves."""
-    data, spans, at = bytearray(), [], run.start()
-    for m in [*ONE_PERCENT.finditer(layer.text, *run.span()), None]:
-        upto = m.start() if m else run.end()
-        data += layer.text[at:upto].encode()
-        spans += [(k, k + 1) for k in range(at, upto)]
+def percent(layer: Layer, a: int, b: int) -> Layer | None:
+    """Percent escapes from a to b; the characters in between stand for themselves."""
+    data, first, last, at = bytearray(), [], [], a
+    for m in [*ONE_PERCENT.finditer(layer.text, a, b), None]:
+        upto = m.start() if m else b
+        plain = layer.text[at:upto].encode("utf-8", "surrogatepass")
+        width = [1] * len(plain) if len(plain) == upto - at else [len(c.encode("utf-8", "surrogatepass")) for c in layer.text[at:upto]]
+        places = range(at, upto) if len(plain) == upto - at else [k for k, n in zip(range(at, upto), width, strict=True) for _ in range(n)]
+        data += plain
+        first += places
+        last += places
         if m:
             data.append(int(m[1], 16))
-            spans.append(m.span())
+            first.append(m.start())
+            last.append(m.end() - 1)
             at = m.end()
-    return as_text(bytes(data), *through(layer, spans))
+    return as_text(bytes(data), *through(layer, first, last))
 
 
-def escapes(layer: Layer, run: re.Match) -> Layer | None:
-    """Backslash escapes; surrogate halves that follow each other make one character."""
-    text, spans, at = [], [], run.start()
-    for m in [*ONE_ESCAPE.finditer(layer.text, *run.span()), None]:
-        upto = m.start() if m else run.end()
+def escapes(layer: Layer, a: int, b: int) -> Layer | None:
+    """Backslash escapes from a to b; surrogate halves that follow each other make one character."""
+    text, first, last, at = [], [], [], a
+    for m in [*ONE_ESCAPE.finditer(layer.text, a, b), None]:
+        upto = m.start() if m else b
         text += layer.text[at:upto]
-        spans += [(k, k + 1) for k in range(at, upto)]
+        first += range(at, upto)
+        last += range(at, upto)
         if m:
             code = int(m[1] or m[2] or m[3] or m[4], 16)
             if code > 0x10FFFF:
@@ -104,17 +110,17 @@ def escapes(layer: Layer, run: re.Match) -> Layer | None:
             at = m.end()
             if 0xDC00 <= code < 0xE000 and text and 0xD800 <= ord(text[-1]) < 0xDC00:
                 text[-1] = chr(0x10000 + ((ord(text[-1]) - 0xD800) << 10) + code - 0xDC00)
-                spans[-1] = (spans[-1][0], at)
+                last[-1] = at - 1
             else:
                 text.append(chr(code))
-                spans.append(m.span())
-    return Layer("".join(text), *through(layer, spans))
+                first.append(m.start())
+                last.append(at - 1)
+    return Layer("".join(text), *through(layer, first, last))
 
 
-def through(layer: Layer, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of a layer's characters as spans of the original text."""
-    at = np.asarray(spans, np.int64).reshape(-1, 2)
-    return layer.start[at[:, 0]], layer.end[at[:, 1] - 1]
+def through(layer: Layer, first: list[int], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of a layer's characters, by the first and last of each, as spans of the original text."""
+    return layer.start[np.asarray(first, np.int64)], layer.end[np.asarray(last, np.int64)]
 
 
 def inflate(data: bytes, most: int) -> bytes | None:
@@ -154,10 +160,11 @@ def base64_layer(layer: Layer, run: re.Match, most: int) -> Layer | None:
 
 
 def inner_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
-    if "%" in layer.text:
-        yield from (percent(layer, m) for m in PERCENT.finditer(layer.text))
-    if "\\" in layer.text:
-        yield from (escapes(layer, m) for m in ESCAPE.finditer(layer.text))
+    """Each escaped run by itself, and the layer as a whole with all its escapes decoded in place; base64 runs."""
+    for one, run, decode in ((ONE_PERCENT, PERCENT, percent), (ONE_ESCAPE, ESCAPE, escapes)):
+        if one.search(layer.text):
+            yield decode(layer, 0, len(layer.text))
+            yield from (decode(layer, *m.span()) for m in run.finditer(layer.text))
     yield from (base64_layer(layer, m, most) for m in BASE64.finditer(layer.text))
     if "\n" in layer.text:
         yield from (base64_layer(layer, m, most) for m in FOLDED.finditer(layer.text))

@@ -168,6 +168,19 @@ def test_secrets(spark, odd, empty):
     assert find_secrets(odd).count() == odd.count() and find_secrets(empty).count() == 0
 
 
+def test_secrets_in_partly_escaped_text():
+    """Keyword and value may lie in different runs, with plain text between them."""
+    for text, span in {
+        "é password=%68unter2222&x": "assign:2:23",
+        "pass%77ord=hunter2222": "assign:0:21",
+        'api_key%3D"abc123def456"': "assign:0:23",
+        "pass%2577ord%253Dhunter2222": "assign:0:27",
+        "pass\\u0077ord = \\x22hunter2222": "assign:0:30",
+        "\\ud800 é token%3Aabcdef1": "assign:9:24",
+    }.items():
+        assert span in written(scan(text, 1 << 20)[1]).split(","), (text, written(scan(text, 1 << 20)[1]))
+
+
 def test_line_dedup_edges(spark, odd, empty):
     rows = [(k, f"own {k}\nshared line\n\ntwo", f"s{k % 4}") for k in range(8)] + [(8, None, None), (None, "shared line", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
