@@ -37,7 +37,6 @@ ESCAPE = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A base64 run broken into lines, as MIME has it.
 FOLDED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}")
-PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]+")
 ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 
@@ -62,18 +61,17 @@ class Layer:
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
 
-def as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
-    """Bytes with a span each as a layer; None unless they are printable UTF-8."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not PRINTABLE.fullmatch(text):
-        return None
-    if len(text) == len(data):
+def as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
+    """Bytes with a span each as a layer; a byte that is not UTF-8 makes one replacement character."""
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data) and text.isascii():
         return Layer(text, start, end)
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return Layer(text, start[first], end[np.append(first[1:], len(data)) - 1])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = (codes >> 11) == 0x1B
+    width = np.where(bad, 1, 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+    last = np.cumsum(width) - 1
+    text = np.where(bad, 0xFFFD, codes).astype(np.uint32).tobytes().decode("utf-32-le")
+    return Layer(text, start[last - width + 1], end[last])
 
 
 def percent(layer: Layer, a: int, b: int) -> Layer | None:
@@ -104,10 +102,9 @@ def escapes(layer: Layer, a: int, b: int) -> Layer | None:
         first += range(at, upto)
         last += range(at, upto)
         if m:
-            code = int(m[1] or m[2] or m[3] or m[4], 16)
-            if code > 0x10FFFF:
-                return None
             at = m.end()
+            code = int(m[1] or m[2] or m[3] or m[4], 16)
+            code = code if code <= 0x10FFFF else 0xFFFD
             if 0xDC00 <= code < 0xE000 and text and 0xD800 <= ord(text[-1]) < 0xDC00:
                 text[-1] = chr(0x10000 + ((ord(text[-1]) - 0xD800) << 10) + code - 0xDC00)
                 last[-1] = at - 1
@@ -124,17 +121,29 @@ def through(layer: Layer, first: list[int], last: list[int]) -> tuple[np.ndarray
 
 
 def inflate(data: bytes, most: int) -> bytes | None:
-    """The content of a gzip, zlib or bzip2 stream, None if it is none or grows beyond most bytes."""
-    try:
-        if data[:3] == b"BZh":
-            return out if len(out := bz2.BZ2Decompressor().decompress(data, most + 1)) <= most else None
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            stream = zlib.decompressobj(47)
-            out = stream.decompress(data, most + 1)
-            return out if stream.eof and len(out) <= most else None
-    except (zlib.error, OSError, ValueError):
-        pass
-    return None
+    """The content of a gzip, zlib or bzip2 stream with all its members, None if it is none or grows beyond most bytes."""
+    out, members = b"", 0
+    while data:
+        try:
+            if data[:3] == b"BZh":
+                stream = bz2.BZ2Decompressor()
+            elif data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+                stream = zlib.decompressobj(47)
+            else:
+                break
+            part = stream.decompress(data, most + 1 - len(out))
+        except (zlib.error, OSError, ValueError):
+            break
+        out += part
+        if len(out) > most:
+            return None
+        if not stream.eof and not (members or isinstance(stream, bz2.BZ2Decompressor)):
+            return None
+        members += 1
+        if not stream.eof:
+            break
+        data = stream.unused_data.lstrip(b"\0")  # members may be padded
+    return out if members else None
 
 
 def base64_layer(layer: Layer, run: re.Match, most: int) -> Layer | None:
@@ -149,11 +158,6 @@ def base64_layer(layer: Layer, run: re.Match, most: int) -> Layer | None:
             inner = deeper
         a, b = layer.span(*run.span())
         return as_text(inner, np.full(len(inner), a, np.int64), np.full(len(inner), b, np.int64))
-    try:
-        if not PRINTABLE.fullmatch(data.decode("utf-8")):
-            return None
-    except UnicodeDecodeError:
-        return None
     at = np.asarray([k for k in range(*run.span()) if layer.text[k] not in "\r\n="], np.int64)
     bit = 8 * np.arange(len(data))
     return as_text(data, layer.start[at[bit // 6]], layer.end[at[(bit + 7) // 6]])

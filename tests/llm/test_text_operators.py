@@ -1,6 +1,7 @@
 """Text operators against brute force, and their edge cases."""
 
 import base64
+import bz2
 import gzip
 import random
 import re
@@ -181,6 +182,23 @@ def test_secrets_in_partly_escaped_text():
         assert span in written(scan(text, 1 << 20)[1]).split(","), (text, written(scan(text, 1 << 20)[1]))
 
 
+def test_secrets_beside_bytes_that_are_no_text():
+    """Bytes that are not UTF-8, control characters, codes that do not exist and further members hide nothing."""
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret = b"token=abcdef123456"
+    members = [b64(pack(b"first part\n") + pack(secret)) for pack in (gzip.compress, bz2.compress)]
+    for text, span in {
+        "note%3Dcaf%E9%26password%3Dhunter2222": "assign:16:37",
+        "%E9%C3%A9%F0%9F%98%80%ff token%3Aabcdef": "assign:25:39",
+        "\\U00110000token\\x3dabcdef": "assign:10:25",
+        b64(b"\x1b[31mlog\x00\x0c\xe9" + secret): "assign:14:39",
+        b64(gzip.compress(b"\x00\xff" + secret)): None,
+        **dict.fromkeys(members),
+    }.items():
+        got = written(scan(text, 1 << 20)[1]).split(",")
+        assert (span or f"assign:0:{len(text)}") in got, (text, got)
+
+
 def test_line_dedup_edges(spark, odd, empty):
     rows = [(k, f"own {k}\nshared line\n\ntwo", f"s{k % 4}") for k in range(8)] + [(8, None, None), (None, "shared line", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
