@@ -1,12 +1,15 @@
 """Secret scans through nested encodings.
 
 Each text is the first layer of a worklist. A layer is scanned by the base
-patterns and searched for encoded runs: percent escapes, Unicode and hex
-escapes, base64, and base64 whose bytes are a gzip, zlib or bzip2 stream. Every
-run, and the layer with all its escapes decoded in place, is a further layer with, for each of its characters, the span of
-the original text it came from. Layers seen before are not taken again, so
-cycles end, and the worklist runs until nothing new decodes. Findings of inner
-layers are reported as spans of the original text. One map, no shuffle.
+patterns and searched for what is encoded in it: percent escapes, Unicode and
+hex escapes, base64, and compressed streams. A decoded layer keeps, for each of
+its characters, the span of the original text it came from: escapes are decoded
+in place, so that their surroundings stay around them; a base64 run is decoded
+at each of the four places at which its groups may begin, since letters in front
+of a payload look like part of it; gzip, zlib and bzip2 streams are looked for at every
+byte of what was decoded. Layers seen before are not taken again, so cycles end,
+and the worklist runs until nothing new decodes. Every pass takes time in
+proportion to the layer. One map, no shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import bz2
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +27,30 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_texts
 
-#: URL-safe letters as plain ones; line ends and padding go.
-PLAIN_BASE64 = {10: None, 13: None, 61: None, 45: "+", 95: "/"}
-
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PERCENT = re.compile(r"[A-Za-z0-9._~+-]*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9._~+-]|%[0-9A-Fa-f]{2})*")
-ESCAPE = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}))+[\x21-\x5b\x5d-\x7e]*")
+PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+PERCENT_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}")
+#: The same where the escape character is escaped itself any number of times: taken at once from DEEP layers on.
+DEEP = 16
+DEEP_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+DEEP_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A base64 run broken into lines, as MIME has it.
-FOLDED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}")
-ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
-ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/]{2,76}={0,2}\r?")
+#: URL-safe letters as plain ones; line ends and padding go.
+PLAIN_BASE64 = {10: None, 13: None, 61: None, 45: "+", 95: "/"}
+#: Where a gzip, bzip2 or zlib stream may begin.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
+#: Tables for bytes.translate: base64 letters as a; zero as 0 and printable ASCII as p.
+LETTERS = bytes(97 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
+WIDE = bytes(48 if c == 0 else 112 if 32 <= c < 127 or c in (9, 10, 13) else 32 for c in range(256))
+#: Inflated bytes are held in parts of PART with OVERLAP in common, and scanned in parts of WINDOW.
+PART, WINDOW, OVERLAP, FEED = 1 << 26, 1 << 22, 1 << 16, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,153 +63,260 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Shift:
+    """Index i maps to i + offset, without an array of its own."""
+
+    def __init__(self, offset: int):
+        self.offset = offset
+
+    def __getitem__(self, key):
+        return key + self.offset
+
+
+class Always:
+    """Every index maps to one place."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, key):
+        return self.place if isinstance(key, int) else self
+
+
 class Layer:
-    """A decoded text; start[i] and end[i] are the span of the original text behind its character i."""
+    """A decoded text, or the bytes of one; start[i] and end[i] are the span of the original text behind its character or byte i, and never fall. padded: where the run ends with its padding."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, content: str | bytes, start, end, depth: int, padded: int = 0):
+        self.content, self.start, self.end, self.depth, self.padded = content, start, end, depth, padded
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return int(self.start[a:b].min()), int(self.end[a:b].max())
+        return int(self.start[a]), int(self.end[b - 1])
+
+    def key(self) -> tuple:
+        data = self.content if isinstance(self.content, bytes) else self.content.encode("utf-8", "surrogatepass")
+        return isinstance(self.content, bytes), blake2b(data, digest_size=16).digest(), *self.span(0, len(self.content))
 
 
-def as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
-    """Bytes with a span each as a layer; a byte that is not UTF-8 makes one replacement character."""
+def as_text(layer: Layer) -> Layer:
+    """A layer of bytes as text; a byte that is not UTF-8 makes one replacement character."""
+    data = layer.content
+    if isinstance(layer.start, Always):
+        return Layer(data.decode("utf-8", "replace"), layer.start, layer.end, layer.depth)
     text = data.decode("utf-8", "surrogateescape")
     if len(text) == len(data) and text.isascii():
-        return Layer(text, start, end)
+        return Layer(text, layer.start, layer.end, layer.depth)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     bad = (codes >> 11) == 0x1B
-    width = np.where(bad, 1, 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+    width = np.where(bad, 1, utf8_width(codes))
     last = np.cumsum(width) - 1
     text = np.where(bad, 0xFFFD, codes).astype(np.uint32).tobytes().decode("utf-32-le")
-    return Layer(text, start[last - width + 1], end[last])
-
-
-def percent(layer: Layer, a: int, b: int) -> Layer | None:
-    """Percent escapes from a to b; the characters in between stand for themselves."""
-    data, first, last, at = bytearray(), [], [], a
-    for m in [*ONE_PERCENT.finditer(layer.text, a, b), None]:
-        upto = m.start() if m else b
-        plain = layer.text[at:upto].encode("utf-8", "surrogatepass")
-        width = [1] * len(plain) if len(plain) == upto - at else [len(c.encode("utf-8", "surrogatepass")) for c in layer.text[at:upto]]
-        places = range(at, upto) if len(plain) == upto - at else [k for k, n in zip(range(at, upto), width, strict=True) for _ in range(n)]
-        data += plain
-        first += places
-        last += places
-        if m:
-            data.append(int(m[1], 16))
-            first.append(m.start())
-            last.append(m.end() - 1)
-            at = m.end()
-    return as_text(bytes(data), *through(layer, first, last))
-
-
-def escapes(layer: Layer, a: int, b: int) -> Layer | None:
-    """Backslash escapes from a to b; surrogate halves that follow each other make one character."""
-    text, first, last, at = [], [], [], a
-    for m in [*ONE_ESCAPE.finditer(layer.text, a, b), None]:
-        upto = m.start() if m else b
-        text += layer.text[at:upto]
-        first += range(at, upto)
-        last += range(at, upto)
-        if m:
-            at = m.end()
-            code = int(m[1] or m[2] or m[3] or m[4], 16)
-            code = code if code <= 0x10FFFF else 0xFFFD
-            if 0xDC00 <= code < 0xE000 and text and 0xD800 <= ord(text[-1]) < 0xDC00:
-                text[-1] = chr(0x10000 + ((ord(text[-1]) - 0xD800) << 10) + code - 0xDC00)
-                last[-1] = at - 1
-            else:
-                text.append(chr(code))
-                first.append(m.start())
-                last.append(at - 1)
-    return Layer("".join(text), *through(layer, first, last))
-
-
-def through(layer: Layer, first: list[int], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of a layer's characters, by the first and last of each, as spans of the original text."""
-    return layer.start[np.asarray(first, np.int64)], layer.end[np.asarray(last, np.int64)]
-
-
-def inflate(data: bytes, most: int) -> bytes | None:
-    """The content of a gzip, zlib or bzip2 stream with all its members, None if it is none or grows beyond most bytes."""
-    out, members = b"", 0
-    while data:
-        try:
-            if data[:3] == b"BZh":
-                stream = bz2.BZ2Decompressor()
-            elif data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-                stream = zlib.decompressobj(47)
-            else:
-                break
-            part = stream.decompress(data, most + 1 - len(out))
-        except (zlib.error, OSError, ValueError):
+    return Layer(text, layer.start[last - width + 1], layer.end[last], layer.depth)
+
+
+def wide(data: bytes) -> int:
+    """Where UTF-16 of six ASCII letters or more begins, -1 if nowhere."""
+    kinds = data.translate(WIDE) if b"\0" in data else b""
+    return min((x for x in (kinds.find(b"p0" * 6), kinds.find(b"0p" * 6)) if x >= 0), default=-1)
+
+
+def may_inflate(data: bytes) -> bool:
+    return any(x in data for x in (b"\x1f\x8b\x08", b"BZh", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"))
+
+
+def worth(data: bytes) -> bool:
+    """Whether decoded bytes may hold a finding, or something encoded; plain searches, since most decoded runs are noise."""
+    low = data.lower()
+    if any(x in low for x in (b"passw", b"secret", b"token", b"api", b"\\u", b"\\x")) or b"a" * 16 in data.translate(LETTERS):
+        return True
+    return may_inflate(data) or wide(data) >= 0 or (b"%" in data and PERCENT_BYTES.search(data) is not None)
+
+
+def as_wide_text(layer: Layer, order: str, at: int) -> Layer:
+    """A layer of bytes as UTF-16 from byte ``at`` on; surrogate halves make replacement characters."""
+    codes = np.frombuffer(layer.content, f"{order}u2", (len(layer.content) - at) // 2, at).astype(np.uint32)
+    codes = np.where((codes >> 11) == 0x1B, 0xFFFD, codes).astype(np.uint32)
+    places = at + 2 * np.arange(len(codes))
+    return Layer(codes.tobytes().decode("utf-32-le"), layer.start[places], layer.end[places + 1], layer.depth)
+
+
+def utf8_width(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+def escapes_of(layer: Layer, pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, behind, code) of every escape of a text layer."""
+    found = [(m.start(), m.end(), int(next(filter(None, m.groups())), 16)) for m in pattern.finditer(layer.content)]
+    return np.array(found, np.int64).reshape(-1, 3).T
+
+
+def percent(layer: Layer) -> Layer:
+    """The bytes of a text layer with its percent escapes decoded in place."""
+    text = layer.content
+    first, behind, code = escapes_of(layer, DEEP_PERCENT if layer.depth > DEEP else PERCENT)
+    width = utf8_width(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).copy()
+    at = np.cumsum(width) - width
+    data[at[first]] = code
+    inside = np.zeros(len(text) + 1, np.int64)
+    np.add.at(inside, first + 1, 1)
+    np.add.at(inside, behind, -1)
+    left = np.cumsum(inside[:-1]) == 0
+    until = np.arange(len(text))
+    until[first] = behind - 1
+    places = np.repeat(np.arange(len(text)), np.where(left, width, 0))
+    return Layer(data[np.repeat(left, width)].tobytes(), layer.start[places], layer.end[until[places]], layer.depth + 1)
+
+
+def escapes(layer: Layer) -> Layer:
+    """A text layer with its backslash escapes decoded in place; surrogate halves that follow each other make one character."""
+    first, behind, code = escapes_of(layer, DEEP_ESCAPE if layer.depth > DEEP else ESCAPE)
+    codes = np.frombuffer(layer.content.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes[first] = np.where(code <= 0x10FFFF, code, 0xFFFD)
+    inside = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(inside, first + 1, 1)
+    np.add.at(inside, behind, -1)
+    until = np.arange(len(codes))
+    until[first] = behind - 1
+    places = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    codes, until = codes[places], until[places]
+    high = np.flatnonzero((codes[:-1] >> 10 == 0x36) & (codes[1:] >> 10 == 0x37))
+    codes[high] = 0x10000 + ((codes[high] - 0xD800) << 10) + codes[high + 1] - 0xDC00
+    until[high] = until[high + 1]
+    codes, until, places = (np.delete(x, high + 1) for x in (codes, until, places))
+    return Layer(codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"), layer.start[places], layer.end[until], layer.depth + 1)
+
+
+def base64_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of base64 letters, and such runs folded into lines as MIME has it."""
+    yield from (m.span() for m in BASE64.finditer(text))
+    if "\n" not in text:
+        return
+    at, began = 0, -1
+    for line in [*text.split("\n"), ""]:
+        whole = 60 <= len(line) <= 77 and BASE64_LINE.fullmatch(line) and "=" not in line
+        if began >= 0 and not whole:
+            tail = m.end() if (m := BASE64_LINE.match(line)) and m.end() == len(line) else 0
+            if at > began + 78 or tail:
+                yield began, at + tail if tail else at - 1
+            began = -1
+        elif whole and began < 0:
+            began = at
+        at += len(line) + 1
+
+
+def base64(layer: Layer, a: int, b: int) -> Iterator[Layer]:
+    """Bytes of a base64 run, plain or URL-safe, padded or not, with its groups of four beginning at each of the first four letters, where they hold anything."""
+    run = layer.content[a:b]
+    letters = run.translate(PLAIN_BASE64)
+    for skip in range(4):
+        body = letters[skip:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        if len(body) < 8:
             break
-        out += part
-        if len(out) > most:
-            return None
-        if not stream.eof and not (members or isinstance(stream, bz2.BZ2Decompressor)):
-            return None
-        members += 1
-        if not stream.eof:
+        data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+        if not worth(data):
+            continue
+        at = a + np.array([k for k, c in enumerate(run) if c not in "\r\n="], np.int64) if len(letters) < len(run.rstrip("=")) else np.arange(a, a + len(letters))
+        bit = 8 * np.arange(len(data))
+        yield Layer(data, layer.start[at[skip + bit // 6]], layer.end[at[skip + (bit + 7) // 6]], layer.depth + 1, int(layer.end[b - 1]))
+
+
+def grown(stream, piece: bytes) -> Iterator[bytes]:
+    """What a piece of a compressed stream grows to, WINDOW bytes at most at a time."""
+    while True:
+        out = stream.decompress(piece, WINDOW)
+        yield out
+        if stream.eof or len(out) < WINDOW:
+            return
+        piece = getattr(stream, "unconsumed_tail", b"")
+
+
+def members(data: bytes, at: int) -> Iterator[bytes]:
+    """The content of a stream and of the members that follow it, as far as it is sound, in parts that overlap; returns the place behind it."""
+    held, fresh = bytearray(), False
+    while True:
+        stream, sound = bz2.BZ2Decompressor() if data[at : at + 3] == b"BZh" else zlib.decompressobj(47), True
+        while sound and not stream.eof and at < len(data):
+            piece = data[at : at + FEED]
+            at += len(piece)
+            try:
+                for out in grown(stream, piece):
+                    held += out
+                    fresh |= bool(out)
+                    if len(held) >= PART:
+                        yield bytes(held)
+                        del held[:-OVERLAP]
+                        fresh = False
+            except (zlib.error, OSError, ValueError, EOFError):
+                sound = False
+        if not sound or not stream.eof:
             break
-        data = stream.unused_data.lstrip(b"\0")  # members may be padded
-    return out if members else None
-
-
-def base64_layer(layer: Layer, run: re.Match, most: int) -> Layer | None:
-    """A base64 run, plain or URL-safe, padded or not; compressed bytes are inflated as often as they are wrapped."""
-    body = run[0].translate(PLAIN_BASE64)
-    try:
-        data = binascii.a2b_base64(body + "=" * (-len(body) % 4), strict_mode=True)
-    except (binascii.Error, ValueError):
-        return None
-    if (inner := inflate(data, most)) is not None:
-        while (deeper := inflate(inner, most)) is not None and deeper != inner:
-            inner = deeper
-        a, b = layer.span(*run.span())
-        return as_text(inner, np.full(len(inner), a, np.int64), np.full(len(inner), b, np.int64))
-    at = np.asarray([k for k in range(*run.span()) if layer.text[k] not in "\r\n="], np.int64)
-    bit = 8 * np.arange(len(data))
-    return as_text(data, layer.start[at[bit // 6]], layer.end[at[(bit + 7) // 6]])
-
-
-def inner_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
-    """Each escaped run by itself, and the layer as a whole with all its escapes decoded in place; base64 runs."""
-    for one, run, decode in ((ONE_PERCENT, PERCENT, percent), (ONE_ESCAPE, ESCAPE, escapes)):
-        if one.search(layer.text):
-            yield decode(layer, 0, len(layer.text))
-            yield from (decode(layer, *m.span()) for m in run.finditer(layer.text))
-    yield from (base64_layer(layer, m, most) for m in BASE64.finditer(layer.text))
-    if "\n" in layer.text:
-        yield from (base64_layer(layer, m, most) for m in FOLDED.finditer(layer.text))
-
-
-class Identity:
-    """Index i maps to i + offset, also by slices and arrays, without an array of its own."""
-
-    def __init__(self, offset: int):
-        self.offset = offset
-
-    def __getitem__(self, key):
-        return np.arange(key.start + self.offset, key.stop + self.offset) if isinstance(key, slice) else key + self.offset
-
-
-def scan(text: str, most: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        at -= len(stream.unused_data)
+        while at < len(data) and not data[at]:  # members may be padded
+            at += 1
+        if not STREAM.match(data, at):
+            break
+    if fresh:
+        yield bytes(held)
+    return at if sound else -1
+
+
+def streams(layer: Layer) -> Iterator[Layer]:
+    """The content of each compressed stream in a layer of bytes; its span runs from the stream's first byte to the end of the encoded run."""
+    data, at = layer.content, 0
+    if not may_inflate(data):
+        return
+    while m := STREAM.search(data, at):
+        parts, behind = members(data, m.start()), -1
+        a, b = layer.span(m.start(), len(data))
+        while True:
+            try:
+                part = next(parts)
+            except StopIteration as done:
+                behind = done.value
+                break
+            yield Layer(part, Always(a), Always(max(b, layer.padded)), layer.depth + 1)
+        at = max(behind, m.start() + 1)
+
+
+def inner_layers(layer: Layer) -> Iterator[Layer]:
+    """What a layer holds, one step further decoded."""
+    if isinstance(layer.content, bytes):
+        yield from streams(layer)
+        data = layer.content
+        for a in range(0, len(data), WINDOW):
+            part = layer if len(data) <= WINDOW else Layer(data[a : a + WINDOW + OVERLAP], layer.start[a:], layer.end[a:], layer.depth)
+            yield as_text(part)
+            if (at := wide(part.content)) >= 0:
+                yield as_wide_text(part, "<" if part.content[at] else ">", at % 2)
+        return
+    text = layer.content
+    if PERCENT.search(text):
+        yield percent(layer)
+    if "\\" in text and ESCAPE.search(text):
+        decoded = escapes(layer)
+        yield decoded
+        if may_inflate(data := decoded.content.encode("latin-1", "replace")):
+            yield Layer(data, decoded.start, decoded.end, decoded.depth)
+    for a, b in base64_runs(text):
+        yield from base64(layer, a, b)
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, each (start, kind, end) by start, then kind."""
     base = base_spans(text)
     found, seen = set(base), set()
-    work = [Layer(text, Identity(0), Identity(1))]
+    work = [Layer(text, Shift(0), Shift(1), 0)]
     while work:
-        for inner in inner_layers(work.pop(), most):
-            if inner is None or not inner.text or (key := (inner.text, *inner.span(0, len(inner.text)))) in seen:
+        for inner in inner_layers(work.pop()):
+            if not inner.content or (key := inner.key()) in seen:
                 continue
             seen.add(key)
             work.append(inner)
-            for a, kind, b in base_spans(inner.text):
-                start, end = inner.span(a, b)
-                found.add((start, kind, end))
+            if isinstance(inner.content, str):
+                for a, kind, b in base_spans(inner.content):
+                    start, end = inner.span(a, b)
+                    found.add((start, kind, end))
     return base, sorted(found)
 
 
@@ -205,19 +324,20 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_inflated_bytes: int = 1 << 26) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_spans, spans) of every row.
 
     The counts and base_spans are those of the text itself; spans adds what
     decoded layers hold, as spans of the text; all are kind:start:end, code
     points, end exclusive, by start, then kind, comma-joined. Compressed streams
-    that grow beyond max_inflated_bytes are taken for bombs and not opened. Null
-    and empty texts have no span. Repeated rows and null ids each return their
+    are followed to their end in overlapping parts of 64 MiB, so memory is bounded
+    and time follows what they grow to; a finding in one has the span of its
+    encoded run. Null and empty texts have no span. Repeated rows and null ids each return their
     row; other columns are not read; an empty table returns none.
     """
 
     def row(text: str) -> tuple[int, int, int, str, str]:
-        base, every = scan(text, max_inflated_bytes)
+        base, every = scan(text)
         return *(sum(k == kind for _, k, _ in base) for kind in range(3)), written(base), written(every)
 
     return map_texts(id_and_text(docs, id_col, text_col), row, "n_assign long, n_access long, n_hex long, base_spans string, spans string", [pa.int64()] * 3 + [pa.string()] * 2)
