@@ -3,15 +3,17 @@
 Plan. Texts become 64-bit fingerprints where they are read (one map, no
 shuffle). Copies collapse first: the index sees each distinct fingerprint once.
 Fingerprints that differ in at most ``max_bits`` bits agree on at least one of
-``max_bits + 1`` bit blocks (or on two of ``max_bits + 2``, and so on: more blocks
-make narrower groups for larger corpora). Each block combination is an upper
-node of the index, a masked bit pattern that its members share; a shuffle deals
-the nodes out. Below it, members lie in Gray order, runs of neighbours form
-nodes that again factor out the bits all members share, and the self-join walks
-pairs of nodes: a pair is dropped once the differences accumulated on shared
-bits exceed ``max_bits``, and taken whole once the bits left open cannot exceed
-it. A node yields a spanning forest of its links, never all pairs; star
-contraction joins the forests into components.
+``max_bits + 1`` bit blocks (or on two of ``max_bits + 2``, and so on). The upper
+nodes of the index are masked bit patterns inside such blocks, of just as many
+bits as leave a few thousand members in each; a shuffle deals the nodes out.
+Below, members lie in Gray order, runs of neighbours form nodes that again factor
+out the bits all members share, and the self-join walks pairs of nodes: a pair is
+dropped once the differences accumulated on shared bits exceed ``max_bits``, and
+taken whole once the bits left open cannot exceed it. Upper nodes that hold far
+more members than planned are cut into runs of Gray order, and pairs of runs are
+dropped by the same rule before their members are sent. A node yields a spanning
+forest of its links, never all pairs; star contraction joins the forests into
+components.
 
 Links by shingle sets take their patterns from MinHash sketches instead, a band
 of bytes each: pairs at the similarity share one with probability 0.998. Leaders
@@ -27,12 +29,14 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh, id_and_text, map_texts
 
-LEAF, FANOUT, CHUNK = 16, 8, 1 << 14
+LEAF, FANOUT, CHUNK = 2, 8, 1 << 14
+#: Fingerprints an upper node holds on average, rows beyond which it is cut into parts, and rows of a part.
+NODE_ROWS, HEAVY_ROWS, PART_ROWS = 2048, 1 << 16, 1 << 14
 #: Hash functions of a sketch, and their odd factors and addends.
 SKETCH = 128
 SALTS = np.random.default_rng(20240229).integers(0, 1 << 63, (SKETCH, 2), np.uint64) | np.array([1, 0], np.uint64)
@@ -111,11 +115,15 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of nodes over distinct codes in Gray order; each node holds its first and last member, the mask of bits that all members share, and their pattern."""
+    """Levels of nodes over distinct codes in Gray order; each node holds its first and last member, the mask of bits that all members share, and their pattern.
+
+    pruned and compared count the pairs of nodes that accumulated differences
+    drop, and the pairs of codes that are compared in the end.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
+        self.codes, self.pruned, self.compared = codes[self.order], 0, 0
         n = len(codes)
         edges = np.arange(0, n, LEAF)
         low, high = np.bitwise_and.reduceat(self.codes, edges), np.bitwise_or.reduceat(self.codes, edges)
@@ -138,17 +146,18 @@ class GrayIndex:
                 continue
             mask, pattern, first, last = self.levels[level]
             shared = mask[i] & mask[j]
-            least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared).astype(np.int64)
-            keep = least <= max_bits
-            whole = keep & (least + np.bitwise_count(~shared) <= max_bits)
+            least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared)
+            near = least <= max_bits
+            self.pruned += len(i) - int(near.sum())
+            # Two nodes that one component holds already have nothing to add.
+            low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+            near &= ~((low[i] == high[i]) & (low[i] == low[j]) & (low[j] == high[j]))
+            i, j, least, shared = i[near], j[near], least[near], shared[near]
+            whole = least + np.bitwise_count(~shared) <= max_bits
             for a, b in zip(i[whole], j[whole], strict=True):  # every member links with every other
                 members = np.concatenate([np.arange(first[a], last[a]), np.arange(first[b], last[b])])
                 label = merge(label, members, np.full(len(members), members[0]))
-            keep &= ~whole
-            # Two nodes that one component holds already have nothing to add.
-            low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
-            keep &= ~((low[i] == high[i]) & (low[i] == low[j]) & (low[j] == high[j]))
-            i, j = i[keep], j[keep]
+            i, j = i[~whole], j[~whole]
             if level:
                 count = len(self.levels[level - 1][0])
                 steps = np.arange(FANOUT)
@@ -159,46 +168,93 @@ class GrayIndex:
                     stack.append((level - 1, a[ok], b[ok]))
             elif len(i):
                 steps = np.arange(LEAF)
-                for k in range(0, len(i), 1024):
-                    x = np.minimum(first[i[k : k + 1024], None] + steps, n - 1)
-                    y = np.minimum(first[j[k : k + 1024], None] + steps, n - 1)
-                    near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= max_bits
-                    p, q, r = np.nonzero(near)
-                    a, b = x[p, q], y[p, r]
-                    label = merge(label, a, b)
+                x, y = (np.minimum(first[k][:, None] + steps, n - 1) for k in (i, j))
+                near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= max_bits
+                near &= label[x][:, :, None] != label[y][:, None, :]
+                self.compared += near.size
+                p, q, r = np.nonzero(near)
+                label = merge(label, x[p, q], y[p, r])
         roots = np.flatnonzero(label != np.arange(n))
         return self.order[roots], self.order[label[roots]]
 
 
-def block_masks(max_bits: int, blocks: int) -> list[int]:
-    """Masks of which one at least is free of differences when at most max_bits bits differ."""
+def block_masks(max_bits: int, blocks: int, bits: int = 64) -> list[int]:
+    """Masks of which one at least is free of differences when at most max_bits bits differ; each keeps ``bits`` of its bits, evenly spread."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(x) for x in combinations(parts, blocks - max_bits)]
+    out = []
+    for chosen in combinations(range(blocks), blocks - max_bits):
+        own = [b for k in chosen for b in range(cuts[k], cuts[k + 1])]
+        kept = own if bits >= len(own) else [own[len(own) * k // bits] for k in range(bits)]
+        out.append(sum(1 << b for b in kept))
+    return out
+
+
+def upper_masks(distinct: int, max_bits: int, blocks: int | None = None, node_rows: int = NODE_ROWS) -> list[int]:
+    """Masked patterns that make the upper nodes: just as many bits as leave about node_rows of evenly spread fingerprints in a node, so one node where there are no more."""
+    bits = max(0, int(np.ceil(np.log2(max(1, distinct) / node_rows))))
+    if not bits and blocks is None:
+        return [0]
+    if blocks is None:
+        blocks = max_bits + 1
+        while 64 * (blocks - max_bits) // blocks < bits and blocks < 16:
+            blocks += 1
+    return block_masks(max_bits, blocks, bits)
 
 
-def blocks_for(distinct: int, max_bits: int) -> int:
-    """Number of blocks at which a node of evenly spread fingerprints has a few thousand members at most."""
-    blocks = max_bits + 1
-    while distinct >> (64 * (blocks - max_bits) // blocks) > 4096 and blocks < 16:
-        blocks += 1
-    return blocks
+def gray_rank_column(code: Column) -> Column:
+    """gray_rank() as a column, below zero for the upper half of the sequence."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code
+
 
+def parted(dealt: DataFrame, heavy: DataFrame, max_bits: int, part_rows: int) -> DataFrame:
+    """(key, fp, node) of the members of heavy upper nodes, under every pair of parts that can hold a link.
 
-def links(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """Spanning links (u, v) between nodes (node, fp)."""
-    masks = block_masks(max_bits, blocks)
+    A heavy node is cut into parts of about part_rows members by quantiles of the
+    Gray rank. A part keeps the mask of bits all its members share, and their
+    pattern; pairs of parts whose patterns differ in more than max_bits shared
+    bits are dropped before any member is sent.
+    """
+    rank, out = gray_rank_column(F.col("fp")), None
+    sized = heavy.withColumn("parts", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("rows") / part_rows))).cast("int"))
+    for (parts,) in sized.select("parts").distinct().collect():  # powers of two, so a few dozen at most
+        own = dealt.join(F.broadcast(sized.where(F.col("parts") == parts).select("block", "bits")), ["block", "bits"])
+        cuts = own.groupBy("block", "bits").agg(F.percentile_approx(rank, [k / parts for k in range(1, parts)] or [1.0], max(10_000, 20 * parts)).alias("cuts"))
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("cuts")) & (F.try_element_at("cuts", at + step) < rank), at + step).otherwise(at))
+        placed = cut_lineage(own.join(F.broadcast(cuts), ["block", "bits"]).select("block", "bits", place.alias("part"), "fp", "node"))
+        nodes = placed.groupBy("block", "bits", "part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
+        one, other = (nodes.select("block", "bits", F.col("part").alias(p), F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias(f"{p}_mask"), F.col("all").alias(f"{p}_bits")) for p in ("low", "high"))
+        differ = F.bit_count(F.col("low_bits").bitwiseXOR(F.col("high_bits")).bitwiseAND(F.col("low_mask")).bitwiseAND(F.col("high_mask")))
+        pairs = one.join(other, ["block", "bits"]).where((F.col("low") <= F.col("high")) & (differ <= max_bits)).select("block", "bits", "low", "high")
+        meets = pairs.withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
+        sent = placed.join(meets, ["block", "bits", "part"]).select(F.xxhash64("block", "bits", "low", "high").alias("key"), "fp", "node")
+        out = sent if out is None else out.unionAll(sent)
+    return out
+
+
+def links(nodes: DataFrame, max_bits: int, masks: list[int], heavy_rows: int = HEAVY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Spanning links (u, v) between nodes (node, fp) of distinct fingerprints."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
-    dealt = nodes.select("fp", "node", upper.alias("upper")).select("upper.block", "upper.bits", "fp", "node").repartition("block", "bits").sortWithinPartitions("block", "bits")
+    dealt = nodes.select("fp", "node", upper.alias("upper")).select("upper.block", "upper.bits", "fp", "node")
+    heavy = cut_lineage(dealt.groupBy("block", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > heavy_rows))
+    light = dealt
+    if heavy.take(1):  # at most len(masks) * rows / heavy_rows of them
+        light = dealt.join(F.broadcast(heavy), ["block", "bits"], "left_anti")
+    keyed = light.select(F.xxhash64("block", "bits").alias("key"), "fp", "node")
+    if heavy.take(1):
+        keyed = keyed.unionAll(parted(dealt, heavy, max_bits, part_rows))
+    keyed = keyed.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            block, bits, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            new = np.flatnonzero((block[1:] != block[:-1]) | (bits[1:] != bits[:-1])) + 1
+            new = np.flatnonzero(key[1:] != key[:-1]) + 1
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in zip(np.append(0, new), np.append(new, len(fp)), strict=True):
                 if b - a > 1:
@@ -209,25 +265,34 @@ def links(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(k).to_numpy() for k in range(4)]
-            # Rows after the last change of node stay for the next batch.
-            change = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            rows = [batch.column(k).to_numpy() for k in range(3)]
+            # Rows after the last change of key stay for the next batch.
+            change = np.flatnonzero(rows[0] != rows[0][-1])
             cut = change[-1] + 1 if len(change) else 0
-            if cut or (held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0])):
+            if cut or (held and held[-1][0][-1] != rows[0][0]):
                 held.append(tuple(x[:cut] for x in rows))
                 yield flush()
             held.append(tuple(x[cut:] for x in rows))
         if held:
             yield flush()
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return keyed.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def beside_least(edges: DataFrame, hub: int) -> DataFrame:
+    """(u, v, m) of edges (u, v): m is the smallest v of a row's u. Nodes with more than hub edges get theirs by a broadcast, so that no node's edges meet in one task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    hubs = F.broadcast(least.where(F.col("degree") > hub).select("u", "m"))
+    light = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").unionAll(light.select("u", "v", "m"))
+
+
+def components(edges: DataFrame, hub_rows: int = 1024, most_hubs: int = 100_000) -> DataFrame:
     """(node, root) for every node of an edge: large-star and small-star rounds until nothing changes.
 
-    Each round aggregates with map-side minima before it joins; a hub's edges are
-    never collected, and its join is one that adaptive execution can split.
+    Each round aggregates with map-side minima before it joins. A node is a hub
+    from hub_rows edges on, or from a most_hubs-th of all edges if that is more,
+    so there are never more than 2 * most_hubs of them to broadcast.
     """
     e = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = None
@@ -235,13 +300,12 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == mark or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        mark, hub = tuple(now), max(hub_rows, now[0] // most_hubs)
+        both = beside_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), hub)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = beside_least(large, hub)
+        kept = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut_lineage(kept.union(small.select("u", F.col("m").alias("v"))).distinct())
 
 
 def sketch_bands(similarity: float, missed: float = 0.002) -> tuple[int, int]:
@@ -386,12 +450,22 @@ def exact_links(texts: DataFrame, shingle_words: int, similarity: float) -> Data
     return texts.repartition("key").sortWithinPartitions("key").select("key", "node", "text").mapInArrow(run, "u long, v long")
 
 
-def name_groups(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with component_id, the smallest id (low) among the nodes that edges reach from a row's node."""
+def name_groups(rows: DataFrame, nodes: DataFrame, edges: DataFrame, broadcast_rows: int = 500_000, salts: int = 64) -> DataFrame:
+    """rows with component_id, the smallest id (low) among the nodes that edges reach from a row's node.
+
+    The lowest ids of components with links go back to their members by a
+    broadcast while there are at most broadcast_rows (16 bytes each), and beyond
+    by a join dealt by root and salt, so that a large component spreads.
+    """
     stars = components(edges).withColumnRenamed("node", "member")
     rooted = cut_lineage(nodes.join(stars, nodes.node == stars.member, "left").select("node", "low", F.coalesce("root", "node").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("root", "component_id")
-    named = cut_lineage(rooted.join(lowest, "root", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
+    lowest = cut_lineage(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("root", "component_id"))
+    if lowest.count() <= broadcast_rows:
+        joined = rooted.join(F.broadcast(lowest), "root", "left")
+    else:
+        salted = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rooted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["root", "salt"], "left")
+    named = cut_lineage(joined.select("node", F.coalesce("component_id", "low").alias("component_id")))
     return rows.join(named, "node")
 
 
@@ -438,12 +512,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     have fingerprint zero and link like others; rows with a null id keep it, take
     part in links, and never name a component unless all its ids are null (then
     null). Repeated rows each return a row. Other columns are not read; an empty
-    table returns none. blocks None: chosen from the number of distinct nodes.
+    table returns none. blocks None: chosen from the number of distinct fingerprints.
     """
     if similarity is None:
         fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words).withColumn("node", F.col("fp")))
         nodes = cut_lineage(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("low")))
-        groups = name_groups(fps, nodes.select("node", "low"), links(nodes, max_bits, blocks or blocks_for(nodes.count(), max_bits)))
+        groups = name_groups(fps, nodes.select("node", "low"), links(nodes, max_bits, upper_masks(nodes.count(), max_bits, blocks)))
     else:
         groups = similar_groups(docs, id_col, text_col, shingle_words, similarity, with_fingerprint=True)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, blocks_for, components, drop_near_duplicates, fingerprint, gray_rank, merge, near_duplicate_groups, set_forest, similar_groups, sketch
+from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
 from riskloom.llm.topk import KDTree, top_k
 
 
@@ -48,7 +48,43 @@ def test_gray_rank_and_blocks():
         for _ in range(200):
             diff = sum(1 << k for k in rng.sample(range(64), 4))
             assert any(diff & m == 0 for m in masks)
-    assert blocks_for(1000, 4) == 5 < blocks_for(10**9, 4)
+    for bits in (1, 3, 12):
+        masks = block_masks(4, 5, bits)
+        assert [m.bit_count() for m in masks] == [bits] * 5
+    assert upper_masks(1000, 4) == [0] and len(upper_masks(10**5, 4)) == 5 < len(upper_masks(10**9, 4))
+
+
+def test_gray_rank_column(spark):
+    codes = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 500)
+    got = spark.createDataFrame([(int(c),) for c in codes], "fp long").select("fp", gray_rank_column(F.col("fp")).alias("r")).collect()
+    assert [r.r for r in got] == gray_rank(np.array([r.fp for r in got]).view(np.uint64)).view(np.int64).tolist()
+
+
+def test_index_prunes(spark):
+    """On a whole table most pairs of fingerprints are never compared: differences accumulated in upper nodes drop them."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    codes = np.unique(np.array([fingerprint(t) for t in texts], np.int64).view(np.uint64))
+    index = GrayIndex(codes)
+    u, v = index.forest(4)
+    assert (merge(np.arange(len(codes)), u, v) == brute_components(codes, 4)).all()
+    assert index.pruned > 10_000 and index.compared < 0.05 * len(codes) ** 2 / 2
+
+
+def test_heavy_nodes_are_cut(spark):
+    """Upper nodes beyond the bound are cut into parts in Gray order; the links span the same components, and no task sees a whole node."""
+    rng = np.random.default_rng(8)
+    ball = np.uint64(0x0F0F0F0F12345678) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (2000, 5), np.uint64), axis=1)
+    codes = np.unique(np.concatenate([ball, rng.integers(0, 1 << 63, 1500, np.uint64), rng.integers(0, 1 << 63, 300, np.uint64) & np.uint64(0xFF)]))
+    nodes = spark.createDataFrame([(k, int(c)) for k, c in enumerate(codes.view(np.int64))], "node long, fp long")
+    for masks, heavy, part in (([0], 100, 64), (upper_masks(len(codes), 4, node_rows=50), 200, 100), (upper_masks(len(codes), 4, 6), 10**6, 10**6)):
+        found = [(r.u, r.v) for r in links(nodes, 4, masks, heavy, part).collect()]
+        label = merge(np.arange(len(codes)), *np.array(found, np.int64).reshape(-1, 2).T)
+        assert (label == brute_components(codes, 4)).all()
+        assert len(found) < 40 * len(codes)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 500)] + [(600, 601)], "u long, v long")
+    rows = spark.range(700).select(F.col("id").alias("node"), (1000 - F.col("id")).alias("low"))
+    plain, salted = (sorted((r.node, r.component_id) for r in name_groups(rows.select("node"), rows, edges, broadcast_rows=b).collect()) for b in (500, 0))
+    assert plain == salted and dict(plain)[7] == 501 and dict(plain)[600] == 399 and dict(plain)[650] == 350
 
 
 def test_similarity_of_sets(spark):
@@ -136,8 +172,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(found[x] == find(x) for x in root if find(x) != x)
+    for hub in (1024, 3):
+        found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), hub_rows=hub).collect()}
+        assert all(found[x] == find(x) for x in root if find(x) != x)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
