@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; bytes.split() cuts at exactly these.
@@ -37,6 +37,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def place_among(cuts: str, value: Column, most: int) -> Column:
+    """How many of the ascending array ``cuts``, of fewer than ``most`` entries, are smaller than the value; halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & (F.try_element_at(F.col(cuts), at + step) < value), at + step).otherwise(at))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, id_and_text, map_texts
+from .common import cut_lineage, fresh, id_and_text, map_texts, place_among
 
 LEAF, FANOUT, CHUNK = 2, 8, 1 << 14
 #: Fingerprints an upper node holds on average, rows beyond which it is cut into parts, and rows of a part.
@@ -221,9 +221,7 @@ def parted(dealt: DataFrame, heavy: DataFrame, max_bits: int, part_rows: int) ->
     for (parts,) in sized.select("parts").distinct().collect():  # powers of two, so a few dozen at most
         own = dealt.join(F.broadcast(sized.where(F.col("parts") == parts).select("block", "bits")), ["block", "bits"])
         cuts = own.groupBy("block", "bits").agg(F.percentile_approx(rank, [k / parts for k in range(1, parts)] or [1.0], max(10_000, 20 * parts)).alias("cuts"))
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
-        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("cuts")) & (F.try_element_at("cuts", at + step) < rank), at + step).otherwise(at))
-        placed = cut_lineage(own.join(F.broadcast(cuts), ["block", "bits"]).select("block", "bits", place.alias("part"), "fp", "node"))
+        placed = cut_lineage(own.join(F.broadcast(cuts), ["block", "bits"]).select("block", "bits", place_among("cuts", rank, parts).alias("part"), "fp", "node"))
         nodes = placed.groupBy("block", "bits", "part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
         one, other = (nodes.select("block", "bits", F.col("part").alias(p), F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias(f"{p}_mask"), F.col("all").alias(f"{p}_bits")) for p in ("low", "high"))
         differ = F.bit_count(F.col("low_bits").bitwiseXOR(F.col("high_bits")).bitwiseAND(F.col("low_mask")).bitwiseAND(F.col("high_mask")))
@@ -281,7 +279,9 @@ def links(nodes: DataFrame, max_bits: int, masks: list[int], heavy_rows: int = H
 
 def beside_least(edges: DataFrame, hub: int) -> DataFrame:
     """(u, v, m) of edges (u, v): m is the smallest v of a row's u. Nodes with more than hub edges get theirs by a broadcast, so that no node's edges meet in one task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+    if not least.where(F.col("degree") > hub).take(1):
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.where(F.col("degree") > hub).select("u", "m"))
     light = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= hub).select("u", "m"), "u")
     return edges.join(hubs, "u").select("u", "v", "m").unionAll(light.select("u", "v", "m"))
@@ -302,7 +302,7 @@ def components(edges: DataFrame, hub_rows: int = 1024, most_hubs: int = 100_000)
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, hub = tuple(now), max(hub_rows, now[0] // most_hubs)
         both = beside_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), hub)
-        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = cut_lineage(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         small = beside_least(large, hub)
         kept = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(kept.union(small.select("u", F.col("m").alias("v"))).distinct())

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
-from riskloom.llm.topk import KDTree, top_k
+from riskloom.llm.topk import NONE, Boxes, KDTree, cells_of, cut_space, placed, planted, ranked, routed, searched, top_k
 
 
 def brute_fingerprint(text):
@@ -211,8 +211,37 @@ def test_kd_tree(dims, low, high):
     rng = np.random.default_rng(dims)
     v, ids = rng.integers(low, high + 1, (500, dims)), rng.permutation(500) * 3
     tree = KDTree(ids, v)
-    got = sorted((int(ids[q]), n + 1, -i, s) for q in range(0, 500, 25) for n, (s, i) in enumerate(sorted(tree.search(int(ids[q]), v[q], 5, -(1 << 63)), reverse=True)))
+    got = sorted((int(ids[q]), n + 1, -i, s) for q in range(0, 500, 25) for n, (s, i) in enumerate(sorted(tree.search(int(ids[q]), v[q], 5), reverse=True)))
     assert got == brute_top(ids, v, range(0, 500, 25), 5)
+    again = KDTree.of(tree.kept())
+    assert sorted(again.search(3, v[7].astype(np.int64), 5)) == sorted(tree.search(3, v[7], 5))
+    nodes = cut_space(v, 16)
+    cells = cells_of(nodes, v)
+    assert cells.min() == 0 and len(np.unique(cells)) == len(nodes) + 1 and (np.bincount(cells).max() <= 250 or high - low < 3)
+
+
+def test_most_shards_are_never_asked(spark):
+    """With shards that are cells of space, a query's k-th score closes most of them before it is sent."""
+    rng = np.random.default_rng(7)
+    hearts = rng.normal(size=(40, 16)) * 3
+    v = np.floor(256 * (hearts[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.2)).astype(np.int64)
+    v[:1200] = v[0]  # one vector on a third of all rows: cut by ranges of ids
+    rows = spark.createDataFrame([(16, k, x.tolist()) for k, x in enumerate(v)], "dim int, id long, vec array<long>")
+    trees = planted(placed(rows, 100, 8192, 2000, 1)).cache()
+    shards = trees.drop("tree").collect()
+    assert len(shards) >= 20 and max(r.n for r in shards) <= 500 and sum(r.n for r in shards) == 4000
+    assert len({(r.dim, r.cell, r.part) for r in shards}) == len(shards)
+    boxes = {16: Boxes(shards)}
+    asked = rows.where("id % 50 = 0").withColumns({"score": F.lit(NONE), "worst": F.lit(NONE)})
+    first = routed(asked, boxes, 5, 0, 8)
+    best = ranked(searched(trees, first, 5), 5)
+    kth = {r.query_id: (r.score, -r.vec_id) for r in best.where("rank = 5").collect()}
+    bound = spark.createDataFrame([(16, r.id, r.vec, *kth[r.id]) for r in asked.collect()], "dim int, id long, vec array<long>, score long, worst long")
+    sent = first.count() + sum(routed(bound, boxes, 5, turn, 8).count() for turn in (1, 2))
+    assert sent < 0.25 * 80 * len(shards)
+    df = spark.createDataFrame([(k, [float(c) for c in x]) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 50 = 0"), scale=1, shard_rows=100).collect())
+    assert got == brute_top(np.arange(4000), v, range(0, 4000, 50), 5)
 
 
 def test_top_k(spark, small):
