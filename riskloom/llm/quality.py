@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-A seeded sample of the texts runs every rule once; each rule's CPU time and
-rejections give its rejections per second, and the cascade tries rules from the
-highest down and stops at the first that rejects. The order is fixed before the
-main pass and cannot change a verdict, since a text is kept only if no rule
-rejects it. Facts about a text are computed when a rule first asks for them, so
-a text that a cheap rule rejects never pays for a dear one. One map, no shuffle.
+Facts about a text are computed when a rule first asks for them, and rules share
+facts. Each task runs all rules on the first texts it sees and times every fact;
+that sample gives each rule's cost, which is that of the facts no earlier rule has
+made, and its selectivity, which is the share it rejects of what earlier rules left.
+The cascade is ordered by rejections per cost, and from then on a text stops at the
+first rule that rejects it and never pays for what follows. The order cannot
+change a verdict, since a text is kept only if no rule rejects it. One map, no
+shuffle, and no pass over the corpus but the one that decides.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, id_and_text
 
@@ -86,11 +87,6 @@ class Facts:
     def upper(self) -> int:
         return sum(map(str.isupper, self.text))
 
-    @property
-    def base_failed(self) -> bool:
-        return any(RULES[k](self) for k in BASE)
-
-
 #: Each rule says whether it rejects the text. BASE: what a text must meet in any case.
 RULES: dict[str, Callable[[Facts], bool]] = {
     "few_words": lambda x: x.n_words < 50,
@@ -100,67 +96,117 @@ RULES: dict[str, Callable[[Facts], bool]] = {
     "duplicate_lines": lambda x: x.n_dup_lines >= 3 and 10 * x.n_dup_lines > 3 * len(x.lines),
     "capitals": lambda x: 2 * x.upper > x.letters,
     "letters": lambda x: 2 * x.letters < x.word_chars,
+    "no_words": lambda x: not x.n_words,
 }
 BASE = ("few_words", "repeated_words")
+#: The rules for texts of any length: short ones are kept if nothing else is wrong with them.
+ANY_LENGTH = ("no_words", *(r for r in RULES if r not in ("few_words", "no_words")))
+#: What the contract's counts are, and what each rule and each fact is made of; facts stand behind those they need.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+NEEDS: dict[str, tuple[str, ...]] = {
+    "few_words": ("n_words",),
+    "repeated_words": ("n_repeat_words", "n_words"),
+    "symbols": ("n_symbols", "n_words"),
+    "word_length": ("word_chars", "n_words"),
+    "duplicate_lines": ("n_dup_lines", "lines"),
+    "capitals": ("upper", "letters"),
+    "letters": ("letters", "word_chars"),
+    "no_words": ("n_words",),
+}
+MADE_OF: dict[str, tuple[str, ...]] = {
+    "data": (),
+    "words": ("data",),
+    "n_words": ("words",),
+    "word_chars": (),
+    "n_symbols": ("data",),
+    "lines": ("data",),
+    "n_dup_lines": ("lines",),
+    "n_repeat_words": ("words", "n_words"),
+    "letters": (),
+    "upper": (),
+}
 
 
-def measured_order(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[str], sample_rows: int = 2000, seed: int = 7) -> list[str]:
-    """rules by rejections per CPU second on about sample_rows rows; as given where the table is empty."""
+def closure(facts: Sequence[str]) -> set[str]:
+    """These facts and all they are made of."""
+    return set(facts).union(*(closure(MADE_OF[f]) for f in facts)) if facts else set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, out, seen = [0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen += 1
-                for k, name in enumerate(rules):
-                    facts, began = Facts(text), time.thread_time_ns()
-                    out[k] += RULES[name](facts)
-                    spent[k] += time.thread_time_ns() - began
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent, pa.int64()), pa.array(out, pa.int64())], names=["rule", "ns", "rejected"])
 
-    rows = max(1, docs.count())
-    sample = id_and_text(docs, id_col, text_col).sample(min(1.0, sample_rows / rows), seed)
-    found = sample.mapInArrow(run, "rule int, ns long, rejected long").groupBy("rule").agg(F.sum("ns").alias("ns"), F.sum("rejected").alias("rejected")).collect()
-    gain = {r.rule: r.rejected / max(1, r.ns) for r in found}
-    return sorted(rules, key=lambda name: -gain.get(rules.index(name), 0.0))
-
-
-def rejects(facts: Facts, order: Sequence[str]) -> str | None:
-    """The first rule of order that rejects the text."""
-    return next((name for name in order if RULES[name](facts)), None)
+class Cascade:
+    """Rules in the order that a sample of ``sample_rows`` texts suggests; until it is complete every rule runs on every text.
 
+    made: facts that every text has anyway, which cost a rule nothing.
+    """
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[str] = tuple(RULES)) -> DataFrame:
+    def __init__(self, rules: Sequence[str], made: Sequence[str] = (), sample_rows: int = 256):
+        self.order, self.made, self.sample_rows, self.seen = list(rules), closure(made), sample_rows, 0
+        self.spent, self.rejected = dict.fromkeys(MADE_OF, 0), []
+
+    def rejects(self, facts: Facts) -> bool:
+        if self.seen >= self.sample_rows:
+            return any(RULES[r](facts) for r in self.order)
+        self.seen += 1
+        for name in MADE_OF:
+            began = time.thread_time_ns()
+            getattr(facts, name)
+            self.spent[name] += time.thread_time_ns() - began
+        self.rejected.append([RULES[r](facts) for r in self.order])
+        found = any(self.rejected[-1])
+        if self.seen == self.sample_rows:
+            self.order = self.ordered()
+        return found
+
+    def ordered(self) -> list[str]:
+        """Greedily, the rule that rejects most of what is left for what it still has to make; rules that reject nothing come last, the cheapest first."""
+        left, made, names, out = np.array(self.rejected, bool), set(self.made), list(self.order), []
+        rules = list(names)
+        while rules:
+            cost = {r: 1 + sum(self.spent[f] for f in closure(NEEDS[r]) - made) for r in rules}
+            best = max(rules, key=lambda r: (left[:, names.index(r)].sum() / cost[r], -cost[r]))
+            out.append(best)
+            rules.remove(best)
+            made |= closure(NEEDS[best])
+            left = left[~left[:, names.index(best)]]
+        return out
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[str] = tuple(RULES), sample_rows: int = 256) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row.
 
-    Null text: no words, so it fails the base. Repeated rows and null ids each
-    return their row; other columns are not read; an empty table returns none.
+    The five counts are made for every text, so they cost a rule nothing; texts
+    that fail the base meet no further rule. Null text: no words, so it fails
+    the base. Repeated rows and null ids each return their row; other columns
+    are not read; an empty table returns none. sample_rows: texts of a task by
+    which it orders its rules.
     """
-    order = measured_order(docs, id_col, text_col, [r for r in rules if r not in BASE])
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade([r for r in rules if r not in BASE], COUNTS, sample_rows)
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 facts = Facts(text.as_py())
-                base = facts.base_failed
-                rows.append((*(getattr(facts, c) for c in counts), base, not base and rejects(facts, order) is None))
+                counts = [getattr(facts, c) for c in COUNTS]
+                base = any(RULES[r](facts) for r in BASE)
+                rows.append((*counts, base, not base and not cascade.rejects(facts)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             arrays = [pa.array(c, pa.int64() if k < 5 else pa.bool_()) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *counts, "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *COUNTS, "base_failed", "kept"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[str] = tuple(RULES)) -> DataFrame:
-    """The rows that no rule rejects, base rules included, all columns as they were."""
-    order = measured_order(docs, id_col, text_col, list(rules))
+def quality_filter(docs: DataFrame, text_col: str = "text", rules: Sequence[str] = tuple(RULES), sample_rows: int = 256) -> DataFrame:
+    """The rows that none of the rules rejects, all columns as they were.
+
+    Null and empty texts have no words. Repeated rows each have their verdict;
+    an empty table returns none.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, sample_rows=sample_rows)
         for batch in batches:
-            yield batch.filter(pa.array([rejects(Facts(text.as_py()), order) is None for text in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not cascade.rejects(Facts(text.as_py())) for text in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import takewhile
+from itertools import accumulate, takewhile
 
 import ahocorasick
 import numpy as np
@@ -70,7 +71,7 @@ class Lexicon:
 
 
 def hits(automaton: ahocorasick.Automaton, line: str) -> dict[int, float]:
-    """Weight of each word that an entry matches, by its place in the line; the heaviest entry counts, and none inside an exception."""
+    """Weight of each word that an entry matches, by its place in the line; the heaviest entry counts, and none inside an exception. Time follows the line and its matches."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     for end, (length, weight) in automaton.iter(line):
@@ -79,7 +80,11 @@ def hits(automaton: ahocorasick.Automaton, line: str) -> dict[int, float]:
             spared.append((start, end - 1))
         elif best.get(start, 0.0) < weight:
             best[start] = weight
-    return {k: w for k, w in best.items() if not any(a <= k <= b for a, b in spared)} if spared else best
+    if not spared:
+        return best
+    spared.sort()
+    firsts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    return {k: w for k, w in best.items() if not (n := bisect_right(firsts, k)) or reach[n - 1] < k}
 
 
 def measures(automaton: ahocorasick.Automaton, words: Sequence[str]) -> tuple[float, float]:
@@ -95,8 +100,8 @@ def entries(words: Sequence[str], shortest: int = 4, longest: int = 9) -> set[st
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model may learn from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Rows that no model may learn from: the checksum of their id divides by five. False for a null id, which no label can have."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int, seed: int) -> DataFrame:
@@ -143,12 +148,12 @@ def specific(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     return kept
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, max_terms: int = 2_000, min_documents: int = 4, exceptions: Sequence[str] = (), seed: int = 5) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, min_documents: int = 4, exceptions: Sequence[str] = (), seed: int = 5) -> Lexicon:
     """A lexicon from at most about train_rows labelled documents, held-out rows apart.
 
     Entries occur in min_documents documents with the label, and their log-odds
-    stay above 1.5 less two standard errors; the max_terms with the highest lower
-    ends are kept. Exceptions: those given, folded, and pairs of neighbouring words
+    stay above 1.5 less two standard errors; their number is bounded by that of
+    the words of train_rows documents. Exceptions: those given, folded, and pairs of neighbouring words
     around an entry that occur in min_documents documents, four in five of them
     without the label.
     """
@@ -159,7 +164,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     low = odds - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     ranked = counted(sample, lambda: entries).where(F.col("bad") >= min_documents).select("term", "bad", odds.alias("odds"), low.alias("low")).where("low > 1.5")
-    weights = specific({r.term: (r.odds, r.bad) for r in ranked.orderBy(F.desc("low"), "term").limit(max_terms).collect()})
+    weights = specific({r.term: (r.odds, r.bad) for r in ranked.collect()})
     table = Fold()
     given = tuple(" ".join(fold(x, table)) for x in exceptions)
     lexicon = Lexicon(weights, given)
@@ -170,16 +175,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         def pairs(words: Sequence[str]) -> set[str]:
             line, found = f" {' '.join(words)} ", set()
             for start in hits(automaton, line) if weights else ():
-                after = line[start:].split(" ", 2)
-                before = line[:start].rstrip().rpartition(" ")[2]
-                found |= {f"{before} {after[0]}"} if before else set()
-                found |= {f"{after[0]} {after[1]}"} if len(after) > 1 and after[1] else set()
+                end = line.find(" ", start)
+                before, behind = line.rfind(" ", 0, start - 1), line.find(" ", end + 1)
+                found |= {line[before + 1 : end]} if before >= 0 else set()
+                found |= {line[start:behind]} if behind >= 0 else set()
             return found
 
         return pairs
 
     spared = counted(sample, around).where((F.col("good") >= min_documents) & (F.col("good") >= 4 * F.col("bad")))
-    learned = [r.term for r in spared.orderBy(F.desc("good"), "term").limit(max_terms).collect()]
+    learned = [r.term for r in spared.orderBy("term").collect()]
     lexicon = Lexicon(weights, (*given, *learned))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from riskloom.llm import chat
 from riskloom.llm.lines import drop_boilerplate
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import first_fit_decreasing, pack
-from riskloom.llm.quality import Facts, quality_filter, quality_verdicts
+from riskloom.llm.quality import ANY_LENGTH, COUNTS, MADE_OF, NEEDS, RULES, Cascade, Facts, closure, quality_filter, quality_verdicts
 from riskloom.llm.secrets import find_secrets, scan, written
 from riskloom.llm.tokens import PLAIN, Encoder, spliced_count, token_counts
 from riskloom.llm.toxicity import Fold, Lexicon, fold, held_out, hits, learn_lexicon, toxicity_scores
@@ -129,6 +129,32 @@ def brute_facts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
+def brute_kept(text):
+    """The rules one by one, from the words themselves."""
+    n, chars, symbols, dup, repeat = brute_facts(text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    bad = [n < 50, repeat > n / 2, symbols > n / 5, chars < 2 * n, chars > 15 * n, dup >= 3 and dup > 0.3 * len(lines), upper > letters / 2, letters < chars / 2]
+    return not any(bad), not (n == 0 or any(bad[1:]))
+
+
+def test_cascade():
+    """Rules stand by rejections per cost given what is made already, and no order changes a verdict."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["word", "LOUD", "a###", "x1"], k=rng.choice([3, 80, 400]))) for _ in range(300)] + ["", "THE LOUD " * 60, "one line\n" * 30]
+    cascade = Cascade(list(RULES), sample_rows=100)
+    got = [cascade.rejects(Facts(t)) for t in texts]
+    assert got == [any(r(Facts(t)) for r in RULES.values()) for t in texts] and sorted(cascade.order) == sorted(RULES)
+    assert closure(NEEDS["repeated_words"]) == {"n_repeat_words", "words", "n_words", "data"} and set(MADE_OF) >= closure(COUNTS)
+    told = Cascade(["capitals", "symbols", "letters"], made=COUNTS)
+    told.spent = dict.fromkeys(MADE_OF, 1000)
+    told.rejected = [[True, True, False]] * 5 + [[False, False, True]] + [[False] * 3] * 9
+    assert told.ordered() == ["symbols", "letters", "capitals"]  # symbols are counted anyway, and leave nothing to capitals
+    skipped = Facts("THE LOUD ### " * 60)
+    cascade.order = ["symbols", "repeated_words", "capitals"]
+    assert cascade.rejects(skipped) and "n_repeat_words" not in vars(skipped) and "upper" not in vars(skipped)
+
+
 def test_quality(spark, small, texts, odd, empty):
     labels = dict(duckdb.sql(f"select doc_id, quality from '{small}/labels.parquet'").fetchall())
     kept = set()
@@ -136,11 +162,12 @@ def test_quality(spark, small, texts, odd, empty):
         want = brute_facts(texts[r.doc_id])
         base = want[0] < 50 or 100 * want[4] > 50 * want[0]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*want, base)
-        assert not (base and r.kept)
+        assert r.kept == brute_kept(texts[r.doc_id])[0]
         kept |= {r.doc_id} if r.kept else set()
         if labels.get(r.doc_id) == 0:
             assert not r.kept
     assert {r.doc_id for r in quality_filter(documents(spark, small)).collect()} == kept
+    assert {r.doc_id for r in quality_filter(documents(spark, small), rules=ANY_LENGTH, sample_rows=5).collect()} == {k for k, t in texts.items() if brute_kept(t)[1]}
     assert quality_verdicts(odd).count() == odd.count() and quality_filter(odd).columns == odd.columns
     assert quality_verdicts(empty).count() == quality_filter(empty).count() == 0
     for text in ("a b a b a b a b", "x y z x y z", "a a a", "\n\n", "é é é é"):
@@ -293,6 +320,28 @@ def test_chat(spark):
 
 
 
+def brute_hits(weights, exceptions, line):
+    """Every entry and exception looked for at every word."""
+    starts = [k for k in range(1, len(line)) if line[k - 1] == " " and line[k] != " "]
+    out = {k: max((w for t, w in weights.items() if line.startswith(t, k)), default=0) for k in starts}
+    inside = {k for a in starts for e in exceptions if line.startswith(e + " ", a) for k in range(a, a + len(e) + 1)}
+    return {k: w for k, w in out.items() if w > 0 and k not in inside}
+
+
+def test_matcher_is_brute_force():
+    rng = random.Random(11)
+    for _ in range(400):
+        word = lambda: "".join(rng.choices("ab", k=rng.randint(1, 4)))
+        weights = {word() + rng.choice(["", " "]): rng.randint(1, 9) for _ in range(4)}
+        exceptions = tuple(" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(2))
+        line = f" {' '.join(word() for _ in range(rng.randint(0, 30)))} "
+        assert hits(Lexicon(weights, exceptions).automaton(), line) == brute_hits(weights, exceptions, line), (weights, exceptions, line)
+    auto = Lexicon({"idiot ": 3.0}, ("no idiot",)).automaton()
+    began = time.process_time()
+    assert not hits(auto, " no idiot" * 100_000 + " ") and len(hits(auto, " an idiot no idiot" * 50_000 + " ")) == 50_000
+    assert time.process_time() - began < 10
+
+
 def test_toxicity(spark, small, odd, empty):
     table = Fold()
     assert fold("ІDIОT 1d10t $tupid i.d @b", table) == fold("idiot idiot stupid i d ab", table)
@@ -308,3 +357,4 @@ def test_toxicity(spark, small, odd, empty):
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.97
     assert toxicity_scores(odd, learned).count() == odd.count() and toxicity_scores(empty, learned).count() == 0
     assert learn_lexicon(empty, labels.limit(0)).weights == {}
+    assert spark.range(1).select(held_out(F.lit(None).cast("long"))).first()[0] is False
