@@ -29,7 +29,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh, id_and_text, map_texts, place_among
@@ -527,9 +527,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each near-duplicate group, that of the smallest id; all columns stay.
 
     The ids that go are broadcast while there are at most broadcast_ids of them
-    (8 bytes each) and joined by a shuffle beyond. Repeated ids keep one row.
-    Rows with a null id stay as they are.
+    (8 bytes each) and joined by a shuffle beyond. Repeated ids keep one row, that
+    with the smallest hash of its columns, so the same one in every run.
+    Rows with a null id stay as they are; an empty table returns none.
     """
+    ident = F.col(f"`{id_col}`")
     groups = near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits) if similarity is None else similar_groups(docs, id_col, text_col, shingle_words, similarity, with_fingerprint=False)
     groups = cut_lineage(groups.select("doc_id", "component_id"))
     ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
@@ -538,5 +540,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size, repeated = ids.agg(F.count("*"), F.max("times")).first()
     kept = docs.join(F.broadcast(gone) if size <= broadcast_ids else gone, docs[f"`{id_col}`"].cast("long") == gone[key], "left_anti")
     if (repeated or 1) > 1:
-        kept = kept.where(f"`{id_col}` is not null").dropDuplicates([id_col]).unionByName(kept.where(f"`{id_col}` is null"))
+        rank = fresh(docs, "row_rank")[0]
+        first = Window.partitionBy(ident).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_col}`"))
+        kept = kept.withColumn(rank, F.when(ident.isNull(), 1).otherwise(F.row_number().over(first))).where(F.col(rank) == 1).drop(rank)
     return kept

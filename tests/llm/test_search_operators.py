@@ -194,6 +194,8 @@ def test_near_duplicates(spark, small):
     kept = [r.doc_id for r in drop_near_duplicates(docs, shingle_words=4).collect()]
     want = sorted({r.component_id for r in out})
     assert sorted(x for x in kept if x is not None) == want and kept.count(None) == 1
+    twice = spark.createDataFrame([(1, f"text {k} " + base, str(k)) for k in range(9)], docs.schema)
+    assert len({tuple(drop_near_duplicates(twice.repartition(n), shingle_words=4).collect()) for n in (1, 2, 5)}) == 1
     assert near_duplicate_groups(docs.limit(0)).count() == drop_near_duplicates(docs.limit(0)).count() == 0
 
 
