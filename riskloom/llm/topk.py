@@ -186,7 +186,7 @@ def placed(rows: DataFrame, shard_rows: int, max_shards: int, sample_rows: int,
     if not large:
         return rows.select("dim", F.lit(0).alias("cell"), F.lit(0).alias("part"), "id", "vec")
     celled = cut_lineage(rows.select("dim", "id", "vec").mapInArrow(run, "dim int, cell int, id long, vec array<long>"))
-    full = celled.groupBy("dim", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * shard_rows)
+    full = celled.groupBy("dim", "cell").agg(F.count("*").alias("rows")).where(2 * F.col("rows") > 3 * shard_rows)
     full = cut_lineage(full.select("dim", "cell", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("rows") / shard_rows))).cast("int").alias("parts")))
     out = celled.join(F.broadcast(full.select("dim", "cell")), ["dim", "cell"], "left_anti").withColumn("part", F.lit(0))  # full has fewer rows than max_shards
     for (parts,) in full.select("parts").distinct().collect():
@@ -306,7 +306,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = 4096, max_shards: int = 8192, sample_rows: int = 65_536, fan: int = 8, seed: int = 3) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = 2048, max_shards: int = 8192, sample_rows: int = 65_536, fan: int = 8, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the largest inner product with each row of queries.
 
     Components x count as floor(scale * x); ties go to the smaller id; rows that
