@@ -31,22 +31,36 @@ def cash_loss(weights: Sequence[float], base_weight: float, r1: Sequence[Column]
     return start * F.exp(-a) - (start - hold) * F.exp(-a - b)
 
 
+def tasks(books: Mapping[str, tuple[float, Sequence[float]]] = BOOKS, reports: Mapping[str, int] = REPORTS) -> list[tuple[str, str, float, Sequence[float], int]]:
+    """(book, report, numeraire weight, weights, number of the reporting series) of every task."""
+    return [(book, report, base, w, n) for book, (base, w) in books.items() for report, n in reports.items()]
+
+
 def task_losses(r1: Sequence[Column], r2: Sequence[Column], books: Mapping[str, tuple[float, Sequence[float]]] = BOOKS, reports: Mapping[str, int] = REPORTS) -> Column:
     """array<struct<book, report, loss>> of every book in every reporting unit."""
-    return F.array(*[F.struct(F.lit(book).alias("book"), F.lit(report).alias("report"), cash_loss(w, base, r1, r2, n).alias("loss")) for book, (base, w) in books.items() for report, n in reports.items()])
+    return F.array(*[F.struct(F.lit(book).alias("book"), F.lit(report).alias("report"), cash_loss(w, base, r1, r2, n).alias("loss")) for book, report, base, w, n in tasks(books, reports)])
+
+
+def tail_place(ordered: Column, tau: Column) -> Column:
+    """ceil(tau * n), at least 1; tau a decimal, so that the product is exact."""
+    return F.greatest(F.ceil(tau * F.size(ordered)).cast("int"), F.lit(1))
 
 
 def inverse_cdf(ordered: Column, tau: Column) -> Column:
-    """Order statistic number ceil(tau * n) of an ascending array; tau a decimal, so that the product is exact."""
-    return F.element_at(ordered, F.greatest(F.ceil(tau * F.size(ordered)).cast("int"), F.lit(1)))
+    """Order statistic number ceil(tau * n) of an ascending array."""
+    return F.element_at(ordered, tail_place(ordered, tau))
 
 
 def expected_shortfall(ordered: Column, var: Column, tau: Column) -> Column:
-    """var plus the mean excess over it, divided by 1 - tau: the fractional tail mean."""
-    excess = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + F.greatest(x - var, F.lit(0.0)))
+    """var plus the mean excess over it, divided by 1 - tau: the fractional tail mean. Only the tail of the array is walked."""
+    excess = F.aggregate(F.slice(ordered, tail_place(ordered, tau), F.size(ordered)), F.lit(0.0), lambda s, x: s + (x - var))
     return var + excess / F.size(ordered) / (1 - tau.cast("double"))
 
 
+def array_mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
 def fz0(y: Column, var: Column, es: Column, tau: Column) -> Column:
     """Joint score of VaR and ES, lower is better; null outside its domain (es positive and not below var)."""
     score = F.greatest(y - var, F.lit(0.0)) / ((1 - tau.cast("double")) * es) + var / es + F.log(es) - 1

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.columns import inverse_cdf, tail_place
+
 
 def summary(scores: DataFrame, *keys: str) -> DataFrame:
     """Dates, tasks, mean score, breach rate, mean VaR and ES, and median ES of each group."""
@@ -42,12 +45,12 @@ def pair_contrasts(df: DataFrame, keys: Sequence[str], member: str, value: str,
     return p.select(*keys, "p.a", "p.b", (F.col("p.d") / F.col("scale")).alias("contrast"))
 
 
-def pit(losses: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mid-distribution PIT of the outcome in its scenarios, both one-sided values, and whether it lies outside their range."""
-    j = losses.join(actual, list(keys))
-    x, y = F.col("loss"), F.col("actual")
-    g = j.groupBy(*keys, "actual").agg(F.avg((x < y).cast("double")).alias("cdf_left"), F.avg((x <= y).cast("double")).alias("cdf_right"), F.min(x).alias("low"), F.max(x).alias("high"))
-    return g.select(*keys, ((F.col("cdf_left") + F.col("cdf_right")) / 2).alias("pit"), "cdf_left", "cdf_right", (F.col("actual") < F.col("low")).cast("int").alias("below_support"), (F.col("actual") > F.col("high")).cast("int").alias("above_support"))
+def pit(scenarios: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mid-distribution PIT of the outcome in its scenario set x, both one-sided values, and whether it lies outside their range."""
+    x, y = F.col("x"), F.col("actual")
+    share = lambda keep: F.size(F.filter(x, keep)) / F.size(x)
+    g = scenarios.join(actual, list(keys)).select(*keys, share(lambda v: v < y).alias("cdf_left"), share(lambda v: v <= y).alias("cdf_right"), (y < F.element_at(x, 1)).cast("int").alias("below_support"), (y > F.element_at(x, -1)).cast("int").alias("above_support"))
+    return g.select(*keys, ((F.col("cdf_left") + F.col("cdf_right")) / 2).alias("pit"), "cdf_left", "cdf_right", "below_support", "above_support")
 
 
 def decile(x: Column) -> Column:
@@ -63,20 +66,20 @@ def ks_distance(df: DataFrame, value: str, *within: str) -> DataFrame:
     return r.groupBy(*within).agg(F.max(F.greatest(F.col("i") / F.col("n") - F.col("u"), F.col("u") - (F.col("i") - 1) / F.col("n"))).alias("ks"))
 
 
-def tail_leverage(losses: DataFrame, forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Largest scenario loss and its share of all excess over VaR (0 without excess)."""
-    j = losses.join(forecasts, list(keys)).withColumn("excess", F.greatest(F.col("loss") - F.col("var"), F.lit(0.0)))
-    g = j.groupBy(*keys, "tau", "var", "es").agg(F.max("loss").alias("maximum_loss"), F.max("excess").alias("top"), F.sum("excess").alias("all"), F.count("*").alias("n"))
-    return g.select(*keys, "tau", "maximum_loss", F.when(F.col("all") > 0, F.col("top") / F.col("all")).otherwise(0.0).alias("share"), "n")
+def tail_leverage(scenarios: DataFrame, keys: Sequence[str], taus) -> DataFrame:
+    """Largest scenario loss and its share of all excess over VaR (0 without excess), from each set x itself."""
+    told = scenarios.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus]))).withColumn("var", inverse_cdf(F.col("x"), F.col("tau")))
+    high = F.element_at("x", -1)
+    every = F.aggregate(F.slice("x", tail_place(F.col("x"), F.col("tau")), F.size("x")), F.lit(0.0), lambda s, v: s + (v - F.col("var")))
+    return told.select(*keys, "tau", high.alias("maximum_loss"), F.when(every > 0, (high - F.col("var")) / every).otherwise(0.0).alias("share"), F.size("x").cast("long").alias("n"))
 
 
-def wasserstein(df: DataFrame, keys: Sequence[str], member: str, value: str = "loss") -> DataFrame:
-    """(keys, a, b, w1): mean distance of order statistics between members with equally many values."""
-    g = df.groupBy(*keys, member).agg(F.sort_array(F.collect_list(value)).alias("x"))
-    p = g.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(member).alias("m"), "x"))).alias("g"))
-    pairs = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: (b["m"] > a["m"]) & (F.size(b["x"]) == F.size(a["x"]))), lambda b: F.struct(a["m"].alias("a"), b["m"].alias("b"), F.zip_with(a["x"], b["x"], lambda u, v: F.abs(u - v)).alias("gap")))))
+def wasserstein(scenarios: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+    """(keys, a, b, w1): mean distance of order statistics between the sets x of members with equally many values. Members of a key are few."""
+    p = scenarios.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(member).alias("m"), "x"))).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: (b["m"] > a["m"]) & (F.size(b["x"]) == F.size(a["x"]))), lambda b: F.struct(a["m"].alias("a"), b["m"].alias("b"), F.aggregate(F.zip_with(a["x"], b["x"], lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v).alias("gap"), F.size(a["x"]).alias("n")))))
     e = p.select(*keys, F.explode(pairs).alias("p"))
-    return e.select(*keys, "p.a", "p.b", (F.aggregate("p.gap", F.lit(0.0), lambda s, v: s + v) / F.size("p.gap")).alias("w1"))
+    return e.select(*keys, "p.a", "p.b", (F.col("p.gap") / F.col("p.n")).alias("w1"))
 
 
 def factorial(df: DataFrame, cell: Sequence[str], factors: Sequence[str], value: Column, *scope: str) -> DataFrame:
@@ -85,9 +88,7 @@ def factorial(df: DataFrame, cell: Sequence[str], factors: Sequence[str], value:
     A cell holds a full grid of factor levels. An effect is the margin's mean less
     all effects of smaller margins, by inclusion and exclusion over window means.
     """
-    from itertools import combinations
-
-    x = df.withColumn("_x", value)
+    x = df.select(*cell, *factors, *[c for c in scope if c not in cell], value.alias("_x"))
     margins = [m for n in range(len(factors) + 1) for m in combinations(factors, n)]
     for m in margins:
         x = x.withColumn("_" + "_".join(("m", *m)), F.avg("_x").over(Window.partitionBy(*cell, *m)))
@@ -108,10 +109,17 @@ def known_lag(scores: DataFrame, value: str, lag: int, *within: str) -> DataFram
 
 
 def hac_variance(df: DataFrame, value: str, lags: int, *within: str) -> DataFrame:
-    """(within, n, mean, variance): Bartlett-weighted long-run variance of the mean, divided by n."""
+    """(within, n, mean, variance): Bartlett-weighted long-run variance of the mean, divided by n.
+
+    Bartlett weights over lags are what sums over lags + 1 neighbouring values
+    give when they are squared and added up, with zeros before the first and
+    after the last value: two running sums instead of a term a lag.
+    """
     w = Window.partitionBy(*within)
-    z = df.select(*within, "t", F.col(value).cast("double").alias("v"), F.avg(F.col(value).cast("double")).over(w).alias("m"))
-    z = z.select(*within, "m", (F.col("v") - F.col("m")).alias("z"), "t")
-    terms = sum((F.lit(2.0 * (1 - k / (lags + 1))) * F.col("z") * F.coalesce(F.lag("z", k).over(w.orderBy("t")), F.lit(0.0)) for k in range(1, lags + 1)), F.col("z") * F.col("z"))
-    g = z.withColumn("term", terms).groupBy(*within).agg(F.count("*").alias("n"), F.first("m").alias("mean"), F.sum("term").alias("s"))
-    return g.select(*within, "n", "mean", (F.col("s") / F.col("n") / F.col("n")).alias("variance"))
+    v = F.col(value).cast("double")
+    z = df.select(*within, "t", (v - F.avg(v).over(w)).alias("z"), F.avg(v).over(w).alias("m"))
+    near, rest = w.orderBy("t").rowsBetween(-lags, 0), w.orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    tail = F.when(F.count("*").over(rest) <= lags, F.sum("z").over(rest)).otherwise(0.0)
+    sums = z.select(*within, "m", F.sum("z").over(near).alias("near"), tail.alias("tail"))
+    g = sums.groupBy(*within).agg(F.count("*").alias("n"), F.first("m").alias("mean"), F.sum(F.col("near") * F.col("near") + F.col("tail") * F.col("tail")).alias("s"))
+    return g.select(*within, "n", "mean", (F.col("s") / (lags + 1) / F.col("n") / F.col("n")).alias("variance"))

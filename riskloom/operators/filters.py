@@ -1,14 +1,23 @@
-"""Recursive volatility filters, one group a series: the state needs its predecessor, which column expressions do not offer in linear time."""
+"""Recursive volatility filters and the scenario sets they give.
+
+A filter is one group a series: the state needs its predecessor, which column
+expressions do not offer in linear time. Scenario sets are one group a span of
+origins: their windows overlap, so a span's history travels once, and column
+expressions over such arrays took five times as long.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.columns import tasks
 from riskloom.operators.books import REFERENCES
 from riskloom.operators.reshape import basis_long
 
@@ -24,14 +33,15 @@ class Garch:
     h0: float = 10_000.0
 
 
+def recursion(source: np.ndarray, keep: float, first: float) -> np.ndarray:
+    """x[0] = first, x[i] = source[i - 1] + keep * x[i - 1], one value after the other, so that results do not depend on the length."""
+    return np.fromiter(accumulate(source.tolist(), lambda x, s: s + keep * x, initial=first), float, len(source) + 1)
+
+
 def variance_path(r: np.ndarray, p: Garch) -> np.ndarray:
-    """h[i]: the variance for r[i], from increments before it; floors as in the model."""
-    h = np.empty(len(r))
-    if len(r):
-        h[0] = max(p.h0, 1e-8)
-    for i in range(1, len(r)):
-        h[i] = max(p.omega + p.alpha * (r[i - 1] - p.mu) ** 2 + p.beta * h[i - 1], 1e-10)
-    return h
+    """h[i]: the variance for r[i], from increments before it; not below 1e-10, nor 1e-8 at first."""
+    e = r - p.mu
+    return np.maximum(recursion(p.omega + p.alpha * e * e, p.beta, max(p.h0, 1e-8))[: len(r)], 1e-10)
 
 
 def filtered(returns: DataFrame, p: Garch) -> DataFrame:
@@ -55,12 +65,10 @@ def ewma_covariance(returns: DataFrame, decay: float = 0.94, start: int = 20) ->
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("t")
         a, b = g["a"].to_numpy(), g["b"].to_numpy()
-        n, state, out = min(start, len(g)), 0.0, np.empty(len(g))
-        if n > 1:
-            state = float(((a[:n] - a[:n].mean()) * (b[:n] - b[:n].mean())).sum() / (n - 1))
-        for k in range(len(g)):
-            out[k] = state = decay * state + (1 - decay) * a[k] * b[k]
-        return pd.DataFrame({"t": g["t"], "i": g["i"], "j": g["j"], "cov": out})
+        n = min(start, len(g))
+        first = float(((a[:n] - a[:n].mean()) * (b[:n] - b[:n].mean())).sum() / (n - 1)) if n > 1 else 0.0
+        state = recursion((1 - decay) * a * b, decay, first)[1:]
+        return pd.DataFrame({"t": g["t"], "i": g["i"], "j": g["j"], "cov": state})
 
     return long.groupBy("i", "j").applyInPandas(run, "t long, i int, j int, cov double")
 
@@ -71,24 +79,48 @@ def by_node(filtered_rows: DataFrame, *values: str) -> DataFrame:
     return filtered_rows.groupBy("t", "reference").agg(*aggs)
 
 
-def filtered_paths(returns: DataFrame, p: Garch, window: int, residual: str = "z", standardise: bool = False) -> DataFrame:
-    """(t, s, reference, a1..a4, b1..b4): two-step paths in the numeraire's frame, from the residual pairs of each origin's window and the variance known at the origin.
+#: Origins that share a task's group.
+SPAN = 128
+
+
+def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z", standardise: bool = False, h: int = 1) -> DataFrame:
+    """(t, reference, book, report, x): losses, ascending, of h-step paths from the window - h residual blocks known at each origin and its variance.
 
     standardise: residuals of the window less their mean, over their population
-    standard deviation.
+    standard deviation. Rows (t, reference) go to the span of SPAN origins they
+    lie in and to those whose windows reach back to them, so a group is a span's
+    origins with their shared history, however long the calendar.
     """
-    f = filtered(returns, p).select("t", "reference", "node", "h", F.col(residual).alias("z"))
-    nxt = Window.partitionBy("reference", "node").orderBy("t")
-    pairs = f.select(F.col("t").alias("s"), "reference", "node", F.col("z").alias("z1"), F.lead("z", 1).over(nxt).alias("z2")).where("z2 is not null")
-    if standardise:
-        own = f.select(F.col("t").alias("u"), "reference", "node", "z").withColumn("t", F.explode(F.sequence(F.col("u") + 1, F.col("u") + window))).where(F.col("t") > window)
-        moments = own.groupBy("t", "reference", "node").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("sd"))
-    state = f.select("t", "reference", "node", "h")
-    dealt = pairs.withColumn("t", F.explode(F.sequence(F.col("s") + 2, F.col("s") + window))).where(F.col("t") > window).join(state, ["t", "reference", "node"])
-    if standardise:
-        dealt = dealt.join(moments, ["t", "reference", "node"]).withColumn("z1", (F.col("z1") - F.col("m")) / F.col("sd")).withColumn("z2", (F.col("z2") - F.col("m")) / F.col("sd"))
-    e1 = F.sqrt("h") * F.col("z1")
-    h2 = F.lit(p.omega) + F.lit(p.alpha) * e1 * e1 + F.lit(p.beta) * F.col("h")
-    nodes = dealt.select("t", "s", "reference", "node", ((p.mu + e1) / 100).alias("x1"), ((p.mu + F.sqrt(h2) * F.col("z2")) / 100).alias("x2"))
-    pick = lambda v, n: F.coalesce(F.max(F.when(F.col("node") == n, F.col(v))), F.lit(0.0))
-    return nodes.groupBy("t", "s", "reference").agg(*[(pick(v, f"s{k}") - pick(v, "base")).alias(f"{o}{k}") for v, o in (("x1", "a"), ("x2", "b")) for k in range(1, 5)])
+    f = by_node(filtered(returns, p).withColumn("z", F.col(residual)), "h", "z")
+    spans = F.sequence(F.floor(F.col("t") / SPAN), F.floor((F.col("t") + window) / SPAN))
+    every = tasks()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        reference, span = (k.as_py() for k in key)
+        g = group.sort_by("t")
+        t = g["t"].to_numpy()
+        z, v = (np.column_stack([g[f"{c}_{n}"].to_numpy(zero_copy_only=False) for n in REFERENCES]).astype(float) for c in "zh")
+        at = np.flatnonzero((t // SPAN == span) & (np.arange(len(t)) >= window))
+        out = {"t": [], "book": [], "report": [], "x": []}
+        for i in at:
+            past = z[i - window : i]
+            past = (past - past.mean(axis=0)) / past.std(axis=0) if standardise else past
+            state, first, hold = v[i], 0.0, 0.0
+            for k in range(h + 1):
+                e = np.sqrt(state) * past[k : k + window - h]
+                r = (p.mu + e) / 100
+                first, hold = (r, hold) if k == 0 else (first, hold + r)
+                state = p.omega + p.alpha * e * e + p.beta * state
+            a, b = (x[:, 1:] - x[:, :1] for x in (np.nan_to_num(first), np.nan_to_num(hold)))
+            begin, end = np.exp(a), np.exp(a + b)
+            for book, report, base, w, n in every:
+                start, left = base + begin @ np.array(w), base + end @ np.array(w)
+                rise, fall = (1.0, 1.0) if not n else (begin[:, n - 1], end[:, n - 1])
+                out["t"].append(t[i])
+                out["book"].append(book)
+                out["report"].append(report)
+                out["x"].append(np.sort(start / rise - left / fall))
+        return pa.table({"t": pa.array(out["t"], pa.int64()), "reference": pa.array([reference] * len(out["t"]), pa.string()), "book": pa.array(out["book"], pa.string()), "report": pa.array(out["report"], pa.string()), "x": pa.array(out["x"], pa.list_(pa.float64()))})
+
+    dealt = f.withColumn("span", F.explode(spans))
+    return dealt.groupBy("reference", "span").applyInArrow(run, "t long, reference string, book string, report string, x array<double>")

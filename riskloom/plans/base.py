@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.panel import log_returns, price_panel
-from riskloom.operators.risk import historical_losses, realised, scored, var_es
+from riskloom.operators.risk import historical_sets, realised, scored, var_es
 from riskloom.plans.sql import WINDOWS
 
 KEYS = ["t", "book", "report"]
@@ -29,7 +29,7 @@ def returns(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
 def forecasts(spark: SparkSession, sf_dir: str, windows=WINDOWS) -> DataFrame:
     """(model, t, book, report, n, tau, var, es) of historical simulation over each window."""
     r = returns(spark, sf_dir)
-    each = [var_es(historical_losses(r, w), KEYS).select(F.lit(f"HS{w}").alias("model"), "*") for w in windows]
+    each = [var_es(historical_sets(r, w), KEYS).select(F.lit(f"HS{w}").alias("model"), "*") for w in windows]
     return reduce(DataFrame.unionByName, each)
 
 

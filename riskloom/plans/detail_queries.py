@@ -9,7 +9,7 @@ from riskloom.operators import evaluate as E
 from riskloom.operators.panel import history
 from riskloom.operators.risk import var_es
 from riskloom.plans.base import KEYS, forecasts, panel, read, returns, scores
-from riskloom.plans.risk_queries import FHS, filtered_losses, told
+from riskloom.plans.risk_queries import FHS, FKEYS, filtered_sets, told
 from riskloom.plans.sql import r6 as q6, sql
 
 QUERIES, SQL = {}, {}
@@ -26,9 +26,9 @@ def query(name: str, text: str):
 @query("wasserstein_bound", sql(f"SELECT t, book, report, CAST(tau AS DOUBLE) AS tau, {q6('span')} AS span, {q6('w1')} AS w1, {q6('w1 / (1 - CAST(tau AS DOUBLE))')} AS bound, span <= w1 / (1 - CAST(tau AS DOUBLE)) + 1e-9 AS holds FROM (SELECT t, book, report, tau, max(es) - min(es) AS span FROM frisk GROUP BY 1, 2, 3, 4) JOIN (SELECT t, book, report, max(w1) AS w1 FROM w1 GROUP BY 1, 2, 3) USING (t, book, report)", "frisk", "w1", extra=FHS, recursive=True))
 def wasserstein_bound(spark, d):
     """The range of ES over frames never exceeds the largest distance of two frames' laws over 1 - tau."""
-    losses = filtered_losses(spark, d)
+    losses = filtered_sets(spark, d)
     far = E.wasserstein(losses, KEYS, "reference").groupBy(*KEYS).agg(F.max("w1").alias("w1"))
-    span = var_es(losses, [*KEYS, "reference"]).groupBy(*KEYS, "tau").agg((F.max("es") - F.min("es")).alias("span"))
+    span = var_es(losses, FKEYS).groupBy(*KEYS, "tau").agg((F.max("es") - F.min("es")).alias("span"))
     j = span.join(far, KEYS).withColumn("bound", F.col("w1") / (1 - F.col("tau").cast("double")))
     return told(j.withColumn("holds", F.col("span") <= F.col("bound") + 1e-9))
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import r6, task_losses
+from riskloom.functions.columns import array_mean, expected_shortfall, inverse_cdf, r6
 from riskloom.operators import evaluate as E
 from riskloom.operators import filters as G
-from riskloom.operators.panel import columns
-from riskloom.operators.risk import historical_losses, realised, var_es, weighted_var_es
+from riskloom.operators.risk import TAUS, historical_sets, pooled, priced, realised, var_es, weighted_var_es, window_of
 from riskloom.plans.base import KEYS, dated, forecasts, panel, returns, scores
-from riskloom.plans.sql import K, WINDOWS, each_task, r6 as q6, risk_step, sql
-from riskloom.operators.books import REFERENCES, basis
+from riskloom.plans.sql import BASE, K, WINDOWS, loss_sql, r6 as q6, risk_step, sql
+from riskloom.operators.books import BOOKS, REFERENCES, REPORTS, basis
 
 QUERIES, SQL = {}, {}
 TAU = "CAST(tau AS DOUBLE) AS tau"
@@ -35,10 +34,16 @@ def qs(*names: str) -> str:
     return ", ".join(f"{q6(n)} AS {n}" for n in names)
 
 
-@query("hs_cash_losses", sql(f"SELECT t, book, report, count(*) AS n, {q6('min(loss)')} AS low, {q6('max(loss)')} AS high, {q6('avg(loss)')} AS mean FROM losses60 GROUP BY ALL", "losses60"))
+def with_risk(scenarios, tau=TAUS[0]):
+    """Sets with their own VaR and ES at one level, without a join."""
+    q = inverse_cdf(F.col("x"), F.lit(tau))
+    return scenarios.withColumn("var", q).withColumn("es", expected_shortfall(F.col("x"), F.col("var"), F.lit(tau)))
+
+
+@query("hs_cash_losses", sql(f"SELECT t, book, report, CAST(len(x) AS BIGINT) AS n, {q6('x[1]')} AS low, {q6('x[len(x)]')} AS high, {q6('list_avg(x)')} AS mean FROM sets250", "sets250"))
 def hs_cash_losses(spark, d):
-    x = historical_losses(returns(spark, d), 60)
-    return told(x.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("loss").alias("low"), F.max("loss").alias("high"), F.avg("loss").alias("mean")))
+    x = F.col("x")
+    return told(historical_sets(returns(spark, d), BASE).select(*KEYS, F.size(x).cast("long").alias("n"), F.element_at(x, 1).alias("low"), F.element_at(x, -1).alias("high"), array_mean(x).alias("mean")))
 
 
 @query("hs_var_es", sql(f"SELECT model, t, book, report, n, {TAU}, {qs('var', 'es')} FROM forecasts", "forecasts"))
@@ -54,30 +59,30 @@ def hs_scores(spark, d):
 @query("weighted_var_es", sql(f"""SELECT t, book, report, CAST(tau AS DOUBLE) AS tau, {q6('var')} AS var, {q6('var + sum(w * greatest(loss - var, 0.0)) / (1 - CAST(tau AS DOUBLE))')} AS es FROM
   (SELECT *, min(CASE WHEN round(run, 12) >= CAST(tau AS DOUBLE) THEN loss END) OVER (PARTITION BY t, book, report, tau) AS var FROM
    (SELECT *, sum(w) OVER (PARTITION BY t, book, report ORDER BY loss, s ROWS UNBOUNDED PRECEDING) AS run FROM
-    (SELECT *, (s - t + 61) / 1770.0 AS w FROM losses60)) CROSS JOIN taus) GROUP BY t, book, report, tau, var""", "losses60", "taus"))
+    (SELECT *, (s - t + 251) / 31125.0 AS w FROM losses250)) CROSS JOIN taus) GROUP BY t, book, report, tau, var""", "losses250", "taus"))
 def weighted(spark, d):
-    x = historical_losses(returns(spark, d), 60).withColumn("w", (F.col("s") - F.col("t") + 61) / 1770.0)
-    return told(weighted_var_es(x, KEYS, "w"))
+    """Weights rise with the date of the increment, from 1 to 249 parts."""
+    slid = priced(returns(spark, d)).select((F.col("s") + 2).alias("t"), "book", "report", window_of(F.struct("loss", "s"), BASE - 1, "book", "report").alias("x")).where("x is not null")
+    weigh = lambda x: F.struct(x["loss"].alias("loss"), x["s"].alias("s"), ((x["s"] - F.col("t") + BASE + 1) / 31125.0).alias("w"))
+    return told(weighted_var_es(slid.withColumn("x", F.transform(F.sort_array("x"), weigh)), KEYS))
 
 
 @query("hs_cash_labels", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM label_risk", "label_risk", extra={
-    "labels": ("SELECT a.t, l.book, l.report, l.actual AS loss FROM realised l JOIN (SELECT t FROM panel WHERE t > 61) a ON l.t BETWEEN a.t - 61 AND a.t - 2", ("realised", "panel")),
+    "labels": ("SELECT a.t, l.book, l.report, list_sort(list(l.actual)) AS x FROM realised l JOIN (SELECT t FROM panel WHERE t > 501) a ON l.t BETWEEN a.t - 501 AND a.t - 2 GROUP BY ALL", ("realised", "panel")),
     "label_risk": (risk_step("labels", "t, book, report"), ("labels", "taus"))}))
 def hs_cash_labels(spark, d):
-    """VaR and ES of the last 60 completed outcomes themselves."""
-    r = returns(spark, d)
-    last = panel(spark, d).agg(F.max("t").alias("last"))
-    done = realised(r).withColumnRenamed("t", "s").withColumn("t", F.explode(F.sequence(F.col("s") + 2, F.col("s") + 61))).join(F.broadcast(last)).where("t > 61 and t <= last")
-    return told(var_es(done.withColumnRenamed("actual", "loss"), KEYS))
+    """VaR and ES of the last 500 completed outcomes themselves."""
+    done = realised(returns(spark, d)).withColumnRenamed("t", "s")
+    slid = done.select((F.col("s") + 2).alias("t"), "book", "report", window_of(F.col("actual"), 500, "book", "report").alias("x")).where("x is not null")
+    return told(var_es(slid.withColumn("x", F.sort_array("x")), KEYS))
 
 
 @query("pool_mixture_var_es", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM pool_risk", "pool_risk", extra={
-    "pool": (" UNION ALL ".join(f"SELECT * FROM losses{w}" for w in WINDOWS), tuple(f"losses{w}" for w in WINDOWS)),
+    "pool": ("SELECT t, book, report, list_sort(flatten(list(x))) AS x FROM (" + " UNION ALL ".join(f"SELECT * FROM sets{w}" for w in WINDOWS) + ") GROUP BY ALL", tuple(f"sets{w}" for w in WINDOWS)),
     "pool_risk": (risk_step("pool", "t, book, report"), ("pool", "taus"))}))
 def pool_mixture(spark, d):
     r = returns(spark, d)
-    a, b, c = (historical_losses(r, w) for w in WINDOWS)
-    return told(var_es(a.unionByName(b).unionByName(c), KEYS))
+    return told(var_es(pooled(*[historical_sets(r, w) for w in WINDOWS], keys=tuple(KEYS)), KEYS))
 
 
 SUMMARY = f"count(DISTINCT t) AS n_dates, count(*) AS n_tasks, {q6('avg(score)')} AS mean_score, {q6('avg(hit)')} AS breach_rate, {q6('avg(var)')} AS mean_var, {q6('avg(es)')} AS mean_es, {q6('median(es)')} AS median_es"
@@ -109,9 +114,9 @@ def daily_score_matrix(spark, d):
     return told(wide.select("t", "tau", *[F.col(f"HS{w}").alias(f"hs{w}") for w in WINDOWS]))
 
 
-@query("regex_models", sql(f"SELECT {TAU}, model || '@' || report AS model_key, count(*) AS n FROM scores WHERE regexp_full_match(model, '(IN_)?HS\\d0') AND NOT starts_with(model, 'IN_TCOP') AND book IN ('funded_assets', 'net_cashflows') GROUP BY 1, 2", "scores"))
+@query("regex_models", sql(f"SELECT {TAU}, model || '@' || report AS model_key, count(*) AS n FROM scores WHERE regexp_full_match(model, '(IN_)?HS\\d+') AND NOT starts_with(model, 'IN_TCOP') AND book IN ('funded_assets', 'net_cashflows') GROUP BY 1, 2", "scores"))
 def regex_models(spark, d):
-    kept = scores(spark, d).where(F.col("model").rlike(r"^(IN_)?HS\d0$") & ~F.col("model").startswith("IN_TCOP") & F.col("book").isin("funded_assets", "net_cashflows"))
+    kept = scores(spark, d).where(F.col("model").rlike(r"^(IN_)?HS\d+$") & ~F.col("model").startswith("IN_TCOP") & F.col("book").isin("funded_assets", "net_cashflows"))
     return kept.groupBy(F.col("tau").cast("double").alias("tau"), F.concat("model", F.lit("@"), "report").alias("model_key")).agg(F.count("*").alias("n"))
 
 
@@ -123,17 +128,17 @@ def window_dispersion(spark, d):
     return told(E.dispersion(forecasts(spark, d), [*KEYS, "tau"], "es"))
 
 
-@query("signed_pair_contrasts", sql(f"SELECT a.t, a.book, a.report, CAST(a.tau AS DOUBLE) AS tau, a.model AS a, b.model AS b, {q6('(a.es - b.es) / abs(c.es)')} AS contrast FROM forecasts a JOIN forecasts b ON a.t = b.t AND a.book = b.book AND a.report = b.report AND a.tau = b.tau AND a.model < b.model JOIN forecasts c ON a.t = c.t AND a.book = c.book AND a.report = c.report AND a.tau = c.tau AND c.model = 'HS60' AND c.es <> 0", "forecasts"))
+@query("signed_pair_contrasts", sql(f"SELECT a.t, a.book, a.report, CAST(a.tau AS DOUBLE) AS tau, a.model AS a, b.model AS b, {q6('(a.es - b.es) / abs(c.es)')} AS contrast FROM forecasts a JOIN forecasts b ON a.t = b.t AND a.book = b.book AND a.report = b.report AND a.tau = b.tau AND a.model < b.model JOIN forecasts c ON a.t = c.t AND a.book = c.book AND a.report = c.report AND a.tau = c.tau AND c.model = 'HS250' AND c.es <> 0", "forecasts"))
 def signed_pair_contrasts(spark, d):
-    return told(E.pair_contrasts(forecasts(spark, d), [*KEYS, "tau"], "model", "es", "HS60"))
+    return told(E.pair_contrasts(forecasts(spark, d), [*KEYS, "tau"], "model", "es", "HS250"))
 
 
-PIT = {"pit": ("SELECT t, book, report, (avg(CAST(loss < actual AS DOUBLE)) + avg(CAST(loss <= actual AS DOUBLE))) / 2 AS pit, avg(CAST(loss < actual AS DOUBLE)) AS cdf_left, avg(CAST(loss <= actual AS DOUBLE)) AS cdf_right, CAST(max(actual) < min(loss) AS INTEGER) AS below_support, CAST(max(actual) > max(loss) AS INTEGER) AS above_support FROM losses60 JOIN realised USING (t, book, report) GROUP BY 1, 2, 3", ("losses60", "realised"))}
+PIT = {"pit": ("SELECT *, (cdf_left + cdf_right) / 2 AS pit FROM (SELECT t, book, report, len(list_filter(x, lambda v: v < actual)) / CAST(len(x) AS DOUBLE) AS cdf_left, len(list_filter(x, lambda v: v <= actual)) / CAST(len(x) AS DOUBLE) AS cdf_right, CAST(actual < x[1] AS INTEGER) AS below_support, CAST(actual > x[len(x)] AS INTEGER) AS above_support FROM sets250 JOIN realised USING (t, book, report))", ("sets250", "realised"))}
 
 
 def pit(spark, d):
     r = returns(spark, d)
-    return E.pit(historical_losses(r, 60), realised(r), KEYS)
+    return E.pit(historical_sets(r, BASE), realised(r), KEYS)
 
 
 @query("pit_mid_cdf", sql(f"SELECT t, book, report, {qs('pit', 'cdf_left', 'cdf_right')}, below_support, above_support FROM pit", "pit", extra=PIT))
@@ -161,23 +166,21 @@ def pit_ks(spark, d):
     return told(E.ks_distance(pit(spark, d), "pit", "book", "report"))
 
 
-@query("tail_leverage", sql(f"SELECT t, book, report, {TAU}, {q6('max(loss)')} AS maximum_loss, {q6('CASE WHEN sum(x) > 0 THEN max(x) / sum(x) ELSE 0 END')} AS share, count(*) AS n FROM (SELECT l.*, f.tau, f.var, greatest(loss - f.var, 0.0) AS x FROM losses60 l JOIN risk60 f USING (t, book, report)) AS j GROUP BY t, book, report, j.tau", "losses60", "risk60"))
+@query("tail_leverage", sql(f"SELECT t, book, report, {TAU}, {q6('x[len(x)]')} AS maximum_loss, {q6('CASE WHEN total > 0 THEN (x[len(x)] - var) / total ELSE 0 END')} AS share, CAST(len(x) AS BIGINT) AS n FROM (SELECT s.*, f.tau, f.var, list_sum(list_transform(x, lambda v: greatest(v - f.var, 0.0))) AS total FROM sets250 s JOIN risk250 f USING (t, book, report)) AS j", "sets250", "risk250"))
 def tail_leverage(spark, d):
-    x = historical_losses(returns(spark, d), 60)
-    return told(E.tail_leverage(x, var_es(x, KEYS).drop("n"), KEYS))
+    return told(E.tail_leverage(historical_sets(returns(spark, d), BASE), KEYS, TAUS))
 
 
-@query("topk_support", sql(f"SELECT t, book, report, {q6('loss')} AS loss FROM (SELECT t, book, report, max(loss) AS loss FROM losses60 GROUP BY 1, 2, 3) ORDER BY round(loss, 6) DESC, t, book, report LIMIT 100", "losses60"))
+@query("topk_support", sql(f"SELECT t, book, report, {q6('x[len(x)]')} AS loss FROM sets250 ORDER BY round(x[len(x)], 6) DESC, t, book, report LIMIT 100", "sets250"))
 def topk_support(spark, d):
-    x = historical_losses(returns(spark, d), 60).groupBy(*KEYS).agg(F.max("loss").alias("loss"))
+    x = historical_sets(returns(spark, d), BASE).select(*KEYS, F.element_at("x", -1).alias("loss"))
     return told(x).orderBy(F.desc("loss"), *KEYS).limit(100)
 
 
-@query("support_summary", sql(f"SELECT book, report, {q6('max(high)')} AS maximum, {q6('quantile_cont(high, 0.99)')} AS p99, {q6('median(high / es)')} AS median_over_es FROM (SELECT t, book, report, max(loss) AS high FROM losses60 GROUP BY 1, 2, 3) JOIN (SELECT * FROM risk60 WHERE tau = 0.95 AND es > 0) USING (t, book, report) GROUP BY ALL", "losses60", "risk60"))
+@query("support_summary", sql(f"SELECT book, report, {q6('max(high)')} AS maximum, {q6('quantile_cont(high, 0.99)')} AS p99, {q6('median(high / es)')} AS median_over_es FROM (SELECT t, book, report, x[len(x)] AS high FROM sets250) JOIN (SELECT * FROM risk250 WHERE tau = 0.95 AND es > 0) USING (t, book, report) GROUP BY ALL", "sets250", "risk250"))
 def support_summary(spark, d):
-    x = historical_losses(returns(spark, d), 60)
-    high = x.groupBy(*KEYS).agg(F.max("loss").alias("high"))
-    j = high.join(var_es(x, KEYS).where("tau = 0.95 and es > 0"), KEYS)
+    x = historical_sets(returns(spark, d), BASE)
+    j = with_risk(x).where("es > 0").withColumn("high", F.element_at("x", -1))
     return told(j.groupBy("book", "report").agg(F.max("high").alias("maximum"), F.percentile("high", 0.99).alias("p99"), F.percentile(F.col("high") / F.col("es"), 0.5).alias("median_over_es")))
 
 
@@ -188,22 +191,22 @@ def reporting_effects(spark, d):
     return told(wide.groupBy("book").agg(F.count("*").alias("n"), F.avg("base").alias("mean_base"), F.avg("s1").alias("mean_s1"), F.stddev_samp("base").alias("sd_base"), F.stddev_samp("s1").alias("sd_s1"), F.avg(gap).alias("mean_abs_difference"), F.max(gap).alias("max_abs_difference")))
 
 
-@query("ties_audit", sql(f"SELECT book, report, count(*) AS n, count(*) FILTER (WHERE gap = 0) AS ties, count(*) FILTER (WHERE gap < 1e-6) AS near, {q6('median(gap)')} AS median_gap FROM (SELECT l.book, l.report, l.t, min(CASE WHEN l.loss > f.var THEN l.loss - f.var END) AS gap FROM losses60 l JOIN risk60 f USING (t, book, report) WHERE f.tau = 0.95 GROUP BY 1, 2, 3) GROUP BY ALL", "losses60", "risk60"))
+@query("ties_audit", sql(f"SELECT book, report, count(*) AS n, count(*) FILTER (WHERE gap = 0) AS ties, count(*) FILTER (WHERE gap < 1e-6) AS near, {q6('median(gap)')} AS median_gap FROM (SELECT s.book, s.report, list_min(list_filter(x, lambda v: v > f.var)) - f.var AS gap FROM sets250 s JOIN risk250 f USING (t, book, report) WHERE f.tau = 0.95) GROUP BY ALL", "sets250", "risk250"))
 def ties_audit(spark, d):
-    x = historical_losses(returns(spark, d), 60)
-    j = x.join(var_es(x, KEYS).where("tau = 0.95"), KEYS).groupBy("book", "report", "t").agg(F.min(F.when(F.col("loss") > F.col("var"), F.col("loss") - F.col("var"))).alias("gap"))
+    gap = F.array_min(F.filter("x", lambda v: v > F.col("var"))) - F.col("var")
+    j = with_risk(historical_sets(returns(spark, d), BASE)).select("book", "report", gap.alias("gap"))
     return told(j.groupBy("book", "report").agg(F.count("*").alias("n"), F.sum(F.when(F.col("gap") == 0, 1).otherwise(0)).alias("ties"), F.sum(F.when(F.col("gap") < 1e-6, 1).otherwise(0)).alias("near"), F.percentile("gap", 0.5).alias("median_gap")))
 
 
-@query("precision_changes", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(c)')} AS max_change, {q6('median(c)')} AS median_change FROM (SELECT l.book, l.report, l.tau, abs(h.es - l.es) / abs(h.es) AS c FROM risk120 l JOIN risk250 h USING (t, book, report, tau) WHERE h.es <> 0) AS j GROUP BY book, report, j.tau", "risk120", "risk250"))
+@query("precision_changes", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(c)')} AS max_change, {q6('median(c)')} AS median_change FROM (SELECT l.book, l.report, l.tau, abs(h.es - l.es) / abs(h.es) AS c FROM risk500 l JOIN risk1250 h USING (t, book, report, tau) WHERE h.es <> 0) AS j GROUP BY book, report, j.tau", "risk500", "risk1250"))
 def precision_changes(spark, d):
-    f = forecasts(spark, d, (120, 250))
-    low, high = (f.where(F.col("model") == m).select(*KEYS, "tau", F.col("es").alias(n)) for m, n in (("HS120", "low"), ("HS250", "high")))
+    f = forecasts(spark, d, (500, 1250))
+    low, high = (f.where(F.col("model") == m).select(*KEYS, "tau", F.col("es").alias(n)) for m, n in (("HS500", "low"), ("HS1250", "high")))
     c = F.abs(F.col("high") - F.col("low")) / F.abs(F.col("high"))
     return told(low.join(high, [*KEYS, "tau"]).where("high <> 0").groupBy("book", "report", "tau").agg(F.count("*").alias("n"), F.max(c).alias("max_change"), F.percentile(c, 0.5).alias("median_change")))
 
 
-@query("sign_changes", sql("SELECT a.book, a.report, CAST(a.tau AS DOUBLE) AS tau, count(*) AS n, count(*) FILTER (WHERE sign(a.es - b.es) <> sign(a.es - c.es)) AS changes, count(*) FILTER (WHERE abs(b.es - c.es) > abs(a.es - b.es)) AS exceeds FROM risk60 a JOIN risk120 b USING (t, book, report, tau) JOIN risk250 c USING (t, book, report, tau) GROUP BY a.book, a.report, a.tau", "risk60", "risk120", "risk250"))
+@query("sign_changes", sql("SELECT a.book, a.report, CAST(a.tau AS DOUBLE) AS tau, count(*) AS n, count(*) FILTER (WHERE sign(a.es - b.es) <> sign(a.es - c.es)) AS changes, count(*) FILTER (WHERE abs(b.es - c.es) > abs(a.es - b.es)) AS exceeds FROM risk250 a JOIN risk500 b USING (t, book, report, tau) JOIN risk1250 c USING (t, book, report, tau) GROUP BY a.book, a.report, a.tau", "risk250", "risk500", "risk1250"))
 def sign_changes(spark, d):
     wide = forecasts(spark, d).groupBy(*KEYS, "tau").pivot("model", [f"HS{w}" for w in WINDOWS]).agg(F.first("es")).dropna()
     a, b, c = (F.col(f"HS{w}") for w in WINDOWS)
@@ -211,16 +214,16 @@ def sign_changes(spark, d):
     return told(wide.groupBy("book", "report", "tau").agg(F.count("*").alias("n"), when(F.signum(a - b) != F.signum(a - c)).alias("changes"), when(F.abs(b - c) > F.abs(a - b)).alias("exceeds")))
 
 
-@query("rolling_breach_250", sql(f"SELECT t, book, report, CASE WHEN n >= 250 THEN {q6('m')} END AS breach_rate FROM (SELECT t, book, report, count(*) OVER w AS n, avg(hit) OVER w AS m FROM scores WHERE model = 'HS60' AND tau = 0.95 WINDOW w AS (PARTITION BY book, report ORDER BY t ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))", "scores"))
+@query("rolling_breach_250", sql(f"SELECT t, book, report, CASE WHEN n >= 250 THEN {q6('m')} END AS breach_rate FROM (SELECT t, book, report, count(*) OVER w AS n, avg(hit) OVER w AS m FROM scores WHERE model = 'HS250' AND tau = 0.95 WINDOW w AS (PARTITION BY book, report ORDER BY t ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))", "scores"))
 def rolling_breach_250(spark, d):
     w = Window.partitionBy("book", "report").orderBy("t").rowsBetween(-249, 0)
-    s = scores(spark, d, (60,)).where("tau = 0.95")
+    s = scores(spark, d, (250,)).where("tau = 0.95")
     return s.select(*KEYS, F.when(F.count("*").over(w) >= 250, r6(F.avg("hit").over(w))).alias("breach_rate"))
 
 
-@query("known_lag_hit", sql(f"SELECT t, book, report, {TAU}, hit, lag(hit, 2) OVER (PARTITION BY book, report, tau ORDER BY t) AS known_hit FROM scores WHERE model = 'HS60'", "scores"))
+@query("known_lag_hit", sql(f"SELECT t, book, report, {TAU}, hit, lag(hit, 2) OVER (PARTITION BY book, report, tau ORDER BY t) AS known_hit FROM scores WHERE model = 'HS250'", "scores"))
 def known_lag_hit(spark, d):
-    s = E.known_lag(scores(spark, d, (60,)), "hit", 2, "book", "report", "tau")
+    s = E.known_lag(scores(spark, d, (250,)), "hit", 2, "book", "report", "tau")
     return told(s.select(*KEYS, "tau", "hit", "known_hit"))
 
 
@@ -230,13 +233,16 @@ def calibration_moments(spark, d):
     return told(g.withColumn("expected", F.col("n") * (1 - F.col("tau").cast("double"))).withColumn("sparse", F.col("breaches") < 30))
 
 
-HAC = " + ".join(f"{2 * (1 - k / 21)!r} * z * coalesce(lag(z, {k}) OVER (PARTITION BY book, report, tau ORDER BY t), 0)" for k in range(1, 21))
+def hac_terms(lags: int) -> str:
+    return " + ".join(f"{2 * (1 - k / (lags + 1))!r} * z * coalesce(lag(z, {k}) OVER w, 0)" for k in range(1, lags + 1))
 
 
-@query("hac_rate", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(m)')} AS mean, {q6('sqrt(greatest(sum(term) / count(*) / count(*), 0))')} AS se FROM (SELECT *, z * z + {HAC} AS term FROM (SELECT t, book, report, tau, avg(hit) OVER (PARTITION BY book, report, tau) AS m, hit - avg(hit) OVER (PARTITION BY book, report, tau) AS z FROM scores WHERE model = 'HS60')) AS g GROUP BY book, report, g.tau", "scores"))
+@query("hac_rate", sql(" UNION ALL ".join(f"SELECT {lags} AS lags, book, report, {TAU}, count(*) AS n, {q6('max(m)')} AS mean, {q6('sqrt(greatest(sum(term) / count(*) / count(*), 0))')} AS se FROM (SELECT *, z * z + {hac_terms(lags)} AS term FROM centred WINDOW w AS (PARTITION BY book, report, tau ORDER BY t)) AS g GROUP BY book, report, g.tau" for lags in (20, 60)), "centred", extra={
+    "centred": ("SELECT t, book, report, tau, avg(hit) OVER w AS m, hit - avg(hit) OVER w AS z FROM scores WHERE model = 'HS250' WINDOW w AS (PARTITION BY book, report, tau)", ("scores",))}))
 def hac_rate(spark, d):
-    v = E.hac_variance(scores(spark, d, (60,)), "hit", 20, "book", "report", "tau")
-    return told(v.select("book", "report", "tau", "n", "mean", F.sqrt(F.greatest("variance", F.lit(0.0))).alias("se")))
+    s = scores(spark, d, (BASE,))
+    every = [E.hac_variance(s, "hit", lags, "book", "report", "tau").withColumn("lags", F.lit(lags)) for lags in (20, 60)]
+    return told(every[0].unionByName(every[1]).select("lags", "book", "report", "tau", "n", "mean", F.sqrt(F.greatest("variance", F.lit(0.0))).alias("se")))
 
 
 @query("equal_combination", sql(f"SELECT t, book, report, {TAU}, {q6('avg(var)')} AS var, {q6('avg(es)')} AS es FROM forecasts GROUP BY t, book, report, forecasts.tau HAVING count(*) = 3", "forecasts"))
@@ -299,55 +305,82 @@ def ewma_cov_fixed(spark, d):
     return told(G.ewma_covariance(returns(spark, d)))
 
 
-def paths_sql(residual: str, standardise: bool) -> dict:
-    z1, z2 = ("((z1 - m) / sd)", "((z2 - m) / sd)") if standardise else ("z1", "z2")
-    moments = ("SELECT o.t, f.reference, f.node, avg(f.zz) AS m, stddev_pop(f.zz) AS sd FROM zs f JOIN (SELECT unnest(range(61, (SELECT max(t) FROM zs) + 61)) AS t) o ON f.t BETWEEN o.t - 60 AND o.t - 1 GROUP BY 1, 2, 3", ("zs",))
-    e1 = f"sqrt(h) * {z1}"
+def nodes_sql(form: str) -> str:
+    return ", ".join(form.replace("#", n) for n in REFERENCES)
+
+
+def paths_sql(residual: str, standardise: bool, w: int = BASE, h: int = 1) -> dict:
+    """Steps from residuals to sets; the path is walked one step a subquery."""
+    ahead = ", ".join(nodes_sql(f"lead(z_#, {k}) OVER (PARTITION BY reference ORDER BY t) AS z{k}_#") for k in range(h + 1))
+    scale = (lambda k: nodes_sql(f"(p.z{k}_# - c.m_#) / c.sd_# AS z{k}_#")) if standardise else (lambda k: nodes_sql(f"p.z{k}_#"))
+    moments = nodes_sql("avg(z_#) OVER o AS m_#, stddev_pop(z_#) OVER o AS sd_#")
+    walk = "SELECT c.t, c.reference, " + ", ".join(scale(k) for k in range(h + 1)) + ", " + nodes_sql("c.h_# AS v_#, CAST(NULL AS DOUBLE) AS a_#, CAST(0 AS DOUBLE) AS b_#") + f" FROM zahead p JOIN zorigins c ON p.reference = c.reference AND p.t BETWEEN c.t - {w} AND c.t - {h + 1}"
+    for k in range(h + 1):
+        rest = "".join(f", {nodes_sql(f'z{m}_#')}" for m in range(k + 1, h + 1))
+        r = f"({P.mu} + sqrt(v_#) * z{k}_#) / 100"
+        told_ = nodes_sql(f"{r} AS a_#, b_#" if k == 0 else f"a_#, b_# + {r} AS b_#")
+        walk = f"SELECT t, reference{rest}, {told_}, " + nodes_sql(f"{P.omega} + {P.alpha} * v_# * z{k}_# * z{k}_# + {P.beta} * v_# AS v_#") + f" FROM ({walk})"
+    tasks_ = [(book, report) for book in BOOKS for report in REPORTS]
+    lists = ", ".join(f"list_sort(list({loss_sql(book, REPORTS[report])})) AS x{i}" for i, (book, report) in enumerate(tasks_))
     return FILTER | {
         "zs": (f"SELECT t, reference, node, h, {residual} AS zz FROM resid", ("resid",)),
-        "zpairs": ("SELECT * FROM (SELECT t AS s, reference, node, zz AS z1, lead(zz) OVER (PARTITION BY reference, node ORDER BY t) AS z2 FROM zs) WHERE z2 IS NOT NULL", ("zs",)),
-        **({"moments": moments} if standardise else {}),
-        "dealt": (f"SELECT c.t, p.s, p.reference, p.node, ({P.mu} + {e1}) / 100 AS x1, ({P.mu} + sqrt({P.omega} + {P.alpha} * ({e1}) * ({e1}) + {P.beta} * h) * {z2}) / 100 AS x2 FROM zpairs p JOIN zs c ON p.reference = c.reference AND p.node = c.node AND p.s BETWEEN c.t - 60 AND c.t - 2 AND c.t > 60" + (" JOIN moments m ON m.t = c.t AND m.reference = c.reference AND m.node = c.node" if standardise else ""), ("zpairs", *(("moments",) if standardise else ()))),
-        "fpaths": ("SELECT t, s, reference, " + ", ".join(f"coalesce(max(CASE WHEN node = 's{k}' THEN {v} END), 0) - coalesce(max(CASE WHEN node = 'base' THEN {v} END), 0) AS {o}{k}" for v, o in (("x1", "a"), ("x2", "b")) for k in K) + " FROM dealt GROUP BY 1, 2, 3", ("dealt",)),
-        "flosses": (each_task("t, s, reference", "fpaths"), ("fpaths",)),
-        "frisk": (risk_step("flosses", "t, book, report, reference"), ("flosses", "taus")),
-        "fpool": (risk_step("flosses", "t, book, report"), ("flosses", "taus")),
-        "w1": ("SELECT a.t, a.book, a.report, a.reference AS a, b.reference AS b, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: abs(a.x[i] - b.x[i]))) / len(a.x) AS w1 FROM g a JOIN g b USING (t, book, report) WHERE a.reference < b.reference", ("g",)),
-        "g": ("SELECT t, book, report, reference, list_sort(list(loss)) AS x FROM flosses GROUP BY 1, 2, 3, 4", ("flosses",)),
+        "zwide": ("SELECT t, reference, " + nodes_sql("max(CASE WHEN node = '#' THEN zz END) AS z_#, max(CASE WHEN node = '#' THEN h END) AS h_#") + " FROM zs GROUP BY 1, 2", ("zs",)),
+        "zahead": (f"SELECT t, reference, {ahead} FROM zwide", ("zwide",)),
+        "zorigins": (f"SELECT * FROM (SELECT *, {moments} FROM zwide WINDOW o AS (PARTITION BY reference ORDER BY t ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)) WHERE t > {w}", ("zwide",)),
+        "fpaths": ("SELECT t, reference, " + ", ".join(f"coalesce({o}_s{k}, 0) - coalesce({o}_base, 0) AS {o}{k}" for o in "ab" for k in K) + f" FROM ({walk})", ("zahead", "zorigins")),
+        "flists": (f"SELECT t, reference, {lists} FROM fpaths GROUP BY 1, 2", ("fpaths",)),
+        "fsets": (" UNION ALL ".join(f"SELECT t, reference, '{book}' AS book, '{report}' AS report, x{i} AS x FROM flists" for i, (book, report) in enumerate(tasks_)), ("flists",)),
+        "frisk": (risk_step("fsets", "t, book, report, reference"), ("fsets", "taus")),
+        "fpooled": ("SELECT t, book, report, list_sort(flatten(list(x))) AS x FROM fsets GROUP BY ALL", ("fsets",)),
+        "fpool": (risk_step("fpooled", "t, book, report"), ("fpooled", "taus")),
+        "w1": ("SELECT a.t, a.book, a.report, a.reference AS a, b.reference AS b, list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2]))) / len(a.x) AS w1 FROM fsets a JOIN fsets b USING (t, book, report) WHERE a.reference < b.reference", ("fsets",)),
     }
 
 
-FHS, INFHS = paths_sql("z", False), paths_sql("zpost", True)
+FHS, INFHS = paths_sql("z", False), paths_sql("zpost", True, 1250)
+FKEYS = [*KEYS, "reference"]
+
 
+def filtered_sets(spark, d, residual: str = "z", standardise: bool = False, window: int = BASE, h: int = 1):
+    return G.filtered_sets(returns(spark, d), P, window, residual, standardise, h)
 
-def filtered_losses(spark, d, residual: str = "z", standardise: bool = False):
-    p = G.filtered_paths(returns(spark, d), P, 60, residual, standardise)
-    return p.select("t", "s", "reference", F.explode(task_losses(columns("a"), columns("b"))).alias("x")).select("t", "s", "reference", "x.*")
 
+FRISK = f"SELECT t, book, report, reference, n, {TAU}, {qs('var', 'es')} FROM frisk"
 
-@query("fhs_var_es", sql(f"SELECT t, book, report, reference, n, {TAU}, {qs('var', 'es')} FROM frisk", "frisk", extra=FHS, recursive=True))
+@query("fhs_var_es", sql(FRISK, "frisk", extra=FHS, recursive=True))
 def fhs_var_es(spark, d):
-    return told(var_es(filtered_losses(spark, d), [*KEYS, "reference"]))
+    return told(var_es(filtered_sets(spark, d), FKEYS))
+
+
+def long_window(window: int, h: int):
+    def run(spark, d):
+        return told(var_es(filtered_sets(spark, d, window=window, h=h), FKEYS))
+
+    return run
+
+
+for window_, h_ in ((500, 1), (1250, 1), (250, 5), (250, 20)):
+    query(f"fhs_{window_}_h{h_}", sql(FRISK, "frisk", extra=paths_sql("z", False, window_, h_), recursive=True))(long_window(window_, h_))
 
 
-@query("internal_fhs_var_es", sql(f"SELECT t, book, report, reference, n, {TAU}, {qs('var', 'es')} FROM frisk", "frisk", extra=INFHS, recursive=True))
+@query("internal_fhs_var_es", sql(FRISK, "frisk", extra=INFHS, recursive=True))
 def internal_fhs_var_es(spark, d):
-    return told(var_es(filtered_losses(spark, d, "zpost", True), [*KEYS, "reference"]))
+    return told(var_es(filtered_sets(spark, d, "zpost", True, 1250), FKEYS))
 
 
 @query("reference_pool_var_es", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM fpool", "fpool", extra=FHS, recursive=True))
 def reference_pool_var_es(spark, d):
-    return told(var_es(filtered_losses(spark, d), KEYS))
+    return told(var_es(pooled(filtered_sets(spark, d), keys=tuple(KEYS)), KEYS))
 
 
 @query("reference_range", sql(f"SELECT t, book, report, {TAU}, {DISPERSION} FROM (SELECT t, book, report, tau, count(*) AS n, max(es) - min(es) AS span, avg(abs(es)) AS mean_abs, max(es) AS high, min(es) AS low FROM frisk GROUP BY 1, 2, 3, 4) AS g", "frisk", extra=FHS, recursive=True))
 def reference_range(spark, d):
-    return told(E.dispersion(var_es(filtered_losses(spark, d), [*KEYS, "reference"]), [*KEYS, "tau"], "es"))
+    return told(E.dispersion(var_es(filtered_sets(spark, d), FKEYS), [*KEYS, "tau"], "es"))
 
 
 @query("wasserstein_pairs", sql(f"SELECT t, book, report, a, b, {q6('w1')} AS w1 FROM w1", "w1", extra=FHS, recursive=True))
 def wasserstein_pairs(spark, d):
-    return told(E.wasserstein(filtered_losses(spark, d), KEYS, "reference"))
+    return told(E.wasserstein(filtered_sets(spark, d), KEYS, "reference"))
 
 
 FACT = {"cells": ("SELECT t, book, reference, report, tau, ln(es) AS x FROM frisk QUALIFY min(es) OVER (PARTITION BY t, book) > 0", ("frisk",))}
@@ -357,5 +390,5 @@ EFFECTS = {"reference": "mr - m0", "report": "mn - m0", "tau": "mq - m0", "refer
 
 @query("factorial_decomposition", sql("SELECT book, factor, " + q6("ss") + " AS ss, " + q6("total") + " AS total, " + q6("CASE WHEN total > 0 THEN ss / total END") + " AS share FROM (" + " UNION ALL ".join(f"SELECT book, '{n}' AS factor, sum(({e}) * ({e})) AS ss, sum((x - m0) * (x - m0)) AS total FROM margins GROUP BY book" for n, e in EFFECTS.items()) + ")", "margins", extra=FHS | FACT | {"margins": ("SELECT *, " + ", ".join(f"avg(x) OVER (PARTITION BY t, book{c}) AS {n}" for n, c in MARGINS.items()) + " FROM cells", ("cells",))}, recursive=True))
 def factorial_decomposition(spark, d):
-    f = var_es(filtered_losses(spark, d), [*KEYS, "reference"]).withColumn("low", F.min("es").over(Window.partitionBy("t", "book"))).where("low > 0")
+    f = var_es(filtered_sets(spark, d), FKEYS).withColumn("low", F.min("es").over(Window.partitionBy("t", "book"))).where("low > 0")
     return told(E.factorial(f, ["t", "book"], ["reference", "report", "tau"], F.log("es"), "book"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import r6
 from riskloom.operators.panel import SERIES
-from riskloom.operators.risk import historical_losses, var_es
+from riskloom.operators.risk import historical_sets, var_es
 from riskloom.plans.base import KEYS, panel, returns
 from riskloom.plans.risk_queries import qs, told
-from riskloom.plans.sql import K, each_task, r6 as q6, risk_step, sql
+from riskloom.plans.sql import K, each_task, r6 as q6, returns_step, risk_step, set_step, sql
 from riskloom.sources import io
 
 QUERIES, SQL = {}, {}
@@ -69,9 +69,16 @@ def report_rows(spark, d):
     return io.pipe_rows(m)
 
 
-@query("hs_horizon_5", sql("SELECT t, book, report, n, CAST(tau AS DOUBLE) AS tau, " + qs("var", "es") + " FROM risk5", "risk5", extra={
-    "priced5": (each_task("s", "pairs5"), ("pairs5",)),
-    "losses5": ("SELECT o.t, p.s, p.book, p.report, p.loss FROM priced5 p JOIN (SELECT unnest(range(61, (SELECT max(s) FROM pairs5) + 61)) AS t) o ON p.s BETWEEN o.t - 60 AND o.t - 6", ("priced5",)),
-    "risk5": (risk_step("losses5", "t, book, report"), ("losses5", "taus"))}))
-def hs_horizon_5(spark, d):
-    return told(var_es(historical_losses(returns(spark, d), 60, 5), KEYS))
+def at_horizon(h: int):
+    def run(spark, d):
+        return told(var_es(historical_sets(returns(spark, d), 250, h), KEYS))
+
+    return run
+
+
+for h_ in (5, 20):
+    query(f"hs_horizon_{h_}", sql("SELECT t, book, report, n, CAST(tau AS DOUBLE) AS tau, " + qs("var", "es") + " FROM risk_h", "risk_h", extra={
+        "pairs_h": (returns_step(h_), ("returns",)),
+        "priced_h": (each_task("s", "pairs_h"), ("pairs_h",)),
+        "sets_h": (set_step("priced_h", 250, h_), ("priced_h",)),
+        "risk_h": (risk_step("sets_h", "t, book, report"), ("sets_h", "taus"))}))(at_horizon(h_))

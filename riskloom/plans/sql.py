@@ -29,11 +29,17 @@ def returns_step(h: int) -> str:
     return f"SELECT * EXCLUDE (n) FROM (SELECT t AS s, count(*) OVER w AS n, {', '.join(f'r{k} AS a{k}' for k in K)}, {sums} FROM returns WINDOW w AS (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)) WHERE n = {h}"
 
 
+def set_step(source: str, window: int, h: int = 1) -> str:
+    """Losses of the window - h increments known at each origin, ascending."""
+    frame = f"(PARTITION BY book, report ORDER BY s ROWS BETWEEN {window - h - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT t, book, report, list_sort(x) AS x FROM (SELECT s + {h + 1} AS t, book, report, list(loss) OVER {frame} AS x, count(*) OVER {frame} AS n FROM {source}) WHERE n = {window - h}"
+
+
 def risk_step(source: str, keys: str) -> str:
-    return f"""SELECT {keys}, CAST(len(x) AS BIGINT) AS n, tau, x[i] AS var,
-      x[i] + list_sum(list_transform(x, lambda v: greatest(v - x[i], 0.0))) / len(x) / (1 - CAST(tau AS DOUBLE)) AS es
-    FROM (SELECT {keys}, x, tau, greatest(CAST(ceil(tau * len(x)) AS INTEGER), 1) AS i
-          FROM (SELECT {keys}, list_sort(list(loss)) AS x FROM {source} GROUP BY {keys}) CROSS JOIN taus)"""
+    """VaR and ES of sets x."""
+    return f"""SELECT {keys}, CAST(n AS BIGINT) AS n, tau, q AS var, q + list_sum(list_transform(tail, lambda v: v - q)) / n / (1 - CAST(tau AS DOUBLE)) AS es
+    FROM (SELECT {keys}, tau, len(x) AS n, x[i] AS q, x[i:] AS tail
+          FROM (SELECT {keys}, x, tau, greatest(CAST(ceil(tau * len(x)) AS INTEGER), 1) AS i FROM {source} CROSS JOIN taus))"""
 
 
 def score_step(source: str, extra: str = "") -> str:
@@ -49,7 +55,12 @@ def unit_prices(bucket: str) -> str:
     FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4 AND l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1, 2"""
 
 
-WINDOWS = (60, 120, 250)
+#: Windows of historical simulation; BASE is that of the diagnostics.
+WINDOWS = (250, 500, 1250)
+BASE = 250
+
+#: Steps that refer to themselves; all others are worked out once.
+RECURSIVE = ("garch", "ewma")
 
 STEPS: dict[str, tuple[str, tuple[str, ...]]] = {
     "taus": ("SELECT unnest([CAST(0.95 AS DECIMAL(3,2)), CAST(0.99 AS DECIMAL(3,2))]) AS tau", ()),
@@ -61,8 +72,9 @@ STEPS: dict[str, tuple[str, tuple[str, ...]]] = {
     "pairs5": (returns_step(5), ("returns",)),
     "priced": (each_task("s", "pairs"), ("pairs",)),
     "realised": ("SELECT s AS t, book, report, loss AS actual FROM priced", ("priced",)),
-    **{f"losses{w}": (f"SELECT o.t, p.s, p.book, p.report, p.loss FROM priced p JOIN (SELECT unnest(range({w + 1}, (SELECT max(s) FROM pairs) + {w} + 1)) AS t) o ON p.s BETWEEN o.t - {w} AND o.t - 2", ("priced",)) for w in WINDOWS},
-    **{f"risk{w}": (risk_step(f"losses{w}", "t, book, report"), (f"losses{w}", "taus")) for w in WINDOWS},
+    f"losses{BASE}": (f"SELECT o.t, p.s, p.book, p.report, p.loss FROM priced p JOIN (SELECT t FROM panel WHERE t > {BASE}) o ON p.s BETWEEN o.t - {BASE} AND o.t - 2", ("priced", "panel")),
+    **{f"sets{w}": (set_step("priced", w), ("priced",)) for w in WINDOWS},
+    **{f"risk{w}": (risk_step(f"sets{w}", "t, book, report"), (f"sets{w}", "taus")) for w in WINDOWS},
     "forecasts": (" UNION ALL ".join(f"SELECT 'HS{w}' AS model, * FROM risk{w}" for w in WINDOWS), tuple(f"risk{w}" for w in WINDOWS)),
     "scores": (score_step("forecasts"), ("forecasts", "realised")),
     "dated": ("SELECT s.*, p.d FROM scores s JOIN panel p USING (t)", ("scores", "panel")),
@@ -81,5 +93,5 @@ def sql(select: str, *needs: str, extra: dict[str, tuple[str, tuple[str, ...]]]
 
     for name in needs:
         add(name)
-    body = ",\n".join(f"{n} AS ({steps[n][0]})" for n in order)
+    body = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({steps[n][0]})" for n in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"

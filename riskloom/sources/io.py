@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares, or below a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-")
+    """A new folder below the one that the cluster shares; where none is named, below a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="riskloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,15 +2,18 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import fz0, task_losses
-from riskloom.operators.inference import arithmetic_starts, block_means, random_starts
+from riskloom.operators import inference as I
+from riskloom.operators.evaluate import hac_variance
+from riskloom.operators.filters import Garch, variance_path
 from riskloom.operators.joins import latest_completed
 from riskloom.operators.panel import columns
 from riskloom.operators.reshape import duplicate_keys, require_empty
-from riskloom.operators.risk import var_es, weighted_var_es
+from riskloom.operators.risk import sets, var_es, weighted_var_es
 from riskloom.sources import io
 
 
@@ -28,9 +31,10 @@ def test_cash_identity(spark):
 
 def test_var_es_and_weights(spark):
     x = spark.createDataFrame([(1, k, float(k), 0.05) for k in range(1, 21)], "t int, s int, loss double, w double")
-    plain = {str(r.tau): (r["var"], r.es) for r in var_es(x, ["t"]).collect()}
+    plain = {str(r.tau): (r["var"], r.es) for r in var_es(sets(x, "t"), ["t"]).collect()}
     assert plain["0.95"] == (19.0, pytest.approx(19 + 1 / 20 / 0.05)) and plain["0.99"][0] == 20.0
-    weighted = {str(r.tau): (r["var"], r.es) for r in weighted_var_es(x, ["t"], "w").collect()}
+    held = x.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("loss", "s", "w"))).alias("x"))
+    weighted = {str(r.tau): (r["var"], r.es) for r in weighted_var_es(held, ["t"]).collect()}
     assert weighted["0.95"] == (19.0, pytest.approx(plain["0.95"][1]))
 
 
@@ -46,18 +50,50 @@ def test_latest_completed(spark):
     assert {(r.who, r.at): r.v for r in latest_completed(left, right, "at", "known", ["who"]).collect()} == {("a", 5): "y", ("a", 1): None, ("b", 9): None}
 
 
-def test_block_means_are_paired_and_explicit(spark):
+def test_block_draws_are_explicit(spark):
+    """Means and medians of draws equal those of the dates that their starts name; starts are spread evenly."""
     n, block = 39, 7
-    daily = spark.createDataFrame([(k, m, float(k) * c + d) for k in range(1, n + 1) for m, c, d in (("x", 1, 0), ("y", 3, 2))], "i long, model string, delta double")
-    starts = random_starts(spark, n, block, 5, 1)
-    got = {(r.rep, r.model): r["mean"] for r in block_means(daily, starts, n, block, "model", "delta").collect()}
-    by = {}
-    for r in starts.collect():
-        by.setdefault(r.rep, {})[r.pos] = r.start
-    for rep, s in by.items():
-        days = [(s[p] - 1 + k) % n + 1 for p in sorted(s) for k in range(block)][:n]
-        assert got[rep, "x"] == pytest.approx(sum(days) / n) and got[rep, "y"] == pytest.approx(3 * sum(days) / n + 2)
-    assert arithmetic_starts(spark, n, block, 3).where("start < 1 or start > 39").count() == 0
+    daily = spark.createDataFrame([("a", 10 * k, float(k % 11), 3.0 * (k % 11) + 2) for k in range(1, n + 1)], "g string, t long, x double, y double")
+    starts = I.block_starts(spark.createDataFrame([("a", n)], "g string, n long"), [block, 60], 400, 1).collect()
+    mean = {(r.block, r.rep, r.contrast): r["mean"] for r in I.block_means(daily, ["g"], ["x", "y"], [block, 60], 400, 1).collect()}
+    median = {(r.block, r.rep, r.contrast): r["median"] for r in I.block_medians(daily, ["g"], ["x", "y"], [block, 60], 400, 1).collect()}
+    drawn = {}
+    for r in starts:
+        drawn.setdefault((r.block, r.rep), []).extend((r.start + k) % n for k in range(r.length))
+    assert len(drawn) == 800 and all(len(v) == n for v in drawn.values())
+    for (b, rep), dates in drawn.items():
+        values = sorted(float((k + 1) % 11) for k in dates)
+        assert mean[b, rep, "x"] == pytest.approx(sum(values) / n) and mean[b, rep, "y"] == pytest.approx(3 * sum(values) / n + 2)
+        assert median[b, rep, "x"] == values[n // 2] and median[b, rep, "y"] == 3 * values[n // 2] + 2
+    begins = [r.start for r in starts if r.block == block]
+    assert set(begins) == set(range(n)) and abs(sum(begins) / len(begins) - (n - 1) / 2) < 1.0
+
+
+def test_bands_cover_by_family(spark):
+    draws = spark.createDataFrame([("f", k, c, m * ((k % 21) - 10) / 10) for k in range(210) for c, m in (("x", 1.0), ("y", 2.0))], "f string, rep long, contrast string, mean double")
+    band = {r.contrast: r for r in I.bands(draws, spark.createDataFrame([("x", 0.0), ("y", 0.0)], "contrast string, estimate double"), ["f"]).collect()}
+    assert band["x"].critical == pytest.approx(band["y"].critical) and band["y"].se == pytest.approx(2 * band["x"].se)
+    assert band["x"].one_sided_high <= band["x"].simultaneous_high and band["x"].simultaneous_low == pytest.approx(-band["x"].simultaneous_high)
+
+
+def test_hac_is_the_sum_over_lags(spark):
+    v = [float((7 * k * k) % 13) for k in range(50)]
+    got = hac_variance(spark.createDataFrame([("a", k, x) for k, x in enumerate(v)], "g string, t long, v double"), "v", 6, "g").first()
+    z = [x - sum(v) / 50 for x in v]
+    want = sum(z[i] * z[j] * max(0.0, 1 - abs(i - j) / 7) for i in range(50) for j in range(50)) / 2500
+    assert got.variance == pytest.approx(want) and got.n == 50
+
+
+def test_variance_path_is_causal():
+    r = np.sin(np.arange(60.0)) * 90
+    p = Garch(0.1, 5.0, 0.08, 0.9, 30.0)
+    h, want = variance_path(r, p), [30.0]
+    for x in r[:-1]:
+        want.append(5.0 + 0.08 * (x - 0.1) ** 2 + 0.9 * want[-1])
+    assert np.allclose(h, want, rtol=1e-13) and len(variance_path(r[:0], p)) == 0
+    changed = r.copy()
+    changed[30:] = 7
+    assert (variance_path(changed, p)[:31] == h[:31]).all()
 
 
 def test_sources(spark, tmp_path):
