@@ -52,12 +52,15 @@ def shared_steps(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_matches_sql(spark, con, name):
-    cursor = con.execute(catalog.SQL[name])
-    columns = [c[0] for c in cursor.description]
+    con.execute(f"create or replace temp table want as {catalog.SQL[name]}")
+    columns = [r[0] for r in con.execute("describe want").fetchall()]
     found = catalog.QUERIES[name](spark, FOLDER)
     assert sorted(columns) == sorted(found.columns)
-    want, got = sorted(cursor.fetchall(), key=repr), sorted(map(tuple, found.select(columns).collect()), key=repr)
-    assert got == want and (want or name in MAY_BE_EMPTY)
+    con.register("got", found.select(columns).toArrow())
+    rows = [con.execute(f"select count(*) from {x}").fetchone()[0] for x in ("want", "got")]
+    assert rows[0] == rows[1] and (rows[0] or name in MAY_BE_EMPTY)
+    for one, other in (("want", "got"), ("got", "want")):
+        assert not con.execute(f"select * from {one} except all select * from {other} limit 3").fetchall()
 
 
 def test_entry(spark):
