@@ -108,18 +108,25 @@ def known_lag(scores: DataFrame, value: str, lag: int, *within: str) -> DataFram
     return scores.withColumn(f"known_{value}", F.lag(value, lag).over(Window.partitionBy(*within).orderBy("t")))
 
 
-def hac_variance(df: DataFrame, value: str, lags: int, *within: str) -> DataFrame:
-    """(within, n, mean, variance): Bartlett-weighted long-run variance of the mean, divided by n.
+def hac_covariances(df: DataFrame, values: Sequence[str], lags: int, *within: str) -> DataFrame:
+    """(within, n, mean_<value>, cov_<value>_<value>): Bartlett-weighted long-run covariances of the means, divided by n.
 
     Bartlett weights over lags are what sums over lags + 1 neighbouring values
-    give when they are squared and added up, with zeros before the first and
+    give when they are multiplied and added up, with zeros before the first and
     after the last value: two running sums instead of a term a lag.
     """
     w = Window.partitionBy(*within)
-    v = F.col(value).cast("double")
-    z = df.select(*within, "t", (v - F.avg(v).over(w)).alias("z"), F.avg(v).over(w).alias("m"))
+    z = df.select(*within, "t", *[F.col(v).cast("double").alias(v) for v in values])
+    z = z.select(*within, "t", *[F.avg(v).over(w).alias(f"mean_{v}") for v in values], *[(F.col(v) - F.avg(v).over(w)).alias(f"z_{v}") for v in values])
     near, rest = w.orderBy("t").rowsBetween(-lags, 0), w.orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    tail = F.when(F.count("*").over(rest) <= lags, F.sum("z").over(rest)).otherwise(0.0)
-    sums = z.select(*within, "m", F.sum("z").over(near).alias("near"), tail.alias("tail"))
-    g = sums.groupBy(*within).agg(F.count("*").alias("n"), F.first("m").alias("mean"), F.sum(F.col("near") * F.col("near") + F.col("tail") * F.col("tail")).alias("s"))
-    return g.select(*within, "n", "mean", (F.col("s") / (lags + 1) / F.col("n") / F.col("n")).alias("variance"))
+    last = F.count("*").over(rest) <= lags
+    sums = z.select(*within, *[f"mean_{v}" for v in values], *[F.sum(f"z_{v}").over(near).alias(f"near_{v}") for v in values], *[F.when(last, F.sum(f"z_{v}").over(rest)).otherwise(0.0).alias(f"tail_{v}") for v in values])
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k:]]
+    each = [(F.sum(F.col(f"near_{a}") * F.col(f"near_{b}") + F.col(f"tail_{a}") * F.col(f"tail_{b}")) / (lags + 1) / F.count("*") / F.count("*")).alias(f"cov_{a}_{b}") for a, b in pairs]
+    return sums.groupBy(*within).agg(F.count("*").alias("n"), *[F.first(f"mean_{v}").alias(f"mean_{v}") for v in values], *each)
+
+
+def hac_variance(df: DataFrame, value: str, lags: int, *within: str) -> DataFrame:
+    """(within, n, mean, variance) of one value."""
+    g = hac_covariances(df, [value], lags, *within)
+    return g.select(*within, "n", F.col(f"mean_{value}").alias("mean"), F.col(f"cov_{value}_{value}").alias("variance"))

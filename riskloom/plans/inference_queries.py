@@ -221,3 +221,58 @@ def reference_log_es_ratios(spark, d):
     own = I.bands(draws, est, ["tau", "block", "task"]).select(*keys, "estimate", F.exp("estimate").alias("geometric_ratio"), F.col("simultaneous_low").alias("task_low"), F.col("simultaneous_high").alias("task_high"))
     every = I.bands(draws, est, ["tau", "block"], ["task"]).select(*keys, F.col("simultaneous_low").alias("global_low"), F.col("simultaneous_high").alias("global_high"))
     return told(own.join(every, keys))
+
+
+# Model confidence set over the three windows.
+def set_step_sql(step: int, least: str) -> dict:
+    left = " AND ".join(f"({c}, tau) NOT IN (SELECT contrast, tau FROM step{k})" for k in range(1, step) for c in "ab") or "true"
+    return {
+        f"worst{step}": (f"SELECT tau, arg_max(a, (z, a)) AS contrast, max(z) AS statistic FROM zs WHERE {left} GROUP BY tau", ("zs", *(f"step{k}" for k in range(1, step)))),
+        f"step{step}": (f"SELECT tau, contrast, {step} AS step, statistic, p, greatest(p, {least}) AS set_p FROM (SELECT tau, contrast, statistic, (count(*) FILTER (WHERE y >= statistic) + 1) / (count(*) + 1) AS p FROM (SELECT tau, rep, max(y) AS y FROM ys WHERE {left} GROUP BY ALL) JOIN worst{step} USING (tau) GROUP BY ALL) s", ("ys", f"worst{step}", *(f"step{k}" for k in range(1, step)))),
+    }
+
+
+CONFIDENCE = DAILY | draws_sql("tau", "whole_days", MODELS, BLOCKS[:1]) | {
+    "es": ("SELECT tau, rep, contrast, mean - estimate AS e, estimate AS m FROM draws JOIN est USING (tau, contrast)", ("draws", "est")),
+    "epairs": ("SELECT tau, rep, a.contrast AS a, b.contrast AS b, a.e - b.e AS e, a.m - b.m AS gap FROM es a JOIN es b USING (tau, rep) WHERE a.contrast <> b.contrast", ("es",)),
+    "zs": ("SELECT tau, a, b, sqrt(avg(e * e)) AS sd, max(gap) / sqrt(avg(e * e)) AS z FROM epairs GROUP BY ALL", ("epairs",)),
+    "ys": ("SELECT tau, rep, a, b, e / sd AS y FROM epairs JOIN zs USING (tau, a, b)", ("epairs", "zs")),
+} | set_step_sql(1, "0") | set_step_sql(2, "(SELECT set_p FROM step1 o WHERE o.tau = s.tau)")
+
+
+@query("model_confidence_set", sql(f"SELECT {TAU}, contrast, step, {q6('statistic')} AS statistic, {q6('p')} AS p, {q6('set_p')} AS set_p FROM (SELECT * FROM step1 UNION ALL SELECT * FROM step2 UNION ALL SELECT tau, contrast, 3, 0.0, 1.0, 1.0 FROM est WHERE (tau, contrast) NOT IN (SELECT tau, contrast FROM step1) AND (tau, contrast) NOT IN (SELECT tau, contrast FROM step2)) AS every", "step2", "est", extra=CONFIDENCE))
+def model_confidence_set(spark, d):
+    daily = daily_scores(spark, d)
+    draws = I.block_means(daily, ["tau"], MODELS, BLOCKS[:1], REPS).drop("block")
+    return told(I.confidence_set(draws, I.estimates(daily, ["tau"], MODELS), ["tau"], len(MODELS)))
+
+
+# Joint test of breach rate and ES identification.
+def hac_sql(values, lags: int, source: str, keys: str) -> str:
+    """The same running sums, for values centred as z_<value>."""
+    near = ", ".join(f"sum(z_{v}) OVER (w ROWS BETWEEN {lags} PRECEDING AND CURRENT ROW) AS n_{v}, CASE WHEN count(*) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= {lags} THEN sum(z_{v}) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE 0 END AS t_{v}" for v in values)
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k:]]
+    cov = ", ".join(f"sum(n_{a} * n_{b} + t_{a} * t_{b}) / {lags + 1} / count(*) / count(*) AS cov_{a}_{b}" for a, b in pairs)
+    return f"SELECT {keys}, count(*) AS n, {', '.join(f'max(m_{v}) AS mean_{v}' for v in values)}, {cov} FROM (SELECT *, {near} FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY t)) GROUP BY {keys}"
+
+
+def centred_sql(keys: str, source: str) -> str:
+    return f"SELECT *, avg(hit) OVER k AS m_hit, hit - avg(hit) OVER k AS z_hit, avg(u) OVER k AS m_u, u - avg(u) OVER k AS z_u FROM (SELECT *, tail_residual / es AS u FROM {source}) WINDOW k AS (PARTITION BY {keys})"
+
+
+TASK_KEYS = "model, book, report, tau"
+WALD = "(d * d * cov_u_u - 2 * d * mean_u * cov_hit_u + mean_u * mean_u * cov_hit_hit) / (cov_hit_hit * cov_u_u - cov_hit_u * cov_hit_u)"
+
+
+@query("calibration_tests", sql(f"SELECT model, book, report, {TAU}, n, {q6('w')} AS statistic, CASE WHEN breaches >= 30 THEN {q6('exp(-w / 2)')} END AS p FROM (SELECT *, CASE WHEN cov_hit_hit * cov_u_u - cov_hit_u * cov_hit_u > 1e-30 THEN {WALD} END AS w FROM (SELECT *, mean_hit - (1 - CAST(tau AS DOUBLE)) AS d, round(mean_hit * n) AS breaches FROM cov)) AS c", "cov", extra={
+    "centred2": (centred_sql(TASK_KEYS, "scores"), ("scores",)), "cov": (hac_sql(("hit", "u"), 20, "centred2", TASK_KEYS), ("centred2",))}))
+def calibration_tests(spark, d):
+    """Wald statistic of both moments with long-run covariances, two degrees of freedom; no p-value below 30 breaches, none where the covariance is singular."""
+    s = scores(spark, d).withColumn("u", F.col("tail_residual") / F.col("es"))
+    c = E.hac_covariances(s, ["hit", "u"], 20, "model", "book", "report", "tau")
+    a, b, ab = (F.col(f"cov_{x}") for x in ("hit_hit", "u_u", "hit_u"))
+    x, y = F.col("mean_hit") - (1 - F.col("tau").cast("double")), F.col("mean_u")
+    det = a * b - ab * ab
+    w = F.when(det > 1e-30, (x * x * b - 2 * x * y * ab + y * y * a) / det)
+    told_ = c.withColumn("statistic", w)
+    return told(told_.select("model", "book", "report", "tau", "n", "statistic", F.when(F.round(F.col("mean_hit") * F.col("n")) >= 30, F.exp(-F.col("statistic") / 2)).alias("p")))

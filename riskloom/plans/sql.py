@@ -42,11 +42,11 @@ def risk_step(source: str, keys: str) -> str:
           FROM (SELECT {keys}, x, tau, greatest(CAST(ceil(tau * len(x)) AS INTEGER), 1) AS i FROM {source} CROSS JOIN taus))"""
 
 
-def score_step(source: str, extra: str = "") -> str:
+def score_step(source: str, extra: str = "", realised: str = "realised") -> str:
     return f"""SELECT * FROM (SELECT f.*, a.actual{extra}, CAST(a.actual > f.var AS INTEGER) AS hit,
       f.es - f.var - greatest(a.actual - f.var, 0.0) / (1 - CAST(tau AS DOUBLE)) AS tail_residual,
       CASE WHEN f.es > 0 AND f.es >= f.var - 1e-10 THEN greatest(a.actual - f.var, 0.0) / ((1 - CAST(tau AS DOUBLE)) * f.es) + f.var / f.es + ln(CASE WHEN f.es > 0 THEN f.es ELSE 1 END) - 1 END AS score
-      FROM {source} f JOIN realised a USING (t, book, report)) WHERE score IS NOT NULL"""
+      FROM {source} f JOIN {realised} a USING (t, book, report)) WHERE score IS NOT NULL"""
 
 
 def unit_prices(bucket: str) -> str:

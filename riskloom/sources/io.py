@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows may use it often without making it again."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] = ()) -> DataFrame:
     """A headed CSV by an explicit schema; malformed rows fail the job. Doubles read back exactly."""
     df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
