@@ -1,6 +1,9 @@
 """Near duplicates and exact search against brute force, and the pipeline's stages."""
 
+import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +11,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
+from riskloom.llm.tokens import Encoder
 from riskloom.llm.topk import NONE, Boxes, KDTree, cells_of, cut_space, placed, planted, ranked, routed, searched, top_k
+from test_text_operators import BYTE, brute_kept, check_pieces
 
 
 def brute_fingerprint(text):
@@ -258,12 +263,74 @@ def test_top_k(spark, small):
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
-def test_pipeline(spark, small):
+def brute_lines(docs):
+    """docs (id, text, source) without the lines that three or more sources have, but in the first document that has them."""
+    bare = lambda x: x.strip(" \t\r\v\f")
+    sites, first = {}, {}
+    for k, text, source in docs:
+        for x in map(bare, text.split("\n")):
+            if x:
+                sites.setdefault(x, set()).add(source or "")
+                first[x] = min(k, first.get(x, k))
+    gone = lambda k, x: len(sites.get(bare(x), ())) >= 3 and first[bare(x)] != k
+    return {k: "\n".join(x for x in text.split("\n") if not gone(k, x)) for k, text, _ in docs}
+
+
+def brute_counts(docs):
+    """Poisson count of each document (id, source) at the square-root mixture."""
+    n = Counter(source for _, source in docs)
+    total = sum(round(math.sqrt(x), 9) for x in n.values())
+    out = {}
+    for k, source in docs:
+        rate = round(math.sqrt(n[source]) / total * len(docs) / n[source], 12)
+        u, log_p, below, count = int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:13], 16) / 2**52, -rate, math.exp(-rate), 0
+        while below <= u:
+            count += 1
+            log_p += math.log(rate / count)
+            below += math.exp(log_p)
+        out[k] = count
+    return out
+
+
+def test_pipeline(spark, small, tmp_path):
+    """Every stage, run on what the stage before it kept, against brute force; then run() as a whole."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = random.Random(21)
+    base = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
+    for k in range(40):
+        words = rng.choices([f"w{n}" for n in range(2000)], k=150)
+        changed = [w if n not in (20, 90, 130) else "changed" for n, w in enumerate(words)]
+        lines = [f"shared line {k % 4} of many sites", " ".join(words), "short text"]
+        base += [(10_000 + 3 * k + m, t, "en", f"s{(k + m) % 5}", len(t)) for m, t in enumerate(("\n".join(lines), "\n".join([lines[0], " ".join(changed)]), lines[2] if k % 2 else "JUNK### " * 60))]
+    types = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(base, types).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "packing"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, small)
+    quality, lines, near, mixing, packing = (stage for _, stage in corpus_pipeline.STAGES)
+
+    def kept(stage, given):
+        out = stage(spark, given, str(tmp_path))
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    rows = corpus_pipeline.run(spark, small)
-    assert rows.agg(F.max("length")).first()[0] <= 1024 and rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+        return sorted(map(tuple, out.collect()), key=lambda r: r[0])
+
+    one = kept(quality, docs)
+    assert one == [r for r in base if brute_kept(r[1] or "")[1]]
+    texts = brute_lines([(r[0], r[1], r[3]) for r in one])
+    two = kept(lines, spark.createDataFrame(one, docs.schema))
+    assert two == [(r[0], texts[r[0]], *r[2:4], len(texts[r[0]])) for r in one] and any(a[1] != b[1] for a, b in zip(one, two, strict=True))
+    label, _ = brute_similar([r[1] for r in two], 5, 0.8)
+    three = kept(near, spark.createDataFrame(two, docs.schema))
+    assert three == [r for k, r in enumerate(two) if label[k] == k] and len(three) < len(two) - 30
+    counts = brute_counts([(r[0], r[3]) for r in three])
+    four = kept(mixing, spark.createDataFrame(three, docs.schema))
+    assert four == [r for r in three for _ in range(counts[r[0]])]
+    tokenizer = Encoder(BYTE)
+    ids = {r[0]: [*tokenizer.whole(r[1]).ids, 0] for r in four}
+    pieces = packing(spark, spark.createDataFrame(four, docs.schema), str(tmp_path)).collect()
+    covered, padding = check_pieces(pieces, ids, 1024)
+    assert covered == {k: len(v) * counts[k] for k, v in ids.items()} and padding < 0.2
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    piece = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+    assert piece(whole) == piece(pieces)
+    nothing = docs.limit(0)
+    assert all(stage(spark, nothing, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
