@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,33 @@ def year_cutoff(calendar: DataFrame) -> DataFrame:
     """(t, d, cutoff, cutoff_d): each row with the last row of the year before, where there is one."""
     last = calendar.groupBy((F.year("d") + 1).alias("y")).agg(F.max("t").alias("cutoff"), F.max("d").alias("cutoff_d"))
     return calendar.withColumn("y", F.year("d")).join(F.broadcast(last), "y").select("t", "d", "cutoff", "cutoff_d")
+
+
+def refused(df: DataFrame, fault: Column, what: str) -> DataFrame:
+    """df; the job fails at the first row where fault holds."""
+    return df.where(F.when(fault, F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True)))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys; the job fails where a key occurs twice on either side."""
+
+    def single(df: DataFrame) -> DataFrame:
+        many = df.withColumn("key_rows_", F.count("*").over(Window.partitionBy(*keys)))
+        return refused(many, F.col("key_rows_") > 1, f"a key of {', '.join(keys)} occurs twice").drop("key_rows_")
+
+    return single(left).join(single(right), list(keys))
+
+
+def components_of(forecasts: DataFrame, selectors: DataFrame, on: Sequence[str], task: Sequence[str], tolerance: float = 1e-13) -> DataFrame:
+    """(task, var_<model>.. as arrays): forecasts that a selector row names, one row a task with all of them in order of the model.
+
+    The job fails where a task lacks a selected model or has one twice, where its
+    target dates differ, or where its outcomes differ by more than the tolerance.
+    """
+    chosen = forecasts.join(F.broadcast(selectors), list(on), "left_semi")  # selectors: a row a component
+    wanted = selectors.select("model").distinct().agg(F.count("*").alias("wanted_"))
+    g = chosen.groupBy(*task).agg(F.count("*").alias("n_"), F.count_distinct("model").alias("models_"), (F.max("actual") - F.min("actual")).alias("apart_"), F.first("actual").alias("actual"), F.sort_array(F.collect_list(F.struct("model", "var", "es"))).alias("x")).crossJoin(F.broadcast(wanted))
+    g = refused(g, F.col("models_") != F.col("wanted_"), "a task lacks a selected component")
+    g = refused(g, F.col("n_") != F.col("models_"), "a task has a component twice")
+    g = refused(g, F.col("apart_") > tolerance, "components disagree about an outcome")
+    return g.select(*task, "actual", F.transform("x", lambda c: c["model"]).alias("models"), F.transform("x", lambda c: c["var"]).alias("var"), F.transform("x", lambda c: c["es"]).alias("es"))

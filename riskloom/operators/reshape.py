@@ -45,6 +45,30 @@ def yearly_stride(calendar: DataFrame, per_year: int) -> DataFrame:
     return n.where(F.expr(f"(rn - 1) % greatest(n div {per_year}, 1) = 0")).select("t", "d")
 
 
+def every_nth(calendar: DataFrame, n: int) -> DataFrame:
+    """Every n-th row of the calendar, the first included."""
+    return calendar.where((F.col("t") - 1) % n == 0).select("t", "d")
+
+
+def yearly_ends(calendar: DataFrame) -> DataFrame:
+    """First, middle (number n div 2, from 0) and last row of each year."""
+    y = Window.partitionBy(F.year("d"))
+    n = calendar.select("t", "d", F.row_number().over(y.orderBy("t")).alias("rn"), F.count("*").over(y).alias("n"))
+    return n.where(F.expr("rn in (1, n div 2 + 1, n)")).select("t", "d")
+
+
+def evenly_spaced(calendar: DataFrame, k: int) -> DataFrame:
+    """k rows from the first to the last, their distances as equal as whole numbers allow (rounded down)."""
+    last = calendar.agg(F.max("t").alias("last"))
+    places = last.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "last").select((F.floor(F.col("i") * (F.col("last") - 1) / (k - 1)) + 1).alias("t")).distinct()
+    return calendar.join(F.broadcast(places), "t").select("t", "d")  # k rows
+
+
+def listed(calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows whose day is listed."""
+    return calendar.join(days, "d", "left_semi").select("t", "d")
+
+
 def eligible(calendar: DataFrame, window: int, h: int, first_year: int, last_year: int) -> DataFrame:
     """Origins with a full window before them and their endpoint in the panel, in the years given."""
     last = calendar.agg(F.max("t").alias("last"))

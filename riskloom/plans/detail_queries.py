@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.columns import array_mean
 from riskloom.operators import evaluate as E
+from riskloom.operators.joins import components_of, one_to_one
 from riskloom.operators.panel import history
-from riskloom.operators.risk import var_es
+from riskloom.operators.risk import realised, var_es
 from riskloom.plans.base import KEYS, forecasts, panel, read, returns, scores
 from riskloom.plans.risk_queries import FHS, FKEYS, filtered_sets, told
 from riskloom.plans.sql import r6 as q6, sql
@@ -95,3 +97,32 @@ def running_share(spark, d):
     w = Window.partitionBy("o_custkey")
     run = F.sum("o_totalprice").over(w.orderBy("o_totalprice", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
     return told(read(spark, d, "orders").select("o_custkey", "o_orderkey", (run / F.sum("o_totalprice").over(w)).alias("share")))
+
+
+SELECTED = "SELECT * FROM forecasts WHERE (model, report) IN (('HS250', 'base'), ('HS1250', 'base'), ('HS250', 's1'), ('HS1250', 's1')) AND t > 1250"
+
+
+@query("component_tasks", sql(f"SELECT f.t, book, report, CAST(f.tau AS DOUBLE) AS tau, {q6('max(a.actual)')} AS actual, string_agg(model, ',' ORDER BY model) AS models, {q6('avg(var)')} AS mean_var, {q6('avg(es)')} AS mean_es FROM ({SELECTED}) f JOIN realised a USING (t, book, report) GROUP BY f.t, book, report, f.tau", "forecasts", "realised"))
+def component_tasks(spark, d):
+    """Tasks with all selected components, each (model, report) a row of a selector table; a gap, a repeated component or a disputed outcome fails the job."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(r).alias("report")) for m in ("HS250", "HS1250") for r in ("base", "s1")]))
+    selectors = spark.range(1).select(pairs.alias("x")).select("x.*")
+    f = forecasts(spark, d).where("t > 1250").join(realised(returns(spark, d)), KEYS)
+    c = components_of(f, selectors, ["model", "report"], [*KEYS, "tau"])
+    return told(c.select(*KEYS, "tau", "actual", F.array_join("models", ",").alias("models"), array_mean(F.col("var")).alias("mean_var"), array_mean(F.col("es")).alias("mean_es")))
+
+
+@query("validated_precision", sql(f"SELECT l.t, l.book, l.report, CAST(l.tau AS DOUBLE) AS tau, {q6('l.es')} AS low, {q6('h.es')} AS high FROM risk500 l JOIN risk1250 h USING (t, book, report, tau)", "risk500", "risk1250"))
+def validated_precision(spark, d):
+    """Two windows side by side, one row of each to one of the other or the job fails."""
+    f = forecasts(spark, d, (500, 1250))
+    low, high = (f.where(F.col("model") == m).select(*KEYS, "tau", F.col("es").alias(n)) for m, n in (("HS500", "low"), ("HS1250", "high")))
+    return told(one_to_one(low, high, [*KEYS, "tau"]))
+
+
+@query("set_equality", "SELECT 'customer' AS side, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation) UNION ALL SELECT 'nation', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)")
+def set_equality(spark, d):
+    """Keys that only one side has, counted both ways."""
+    a, b = read(spark, d, "customer").select("c_nationkey"), read(spark, d, "nation").select("n_nationkey")
+    count = lambda x, side: x.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return count(a.subtract(b), "customer").unionByName(count(b.subtract(a), "nation"))

@@ -9,7 +9,7 @@ from riskloom.functions.columns import r6
 from riskloom.operators import panel as P
 from riskloom.operators import reshape as R
 from riskloom.operators.books import REFERENCES, basis
-from riskloom.operators.joins import latest_completed, year_cutoff
+from riskloom.operators.joins import latest_completed, refused, year_cutoff
 from riskloom.operators.risk import NOTIONAL, outcomes
 from riskloom.plans.base import panel, read, returns
 from riskloom.plans.sql import K, each_task, r6 as q6, returns_step, sql, unit_prices
@@ -210,3 +210,28 @@ def trailing_median_60(spark, d):
 @query("pseudo_observations", sql("SELECT t, " + ", ".join(f"{q6(f'(rank() OVER (ORDER BY r{k}) + (count(*) OVER (PARTITION BY r{k}) - 1) / 2.0) / ((SELECT count(*) FROM returns) + 1.0)')} AS u{k}" for k in K) + " FROM returns", "returns"))
 def pseudo_observations(spark, d):
     return R.pseudo_observations(returns(spark, d), [f"r{k}" for k in K]).select("t", *[r6(F.col(f"u_r{k}")).alias(f"u{k}") for k in K])
+
+
+SAMPLES = {
+    "every_6": "SELECT t, d FROM panel WHERE (t - 1) % 6 = 0",
+    "yearly_ends": "SELECT t, d FROM (SELECT t, d, row_number() OVER (PARTITION BY year(d) ORDER BY t) AS rn, count(*) OVER (PARTITION BY year(d)) AS n FROM panel) WHERE rn IN (1, n // 2 + 1, n)",
+    "evenly_32": "SELECT t, d FROM panel WHERE t IN (SELECT CAST(floor(i * (m - 1) / 31) AS BIGINT) + 1 FROM (SELECT max(t) AS m FROM panel), (SELECT unnest(range(32)) AS i))",
+    "month_ends_listed": "SELECT t, d FROM panel WHERE d IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE day(l_shipdate) = 28)",
+}
+
+
+@query("calendar_samples", sql(" UNION ALL ".join(f"SELECT '{n}' AS sample, t, CAST(d AS VARCHAR) AS d FROM ({q})" for n, q in SAMPLES.items()), "panel"))
+def calendar_samples(spark, d):
+    """Every sixth row, first, middle and last of a year, 32 evenly spaced rows, and days from a list."""
+    c = panel(spark, d).select("t", "d")
+    days_ = read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("d")).where(F.dayofmonth("d") == 28).distinct()
+    made = {"every_6": R.every_nth(c, 6), "yearly_ends": R.yearly_ends(c), "evenly_32": R.evenly_spaced(c, 32), "month_ends_listed": R.listed(c, days_)}
+    out = [days(x.select(F.lit(n).alias("sample"), "t", "d"), "d") for n, x in made.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("checked_divide", sql("SELECT t, " + q6("r1 / p1") + " AS ratio FROM returns JOIN panel USING (t)", "returns", "panel"))
+def checked_divide(spark, d):
+    """A ratio that fails the job where its denominator is zero or missing."""
+    j = returns(spark, d).drop("d").join(panel(spark, d), "t")
+    return refused(j, F.coalesce(F.col("p1") == 0, F.lit(True)), "zero denominator").select("t", r6(F.col("r1") / F.col("p1")).alias("ratio"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +36,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns
     return df.select(*columns) if columns else df
 
 
-def write_csv(df: DataFrame, path: str, by: Sequence[str] = (), gzip: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, by: Sequence[str] = (), compressed: bool = False) -> None:
     """Headed CSV with the shortest digits that read back exactly, partitioned by columns; an existing folder is an error."""
     writer = df.write.mode("errorifexists").option("header", True)
-    writer = writer.option("compression", "gzip") if gzip else writer
+    writer = writer.option("compression", "gzip") if compressed else writer
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
@@ -51,13 +53,26 @@ def union_sources(frames: Iterable[tuple[str, DataFrame]], name: str = "source_n
 
 
 def merge_shards(spark: SparkSession, paths: Sequence[str], keys: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Parquet shards as one table in order of keys; repeated keys, or another number of rows than given, are errors."""
+    """Parquet shards as one table; repeated keys, or another number of rows than given, are errors. Rows have no order; sort where one is shown."""
     df = spark.read.parquet(*paths)
     if twice := df.groupBy(*keys).count().where("count > 1").take(1):
         raise ValueError(f"repeated key {twice[0]}")
     if rows is not None and (n := df.count()) != rows:
         raise ValueError(f"{n} rows, not {rows}")
-    return df.orderBy(*keys)
+    return df
+
+
+def gunzipped(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """(path, text) of every gzip file that the path pattern names, its content checked: digests (path, sha256) must have the digest of each file as it is stored, or the job fails."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("found"))
+    told = files.join(digests, "path", "left")
+    same = F.when(F.col("found").eqNullSafe(F.col("sha256")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "path")).cast("boolean"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gzip.decompress(x.as_py()).decode() for x in b.column(1)], pa.string())], names=["path", "text"])
+
+    return told.where(same).select("path", "content").mapInArrow(run, "path string, text string")
 
 
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:

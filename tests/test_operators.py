@@ -10,7 +10,7 @@ from riskloom.functions.columns import fz0, task_losses
 from riskloom.operators import inference as I
 from riskloom.operators.evaluate import hac_variance
 from riskloom.operators.filters import Garch, variance_path
-from riskloom.operators.joins import latest_completed
+from riskloom.operators.joins import components_of, latest_completed, one_to_one
 from riskloom.operators.panel import columns
 from riskloom.operators.reshape import duplicate_keys, require_empty
 from riskloom.operators.risk import sets, var_es, weighted_var_es
@@ -50,6 +50,19 @@ def test_latest_completed(spark):
     assert {(r.who, r.at): r.v for r in latest_completed(left, right, "at", "known", ["who"]).collect()} == {("a", 5): "y", ("a", 1): None, ("b", 9): None}
 
 
+def test_joins_refuse_bad_input(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, 1.0), (3, 2.0)], "k int, y double")
+    assert [tuple(r) for r in one_to_one(left, right, ["k"]).collect()] == [(1, "a", 1.0)]
+    with pytest.raises(Exception, match="occurs twice"):
+        one_to_one(left, right.union(right), ["k"]).collect()
+    rows = [(1, "A", 1.0, 2.0, 0.5), (1, "B", 1.5, 2.5, 0.5), (1, "C", 9.0, 9.0, 0.9)]
+    f, chosen = spark.createDataFrame(rows, "t int, model string, var double, es double, actual double"), spark.createDataFrame([("A",), ("B",)], "model string")
+    assert [tuple(r) for r in components_of(f, chosen, ["model"], ["t"]).collect()] == [(1, 0.5, ["A", "B"], [1.0, 1.5], [2.0, 2.5])]
+    for bad, what in ((f.where("model <> 'B'"), "lacks"), (f.union(f.where("model = 'A'")), "twice"), (f.withColumn("actual", F.when(F.col("model") == "B", 0.6).otherwise(0.5)), "disagree")):
+        with pytest.raises(Exception, match=what):
+            components_of(bad, chosen, ["model"], ["t"]).collect()
+
+
 def test_block_draws_are_explicit(spark):
     """Means and medians of draws equal those of the dates that their starts name; starts are spread evenly."""
     n, block = 39, 7
@@ -104,7 +117,12 @@ def test_sources(spark, tmp_path):
         io.write_csv(df, f"{tmp_path}/a")
     df.write.parquet(f"{tmp_path}/p1")
     df.withColumn("k", F.col("k") + 2).write.parquet(f"{tmp_path}/p2")
-    assert [r.k for r in io.merge_shards(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], ["k"], 4).collect()] == [1, 2, 3, 4]
+    assert sorted(r.k for r in io.merge_shards(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], ["k"], 4).collect()) == [1, 2, 3, 4]
+    io.write_csv(df, f"{tmp_path}/z", compressed=True)
+    digests = spark.read.format("binaryFile").load(f"{tmp_path}/z/*.gz").select("path", F.sha2("content", 256).alias("sha256"))
+    assert sum(r.text.count("\n") for r in io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests).collect()) >= 3
+    with pytest.raises(Exception, match="digest differs"):
+        io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests.withColumn("sha256", F.lit("0"))).collect()
     with pytest.raises(ValueError):
         io.merge_shards(spark, [f"{tmp_path}/p1", f"{tmp_path}/p1"], ["k"])
     (tmp_path / "par.json").write_text('{"cutoff": "2000-12-29", "fits": [{"reference": "base", "nodes": ["s1", "s2"], "garch": [{"mu": 0.1}, {"mu": 0.2}]}]}')
