@@ -9,6 +9,7 @@ expressions over such arrays took five times as long.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 from itertools import accumulate
 
 import numpy as np
@@ -81,6 +82,22 @@ def by_node(filtered_rows: DataFrame, *values: str) -> DataFrame:
 
 #: Origins that share a task's group.
 SPAN = 128
+SETS = "t long, {}book string, report string, x array<double>"
+
+
+def task_sets(a: np.ndarray, b: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
+    """(book, report, losses, ascending) of every task over paths whose increments in the numeraire's frame are a, then b; a row a path."""
+    out, begin, end = [], np.exp(a), np.exp(a + b)
+    for book, report, base, w, n in tasks():
+        start, left = base + begin @ np.array(w), base + end @ np.array(w)
+        rise, fall = (begin[:, n - 1], end[:, n - 1]) if n else (1.0, 1.0)
+        out.append((book, report, np.sort(start / rise - left / fall)))
+    return out
+
+
+def set_table(t: list[int], sets: list[tuple[str, str, np.ndarray]], **fixed: str) -> pa.Table:
+    rows = {"t": pa.array(t, pa.int64())} | {k: pa.array([v] * len(t), pa.string()) for k, v in fixed.items()}
+    return pa.table(rows | {"book": pa.array([x[0] for x in sets], pa.string()), "report": pa.array([x[1] for x in sets], pa.string()), "x": pa.array([x[2] for x in sets], pa.list_(pa.float64()))})
 
 
 def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z", standardise: bool = False, h: int = 1) -> DataFrame:
@@ -93,7 +110,6 @@ def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z"
     """
     f = by_node(filtered(returns, p).withColumn("z", F.col(residual)), "h", "z")
     spans = F.sequence(F.floor(F.col("t") / SPAN), F.floor((F.col("t") + window) / SPAN))
-    every = tasks()
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         reference, span = (k.as_py() for k in key)
@@ -101,7 +117,7 @@ def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z"
         t = g["t"].to_numpy()
         z, v = (np.column_stack([g[f"{c}_{n}"].to_numpy(zero_copy_only=False) for n in REFERENCES]).astype(float) for c in "zh")
         at = np.flatnonzero((t // SPAN == span) & (np.arange(len(t)) >= window))
-        out = {"t": [], "book": [], "report": [], "x": []}
+        days, sets = [], []
         for i in at:
             past = z[i - window : i]
             past = (past - past.mean(axis=0)) / past.std(axis=0) if standardise else past
@@ -112,15 +128,36 @@ def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z"
                 first, hold = (r, hold) if k == 0 else (first, hold + r)
                 state = p.omega + p.alpha * e * e + p.beta * state
             a, b = (x[:, 1:] - x[:, :1] for x in (np.nan_to_num(first), np.nan_to_num(hold)))
-            begin, end = np.exp(a), np.exp(a + b)
-            for book, report, base, w, n in every:
-                start, left = base + begin @ np.array(w), base + end @ np.array(w)
-                rise, fall = (1.0, 1.0) if not n else (begin[:, n - 1], end[:, n - 1])
-                out["t"].append(t[i])
-                out["book"].append(book)
-                out["report"].append(report)
-                out["x"].append(np.sort(start / rise - left / fall))
-        return pa.table({"t": pa.array(out["t"], pa.int64()), "reference": pa.array([reference] * len(out["t"]), pa.string()), "book": pa.array(out["book"], pa.string()), "report": pa.array(out["report"], pa.string()), "x": pa.array(out["x"], pa.list_(pa.float64()))})
+            mine = task_sets(a, b)
+            days += [int(t[i])] * len(mine)
+            sets += mine
+        return set_table(days, sets, reference=reference)
 
     dealt = f.withColumn("span", F.explode(spans))
-    return dealt.groupBy("reference", "span").applyInArrow(run, "t long, reference string, book string, report string, x array<double>")
+    return dealt.groupBy("reference", "span").applyInArrow(run, SETS.format("reference string, "))
+
+
+def normal_draws(draws: int, seed: int) -> np.ndarray:
+    """(draws, 8) standard normal numbers from MD5 digests of seed:draw:place, two at a time by polar angles; the first rows of a larger table are the smaller table."""
+    u = np.array([[int(md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) for j in range(8)] for i in range(draws)], float)
+    u = (u + 0.5) / 2**52
+    r, angle = np.sqrt(-2 * np.log(u[:, ::2])), 2 * np.pi * u[:, 1::2]
+    return np.stack([r * np.cos(angle), r * np.sin(angle)], axis=2).reshape(draws, 8)
+
+
+def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
+    """(t, book, report, x): losses, ascending, of two-step Gaussian paths with the exponentially weighted covariance known at each origin after the first ``start``; both steps have it."""
+    pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
+    known = [F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("cov"))).alias(f"c{i}{j}") for i, j in pairs]
+    states = ewma_covariance(returns, decay, start).groupBy((F.col("t") + 1).alias("t")).agg(*known).where(F.col("t") > start)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        z, days, sets = normal_draws(draws, seed), [], []
+        for row in group.to_pylist():
+            root = np.linalg.cholesky(np.array([[row[f"c{min(i, j)}{max(i, j)}"] for j in range(1, 5)] for i in range(1, 5)]))
+            mine = task_sets(z[:, :4] @ root.T, z[:, 4:] @ root.T)
+            days += [row["t"]] * len(mine)
+            sets += mine
+        return set_table(days, sets)
+
+    return states.withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format(""))

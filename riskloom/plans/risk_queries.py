@@ -305,6 +305,49 @@ def ewma_cov_fixed(spark, d):
     return told(G.ewma_covariance(returns(spark, d)))
 
 
+# Gaussian scenarios with the exponentially weighted covariance.
+DRAWS = 4096
+L = {(1, 1): "sqrt(c11)"} | {(k, 1): f"c1{k} / l11" for k in (2, 3, 4)}
+for j_ in (2, 3, 4):
+    L[j_, j_] = f"sqrt(c{j_}{j_}" + "".join(f" - l{j_}{m} * l{j_}{m}" for m in range(1, j_)) + ")"
+    L |= {(k, j_): f"(c{j_}{k}" + "".join(f" - l{k}{m} * l{j_}{m}" for m in range(1, j_)) + f") / l{j_}{j_}" for k in range(j_ + 1, 5)}
+ROOT = "SELECT t + 1 AS t, " + ", ".join(f"max(CASE WHEN i = {i} AND j = {j} THEN cov END) AS c{i}{j}" for i in K for j in K if i <= j) + " FROM ewma WHERE t + 1 > 20 GROUP BY 1"
+for j_ in K:
+    ROOT = f"SELECT *, {L[j_, j_]} AS l{j_}{j_} FROM ({ROOT})"
+    ROOT = f"SELECT *, {', '.join(f'{L[k, j_]} AS l{k}{j_}' for k in range(j_ + 1, 5))} FROM ({ROOT})" if j_ < 4 else ROOT
+UNIFORM = "(CAST(CAST('0x' || substr(md5('1:' || i || ':{0}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0"
+POLAR = ", ".join(f"sqrt(-2 * ln({UNIFORM.format(j)})) * {f}(2 * pi() * ({UNIFORM.format(j + 1)})) AS z{j + k}" for j in (0, 2, 4, 6) for k, f in enumerate(("cos", "sin")))
+STEP = ", ".join(" + ".join(f"l{k}{m} * z{m - 1 + o}" for m in range(1, k + 1)) + f" AS {n}{k}" for n, o in (("a", 0), ("b", 4)) for k in K)
+ALL_TASKS = [(book, report) for book in BOOKS for report in REPORTS]
+
+
+def gauss_sql(draws: int) -> dict:
+    lists = ", ".join(f"list_sort(list({loss_sql(book, REPORTS[report])})) AS x{i}" for i, (book, report) in enumerate(ALL_TASKS))
+    n = "" if draws == DRAWS else str(draws)
+    return EWMA | {
+        "roots": (ROOT, ("ewma",)),
+        f"normal{n}": (f"SELECT {POLAR} FROM (SELECT unnest(range({draws})) AS i)", ()),
+        f"glists{n}": (f"SELECT t, {lists} FROM (SELECT t, {STEP} FROM roots CROSS JOIN normal{n}) GROUP BY t", ("roots", f"normal{n}")),
+        f"gsets{n}": (" UNION ALL ".join(f"SELECT t, '{book}' AS book, '{report}' AS report, x{i} AS x FROM glists{n}" for i, (book, report) in enumerate(ALL_TASKS)), (f"glists{n}",)),
+        f"grisk{n}": (risk_step(f"gsets{n}", "t, book, report"), (f"gsets{n}", "taus")),
+    }
+
+
+@query("ewma_gauss", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM grisk", "grisk", extra=gauss_sql(DRAWS), recursive=True))
+def ewma_gauss(spark, d):
+    return told(var_es(G.gaussian_sets(returns(spark, d), DRAWS), KEYS))
+
+
+@query("precision_draws", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(c)')} AS max_change, {q6('median(c)')} AS median_change, count(*) FILTER (WHERE c > 0.05) AS above_5_percent FROM (SELECT l.book, l.report, l.tau, abs(h.es - l.es) / abs(h.es) AS c FROM grisk1024 l JOIN grisk h USING (t, book, report, tau) WHERE h.es <> 0) AS j GROUP BY book, report, j.tau", "grisk", "grisk1024", extra=gauss_sql(DRAWS) | gauss_sql(1024), recursive=True))
+def precision_draws(spark, d):
+    """Relative change of ES from the first quarter of the draws to all of them."""
+    r = returns(spark, d)
+    low, high = (var_es(G.gaussian_sets(r, n), KEYS).select(*KEYS, "tau", F.col("es").alias(name)) for n, name in ((DRAWS // 4, "low"), (DRAWS, "high")))
+    c = F.abs(F.col("high") - F.col("low")) / F.abs(F.col("high"))
+    j = low.join(high, [*KEYS, "tau"]).where("high <> 0").withColumn("c", c)
+    return told(j.groupBy("book", "report", "tau").agg(F.count("*").alias("n"), F.max("c").alias("max_change"), F.percentile("c", 0.5).alias("median_change"), F.sum((F.col("c") > 0.05).cast("int")).alias("above_5_percent")))
+
+
 def nodes_sql(form: str) -> str:
     return ", ".join(form.replace("#", n) for n in REFERENCES)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import fz0, task_losses
 from riskloom.operators import inference as I
 from riskloom.operators.evaluate import hac_variance
-from riskloom.operators.filters import Garch, variance_path
+from riskloom.operators.filters import Garch, normal_draws, task_sets, variance_path
 from riskloom.operators.joins import components_of, latest_completed, one_to_one
 from riskloom.operators.panel import columns
 from riskloom.operators.reshape import duplicate_keys, require_empty
@@ -141,3 +141,14 @@ def test_checks(spark):
     with pytest.raises(ValueError, match="twice"):
         require_empty(duplicate_keys(df, "k"), "twice")
     require_empty(duplicate_keys(df.distinct(), "k"), "twice")
+
+
+def test_normal_draws_and_sets():
+    z = normal_draws(2000, 1)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and np.abs(np.corrcoef(z.T) - np.eye(8)).max() < 0.1
+    assert (normal_draws(300, 1) == z[:300]).all() and not (normal_draws(300, 2) == z[:300]).any()
+    a, b = 0.1 * z[:50, :4], 0.1 * z[:50, 4:]
+    got = {(book, report): x for book, report, x in task_sets(a, b)}
+    w = np.array((0.25, 0.25, 0.25, 0.25))
+    want = (np.exp(a) @ w - 1) / np.exp(a[:, 0]) - (np.exp(a + b) @ w - 1) / np.exp(a + b)[:, 0]
+    assert np.allclose(got["funded_assets", "s1"], np.sort(want), atol=1e-14)
