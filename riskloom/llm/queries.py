@@ -120,5 +120,27 @@ s AS (SELECT bare, min(doc_id) AS keeper FROM l WHERE bare <> '' GROUP BY bare H
 SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.bare IS NULL OR l.doc_id = s.keeper), '') AS text
 FROM l LEFT JOIN s ON l.bare = s.bare GROUP BY l.doc_id
 UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL
+""",
+    "op9_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (SELECT row_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)),
+g AS (SELECT row_id, pos, word, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY row_id ORDER BY pos)),
+t AS (SELECT row_id, pos, word, third IS NOT NULL AND count(*) OVER (PARTITION BY row_id, word, second, third) > 1 AS again FROM g),
+c AS (SELECT row_id, word, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS covered FROM t WINDOW o AS (PARTITION BY row_id ORDER BY pos)),
+f AS (SELECT row_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY row_id),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper FROM d),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, letters, upper FROM l LEFT JOIN f USING (row_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * upper > letters OR 2 * letters < word_chars) AS kept
+FROM b
+""",
+    "op10_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }

@@ -297,7 +297,7 @@ def test_mixing(spark, odd, empty):
     assert abs(n["big"] - 10_000) < 400 and abs(n["small"] - 10_000) < 600
     keys = [r.shuffle_key for r in mixed.collect()]
     assert keys == sorted(keys)
-    salted = mix_sources(docs, weights={"big": 1.0, "small": 1.0}, total=20_000, broadcast_sources=0)
+    salted = mix_sources(docs, weights={"big": 1.0, "small": 1.0}, total=20_000, broadcast_numbers=0)
     assert sorted(salted.collect(), key=str) == sorted(mixed.collect(), key=str)
     many = mix_sources(docs.where("doc_id < 10"), weights={"small": 1.0}, total=2_000)
     assert abs(many.count() - 2_000) < 250 and many.select("doc_id").distinct().count() == 1
