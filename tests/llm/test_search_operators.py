@@ -261,6 +261,9 @@ def test_top_k(spark, small):
     want = brute_top(ids, v, range(0, 600, 50), 5) + [(1150, 1, 1151, 256 * 256 + 256 * 512)]
     assert got == sorted(want)
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [3.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(twice, twice.where("vec_id = 0"), scale=1).collect()]
+    assert sorted(asked) == [(0, 1, 1, 2), (0, 2, 2, 0)]  # of two queries with one id the smallest vector asks
 
 
 def brute_lines(docs):

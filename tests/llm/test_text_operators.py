@@ -284,6 +284,9 @@ def test_line_dedup_edges(spark, odd, empty):
     assert {r.text for r in drop_boilerplate(docs, min_sites=6).collect()} == {r[1] for r in rows}
     small_join = {r.doc_id: r.text for r in drop_boilerplate(docs, min_sites=3, broadcast_rows=-1).collect()}
     assert small_join == out
+    clash = docs.withColumnsRenamed({"source": "gone_lines"}).withColumn("gone_id", F.lit("own"))
+    got = drop_boilerplate(clash, site_col="gone_lines", min_sites=3)
+    assert got.columns == clash.columns and {r.doc_id: r.text for r in got.collect()} == out and {r.gone_id for r in got.collect()} == {"own"}
     assert drop_boilerplate(odd).columns == odd.columns and drop_boilerplate(odd).count() == odd.count()
     assert drop_boilerplate(empty).count() == 0
 
@@ -315,9 +318,8 @@ def test_chat(spark):
     made = spark.createDataFrame([Row(chosen=None, rejected=[Row(role="user", text="x")])], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
     r = chat.format_preferences(made).first()
     assert r.prompt == "" and r.chosen == [] and len(r.rejected) == 2
-    assert chat.conversations(turns.limit(0)).count() == 0
-
-
+    assert chat.format_preferences(made.union(made)).count() == 2  # repeated rows stay
+    assert chat.conversations(turns.limit(0)).count() == chat.format_preferences(made.limit(0)).count() == 0
 
 
 def brute_hits(weights, exceptions, line):
