@@ -137,27 +137,70 @@ def filtered_sets(returns: DataFrame, p: Garch, window: int, residual: str = "z"
     return dealt.groupBy("reference", "span").applyInArrow(run, SETS.format("reference string, "))
 
 
+def uniform_draws(draws: int, places: range, seed: int) -> np.ndarray:
+    """(draws, places) numbers between 0 and 1 from MD5 digests of seed:draw:place; the first rows of a larger table are the smaller table."""
+    return (np.array([[int(md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) for j in places] for i in range(draws)], float) + 0.5) / 2**52
+
+
 def normal_draws(draws: int, seed: int) -> np.ndarray:
-    """(draws, 8) standard normal numbers from MD5 digests of seed:draw:place, two at a time by polar angles; the first rows of a larger table are the smaller table."""
-    u = np.array([[int(md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) for j in range(8)] for i in range(draws)], float)
-    u = (u + 0.5) / 2**52
+    """(draws, 8) standard normal numbers, two at a time by polar angles of uniform ones."""
+    u = uniform_draws(draws, range(8), seed)
     r, angle = np.sqrt(-2 * np.log(u[:, ::2])), 2 * np.pi * u[:, 1::2]
     return np.stack([r * np.cos(angle), r * np.sin(angle)], axis=2).reshape(draws, 8)
 
 
-def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
-    """(t, book, report, x): losses, ascending, of two-step Gaussian paths with the exponentially weighted covariance known at each origin after the first ``start``; both steps have it."""
+def covariance_states(returns: DataFrame, decay: float, start: int) -> DataFrame:
+    """(t, c11..c44): the exponentially weighted covariance known at each origin, that of row t - 1, after the first ``start`` rows."""
     pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
     known = [F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("cov"))).alias(f"c{i}{j}") for i, j in pairs]
-    states = ewma_covariance(returns, decay, start).groupBy((F.col("t") + 1).alias("t")).agg(*known).where(F.col("t") > start)
+    return ewma_covariance(returns, decay, start).groupBy((F.col("t") + 1).alias("t")).agg(*known).where(F.col("t") > start)
+
+
+def root_of(row: dict) -> np.ndarray:
+    return np.linalg.cholesky(np.array([[row[f"c{min(i, j)}{max(i, j)}"] for j in range(1, 5)] for i in range(1, 5)]))
+
+
+def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
+    """(t, book, report, x): losses, ascending, of two-step Gaussian paths with the exponentially weighted covariance known at each origin after the first ``start``; both steps have it."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         z, days, sets = normal_draws(draws, seed), [], []
         for row in group.to_pylist():
-            root = np.linalg.cholesky(np.array([[row[f"c{min(i, j)}{max(i, j)}"] for j in range(1, 5)] for i in range(1, 5)]))
+            root = root_of(row)
             mine = task_sets(z[:, :4] @ root.T, z[:, 4:] @ root.T)
             days += [row["t"]] * len(mine)
             sets += mine
         return set_table(days, sets)
 
-    return states.withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format(""))
+    return covariance_states(returns, decay, start).withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format(""))
+
+
+def radial_sets(returns: DataFrame, window: int = 250, draws: int = 4096, seed: int = 2, decay: float = 0.94, start: int = 20) -> DataFrame:
+    """(t, book, report, x): losses, ascending, of two-step elliptical paths: directions even on the sphere, radii drawn from the window's own.
+
+    A row's radius is the length of its increments in units of the covariance
+    that they lead to; the window's radii are scaled to a mean square of 4, that
+    of a Gaussian law in four dimensions.
+    """
+    last = returns.select((F.col("t") + 1).alias("t"), "r1", "r2", "r3", "r4")
+    rows = covariance_states(returns, decay, start).join(last, "t")
+    spans = F.sequence(F.floor(F.col("t") / SPAN), F.floor((F.col("t") + window - 1) / SPAN))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        z, u = normal_draws(draws, seed), uniform_draws(draws, range(8, 10), seed)
+        way = [x / np.sqrt((x * x).sum(axis=1))[:, None] for x in (z[:, :4], z[:, 4:])]
+        at, days, sets = (u * window).astype(int), [], []
+        held = group.sort_by("t").to_pylist()
+        roots = [root_of(r) for r in held]
+        radius = np.array([np.sqrt((np.linalg.solve(root, [r[f"r{k}"] for k in range(1, 5)]) ** 2).sum()) for r, root in zip(held, roots, strict=True)])
+        for i in range(window - 1, len(held)):
+            if held[i]["t"] // SPAN != key[0].as_py():
+                continue
+            own = radius[i - window + 1 : i + 1]
+            own = own / np.sqrt((own * own).mean() / 4)
+            mine = task_sets(*((way[k] * own[at[:, k], None]) @ roots[i].T for k in (0, 1)))
+            days += [held[i]["t"]] * len(mine)
+            sets += mine
+        return set_table(days, sets)
+
+    return rows.withColumn("span", F.explode(spans)).groupBy("span").applyInArrow(run, SETS.format(""))

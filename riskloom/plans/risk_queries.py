@@ -338,6 +338,26 @@ def ewma_gauss(spark, d):
     return told(var_es(G.gaussian_sets(returns(spark, d), DRAWS), KEYS))
 
 
+SEED2 = lambda text: text.replace("md5('1:'", "md5('2:'")
+LENGTHS = [f"sqrt({' + '.join(f'z{m} * z{m}' for m in range(o, o + 4))})" for o in (0, 4)]
+INSIDE = ["r1 / l11", "(r2 - l21 * y1) / l22", "(r3 - l31 * y1 - l32 * y2) / l33", "(r4 - l41 * y1 - l42 * y2 - l43 * y3) / l44"]
+WHITE = "SELECT o.*, r.r1, r.r2, r.r3, r.r4 FROM roots o JOIN returns r ON r.t = o.t - 1"
+for k_, e_ in enumerate(INSIDE, 1):
+    WHITE = f"SELECT *, {e_} AS y{k_} FROM ({WHITE})"
+RSTEP = ", ".join("(" + " + ".join(f"o.l{k}{m} * d.z{m - 1 + o}" for m in range(1, k + 1)) + f") / d.length{n} * ({p}.radius / o.scale) AS {x}{k}" for x, o, n, p in (("a", 0, 1, "p"), ("b", 4, 2, "q")) for k in K)
+RADIAL = gauss_sql(DRAWS) | {
+    "rdraws": (SEED2(f"SELECT *, {LENGTHS[0]} AS length1, {LENGTHS[1]} AS length2 FROM (SELECT {POLAR}, CAST(floor(({UNIFORM.format(8)}) * {BASE}) AS BIGINT) AS i1, CAST(floor(({UNIFORM.format(9)}) * {BASE}) AS BIGINT) AS i2 FROM (SELECT unnest(range({DRAWS})) AS i))"), ()),
+    "radii": (f"SELECT *, sqrt(y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4) AS radius FROM ({WHITE})", ("roots", "returns")),
+    "rorigins": (f"SELECT * FROM (SELECT *, count(*) OVER w AS have, sqrt(avg(radius * radius) OVER w / 4) AS scale FROM radii WINDOW w AS (ORDER BY t ROWS BETWEEN {BASE - 1} PRECEDING AND CURRENT ROW)) WHERE have = {BASE}", ("radii",)),
+    "glists": (f"SELECT t, {', '.join(f'list_sort(list({loss_sql(book, REPORTS[report])})) AS x{i}' for i, (book, report) in enumerate(ALL_TASKS))} FROM (SELECT o.t, {RSTEP} FROM rorigins o CROSS JOIN rdraws d JOIN radii p ON p.t = o.t - {BASE - 1} + d.i1 JOIN radii q ON q.t = o.t - {BASE - 1} + d.i2) GROUP BY t", ("rorigins", "rdraws", "radii")),
+}
+
+
+@query("radial", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM grisk", "grisk", extra=RADIAL, recursive=True))
+def radial(spark, d):
+    return told(var_es(G.radial_sets(returns(spark, d), BASE, DRAWS), KEYS))
+
+
 @query("precision_draws", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(c)')} AS max_change, {q6('median(c)')} AS median_change, count(*) FILTER (WHERE c > 0.05) AS above_5_percent FROM (SELECT l.book, l.report, l.tau, abs(h.es - l.es) / abs(h.es) AS c FROM grisk1024 l JOIN grisk h USING (t, book, report, tau) WHERE h.es <> 0) AS j GROUP BY book, report, j.tau", "grisk", "grisk1024", extra=gauss_sql(DRAWS) | gauss_sql(1024), recursive=True))
 def precision_draws(spark, d):
     """Relative change of ES from the first quarter of the draws to all of them."""
