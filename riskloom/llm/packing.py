@@ -10,10 +10,10 @@ corpus, so they never meet in one task.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: i
         ids = b"".join(state.pieces(text)) + end_id.to_bytes(4, "little")
         return len(ids) // 4, [zlib.crc32(ids[k : k + 4 * size]) for k in range(0, len(ids), 4 * size)]
 
-    setup = lambda: encoder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes(), "bytes")
+    setup = lambda: encoder(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids), "bytes")
     return map_texts(id_and_text(docs, id_col, text_col), row, "doc_tokens long, crcs array<long>", [pa.int64(), pa.list_(pa.int64())], setup)
 
 

@@ -66,6 +66,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Words(dict):
+    """What is kept of each word, worked out when the word first occurs."""
+
+    def __init__(self, encode: Callable[[str], object]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> object:
+        self[word] = made = self.encode(word)
+        return made
+
+
 class Encoder:
     """A tokenizer file with what it has made of words and pieces so far; value() turns ids into what is kept of them."""
 
@@ -78,7 +89,7 @@ class Encoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.stable, self.memo, self.words, self.value = stable_at_space(spec), {}, {}, value
+        self.stable, self.memo, self.words, self.value = stable_at_space(spec), {}, Words(self.encode_word), value
         self.model, self.pattern, self.letters = self.tokenizer.model, word_pattern(spec), byte_letters()
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.lower = bool(spec.get("normalizer"))
@@ -91,24 +102,22 @@ class Encoder:
     def pieces(self, text: str) -> list:
         """What value() makes of the parts of the text in turn: words by the model, where the split into words is known to be the library's; else pieces between proven cuts; else the whole."""
         if self.pattern and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-            found = self.pattern.findall(normalize("NFC", text).lower() if self.lower else text)
-            memo, encode = self.words, self.encode_words
-        elif self.stable and not CONTROL.search(text):
-            found, memo, encode = self.split(text), self.memo, self.encode_pieces
-        else:
+            if len(self.words) > MEMO:
+                self.words.clear()
+            return list(map(self.words.__getitem__, self.pattern.findall(normalize("NFC", text).lower() if self.lower else text)))
+        if not self.stable or CONTROL.search(text):
             return [self.value(self.whole(text).ids)]
+        found, memo = self.split(text), self.memo
         if new := set(found).difference(memo):
             if len(memo) > MEMO:
                 memo.clear()
                 new = set(found)
-            encode(list(new))
+            self.encode_pieces(list(new))
         return list(map(memo.__getitem__, found))
 
-    def encode_words(self, new: list[str]) -> None:
-        tokenize = self.model.tokenize
-        for word in new:
-            shown = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            self.words[word] = self.value([x.id for x in tokenize(shown)])
+    def encode_word(self, word: str) -> object:
+        shown = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return self.value([x.id for x in self.model.tokenize(shown)])
 
     def encode_pieces(self, new: list[str]) -> None:
         for at in range(0, len(new), 4096):
