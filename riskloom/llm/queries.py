@@ -6,17 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, languages
 from .common import table
 from .lines import drop_boilerplate
 from .mixing import mix_sources
 from .packing import pack
 from .quality import quality_verdicts
+from .runs import echoed, periodic_runs, run_digest
 from .secrets import find_secrets
 from .simhash import near_duplicate_groups
 from .tokens import token_counts
 from .topk import top_k
 from .toxicity import held_out, learn_lexicon, toxicity_scores
+from .turns import damaged, repair_reports
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,22 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.learn_profiles(docs))
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document repeats a passage of its own to its end."""
+    return run_digest(periodic_runs(echoed(table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults by the checksums of their rows."""
+    return repair_reports(damaged(table(spark, sf_dir, "conversations")), gone_col="gone")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +99,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
+    "op11_language_id": op11_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
