@@ -1,7 +1,8 @@
-"""Column expressions for cash losses, scores and order statistics."""
+"""Column expressions for cash losses, scores, order statistics and small linear systems."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -69,3 +70,54 @@ def fz0(y: Column, var: Column, es: Column, tau: Column) -> Column:
 
 def tail_residual(y: Column, var: Column, es: Column, tau: Column) -> Column:
     return es - var - F.greatest(y - var, F.lit(0.0)) / (1 - tau.cast("double"))
+
+
+def erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0: below 2 by the series in exp(-z^2), above by its continued fraction, 60 terms each."""
+    square, terms = z * z, F.sequence(F.lit(60), F.lit(1), F.lit(-1))
+    series = F.aggregate(terms, F.lit(1.0), lambda s, k: 1 + 2 * square / (2 * k + 1) * s)
+    fraction = F.aggregate(terms, z, lambda s, k: z + k / 2 / s)
+    tail = F.exp(-square) / math.sqrt(math.pi)
+    return F.when(z < 2, 1 - 2 * tail * z * series).otherwise(tail / fraction)
+
+
+def chi2_tail(x: Column, k: int) -> Column:
+    """Probability that a chi-square variable of k degrees of freedom exceeds x >= 0: a finite sum, after erfc where k is odd."""
+    half, odd = x / 2, k % 2
+    out = erfc(F.sqrt(half)) if odd else F.exp(-half)
+    for m in range(1, (k - 1) // 2 + 1):
+        power = m - 0.5 if odd else float(m)
+        out = out + F.exp(-half) * F.pow(half, power) / math.gamma(power + 1)
+    return out
+
+
+#: A pivot of a matrix with ones on its diagonal counts from here on.
+PIVOT = 1e-10
+
+
+def quadratic_form(means: Sequence[Column], cov: Mapping[tuple[int, int], Column]) -> tuple[Column, Column]:
+    """(rank, m' C^-1 m) of a mean vector m and a symmetric, positive semidefinite matrix C, given by its entries (i, j), i <= j; the form is null where the rank is deficient.
+
+    C is scaled to ones on its diagonal and eliminated row by row with m beside it;
+    each pivot adds the square of what is left of m over the pivot. A row whose pivot is
+    not above PIVOT depends on those before it and is passed over. A zero variance is such a row.
+    """
+    k = len(means)
+    size = [F.when(cov[i, i] > 0, F.sqrt(cov[i, i])) for i in range(k)]
+    entry = lambda i, j: F.coalesce(cov[min(i, j), max(i, j)] / (size[i] * size[j]), F.lit(0.0))
+    rows = F.array(*[F.array(*[entry(i, j) for j in range(k)], F.coalesce(m / size[i], F.lit(0.0))) for i, m in enumerate(means)])
+
+    def eliminated(m: Column, at: Column) -> Column:
+        lead = m[at]
+        return F.transform(m, lambda row, i: F.when((i > at) & (lead[at] > PIVOT), F.zip_with(row, lead, lambda x, y: x - row[at] / lead[at] * y)).otherwise(row))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), rows, eliminated)
+    pivots = F.transform(done, lambda row, i: F.struct(row[i].alias("d"), row[k].alias("y")))
+    rank = F.size(F.filter(pivots, lambda p: p["d"] > PIVOT))
+    return rank, F.when(rank == k, F.aggregate(pivots, F.lit(0.0), lambda s, p: s + p["y"] * p["y"] / p["d"]))
+
+
+def place_among(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending array ``cuts``, of at most ``most`` entries, are not above the value, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & (F.try_element_at(cuts, at + step) <= value), at + step).otherwise(at))

@@ -118,7 +118,7 @@ def hac_covariances(df: DataFrame, values: Sequence[str], lags: int, *within: st
     w = Window.partitionBy(*within)
     z = df.select(*within, "t", *[F.col(v).cast("double").alias(v) for v in values])
     z = z.select(*within, "t", *[F.avg(v).over(w).alias(f"mean_{v}") for v in values], *[(F.col(v) - F.avg(v).over(w)).alias(f"z_{v}") for v in values])
-    near, rest = w.orderBy("t").rowsBetween(-lags, 0), w.orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    near, rest = w.orderBy("t").rowsBetween(-lags, 0), w.orderBy("t").rowsBetween(0, lags)  # all that is left, for the last rows
     last = F.count("*").over(rest) <= lags
     sums = z.select(*within, *[f"mean_{v}" for v in values], *[F.sum(f"z_{v}").over(near).alias(f"near_{v}") for v in values], *[F.when(last, F.sum(f"z_{v}").over(rest)).otherwise(0.0).alias(f"tail_{v}") for v in values])
     pairs = [(a, b) for k, a in enumerate(values) for b in values[k:]]

@@ -128,7 +128,12 @@ def window_dispersion(spark, d):
     return told(E.dispersion(forecasts(spark, d), [*KEYS, "tau"], "es"))
 
 
-@query("signed_pair_contrasts", sql(f"SELECT a.t, a.book, a.report, CAST(a.tau AS DOUBLE) AS tau, a.model AS a, b.model AS b, {q6('(a.es - b.es) / abs(c.es)')} AS contrast FROM forecasts a JOIN forecasts b ON a.t = b.t AND a.book = b.book AND a.report = b.report AND a.tau = b.tau AND a.model < b.model JOIN forecasts c ON a.t = c.t AND a.book = c.book AND a.report = c.report AND a.tau = c.tau AND c.model = 'HS250' AND c.es <> 0", "forecasts"))
+# Every model's ES beside those of the same task; models in order of their names.
+BESIDE = {"beside": ("SELECT t, book, report, tau, " + ", ".join(f"max(CASE WHEN model = 'HS{w}' THEN es END) AS HS{w}" for w in WINDOWS) + " FROM forecasts GROUP BY ALL", ("forecasts",))}
+PAIRS = [(a, b) for a in sorted(f"HS{w}" for w in WINDOWS) for b in sorted(f"HS{w}" for w in WINDOWS) if a < b]
+
+
+@query("signed_pair_contrasts", sql(" UNION ALL ".join(f"SELECT t, book, report, {TAU}, '{a}' AS a, '{b}' AS b, {q6(f'({a} - {b}) / abs(HS250)')} AS contrast FROM beside WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND HS250 <> 0" for a, b in PAIRS), "beside", extra=BESIDE))
 def signed_pair_contrasts(spark, d):
     return told(E.pair_contrasts(forecasts(spark, d), [*KEYS, "tau"], "model", "es", "HS250"))
 
