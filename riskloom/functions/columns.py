@@ -91,8 +91,8 @@ def chi2_tail(x: Column, k: int) -> Column:
     return out
 
 
-#: A pivot of a matrix with ones on its diagonal counts from here on.
-PIVOT = 1e-10
+#: A pivot of a matrix with ones on its diagonal counts from here on, and a variance from this part of the squared mean on.
+PIVOT, CONSTANT = 1e-10, 1e-24
 
 
 def quadratic_form(means: Sequence[Column], cov: Mapping[tuple[int, int], Column]) -> tuple[Column, Column]:
@@ -100,10 +100,11 @@ def quadratic_form(means: Sequence[Column], cov: Mapping[tuple[int, int], Column
 
     C is scaled to ones on its diagonal and eliminated row by row with m beside it;
     each pivot adds the square of what is left of m over the pivot. A row whose pivot is
-    not above PIVOT depends on those before it and is passed over. A zero variance is such a row.
+    not above PIVOT depends on those before it and is passed over, as is one whose
+    variance is nothing but rounding of its mean.
     """
     k = len(means)
-    size = [F.when(cov[i, i] > 0, F.sqrt(cov[i, i])) for i in range(k)]
+    size = [F.when(cov[i, i] > CONSTANT * m * m, F.sqrt(cov[i, i])) for i, m in enumerate(means)]
     entry = lambda i, j: F.coalesce(cov[min(i, j), max(i, j)] / (size[i] * size[j]), F.lit(0.0))
     rows = F.array(*[F.array(*[entry(i, j) for j in range(k)], F.coalesce(m / size[i], F.lit(0.0))) for i, m in enumerate(means)])
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import PIVOT
+from riskloom.functions.columns import CONSTANT, PIVOT
 from riskloom.operators.calibration import INSTRUMENTS, LEAST_BREACHES, calibration_table
 from riskloom.plans.base import scores
 from riskloom.plans.inference_queries import TASK_KEYS, hac_sql
@@ -37,7 +37,7 @@ def tail_sql(k: int) -> str:
 def wald_sql(name: str, values, source: str, n: str) -> str:
     """(keys, n, statistic, rank, p) by the same elimination, a subquery a pivot."""
     k = len(values)
-    size = lambda i: f"sqrt(nullif(greatest(cov_{values[i]}_{values[i]}, 0), 0))"
+    size = lambda i: f"CASE WHEN cov_{values[i]}_{values[i]} > {CONSTANT!r} * mean_{values[i]} * mean_{values[i]} THEN sqrt(cov_{values[i]}_{values[i]}) END"
     entry = lambda i, j: f"coalesce(cov_{values[min(i, j)]}_{values[max(i, j)]} / ({size(i)} * {size(j)}), 0) AS m{i}_{j}"
     q = f"SELECT {TASK_KEYS}, n, " + ", ".join([entry(i, j) for i in range(k) for j in range(k)] + [f"coalesce(mean_{values[i]} / {size(i)}, 0) AS m{i}_{k}" for i in range(k)]) + f" FROM {source}"
     for p in range(k - 1):
