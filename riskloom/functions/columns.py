@@ -5,12 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.books import BOOKS, REPORTS
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the input does not have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def r6(x: Column) -> Column:
     """Six decimals, never a negative zero."""
     return F.round(x, 6) + F.lit(0.0)

@@ -1,7 +1,7 @@
 """Recursive volatility filters and the scenario sets they give.
 
-A filter is one group a series: the state needs its predecessor, which column
-expressions do not offer in linear time. Scenario sets are one group a span of
+A filter's step composes with the next into one of its kind, so it is an
+affine scan over pieces of a series. Scenario sets are one group a span of
 origins: their windows overlap, so a span's history travels once, and column
 expressions over such arrays took five times as long.
 """
@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from hashlib import md5
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import tasks
 from riskloom.operators.books import REFERENCES
+from riskloom.operators.ordered import affine_scan
 from riskloom.operators.reshape import basis_long
 
 
@@ -34,44 +33,25 @@ class Garch:
     h0: float = 10_000.0
 
 
-def recursion(source: np.ndarray, keep: float, first: float) -> np.ndarray:
-    """x[0] = first, x[i] = source[i - 1] + keep * x[i - 1], one value after the other, so that results do not depend on the length."""
-    return np.fromiter(accumulate(source.tolist(), lambda x, s: s + keep * x, initial=first), float, len(source) + 1)
-
-
-def variance_path(r: np.ndarray, p: Garch) -> np.ndarray:
-    """h[i]: the variance for r[i], from increments before it; not below 1e-10, nor 1e-8 at first."""
-    e = r - p.mu
-    return np.maximum(recursion(p.omega + p.alpha * e * e, p.beta, max(p.h0, 1e-8))[: len(r)], 1e-10)
-
-
 def filtered(returns: DataFrame, p: Garch) -> DataFrame:
-    """(t, reference, node, x, h, z, zpost): percent increments of every node in every frame, their variance, and the residuals by the variance before and after the innovation."""
+    """(t, reference, node, x, h, z, zpost): percent increments of every node in every frame, their variance, and the residuals by the variance before and after the innovation.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("t")
-        x = 100 * g["r"].to_numpy()
-        h = variance_path(x, p)
-        e = x - p.mu
-        return pd.DataFrame({"t": g["t"], "reference": g["reference"], "node": g["node"], "x": x, "h": h, "z": e / np.sqrt(h), "zpost": e / np.sqrt(p.omega + p.alpha * e * e + p.beta * h)})
-
-    return basis_long(returns).groupBy("reference", "node").applyInPandas(run, "t long, reference string, node string, x double, h double, z double, zpost double")
+    h is the variance for the row's increment, from increments before it; not below 1e-10, nor 1e-8 at first.
+    """
+    rows = basis_long(returns).withColumn("x", 100 * F.col("r"))
+    e = F.col("x") - p.mu
+    scanned = affine_scan(rows, ["reference", "node"], "t", p.omega + p.alpha * e * e, float(p.beta), F.lit(max(p.h0, 1e-8)), 1e-10, ["x"])
+    after = F.sqrt(p.omega + p.alpha * e * e + p.beta * F.col("h"))
+    return scanned.withColumnRenamed("entry", "h").select("t", "reference", "node", "x", "h", (e / F.sqrt("h")).alias("z"), (e / after).alias("zpost"))
 
 
 def ewma_covariance(returns: DataFrame, decay: float = 0.94, start: int = 20) -> DataFrame:
-    """(t, i, j, cov): exponentially weighted covariances through row t, started from the sample covariance of the first rows."""
+    """(t, i, j, cov): exponentially weighted covariances through row t, started from the sample covariance of rows 1 to ``start``; 0 where that is one row."""
     pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
-    long = returns.select("t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}").alias("a"), F.col(f"r{j}").alias("b")) for i, j in pairs])).alias("x")).select("t", "x.*")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("t")
-        a, b = g["a"].to_numpy(), g["b"].to_numpy()
-        n = min(start, len(g))
-        first = float(((a[:n] - a[:n].mean()) * (b[:n] - b[:n].mean())).sum() / (n - 1)) if n > 1 else 0.0
-        state = recursion((1 - decay) * a * b, decay, first)[1:]
-        return pd.DataFrame({"t": g["t"], "i": g["i"], "j": g["j"], "cov": state})
-
-    return long.groupBy("i", "j").applyInPandas(run, "t long, i int, j int, cov double")
+    long = returns.select("t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}").alias("x"), F.col(f"r{j}").alias("y")) for i, j in pairs])).alias("p")).select("t", "p.*")
+    first = long.where(F.col("t") <= start).groupBy("i", "j").agg(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("first"))
+    scanned = affine_scan(long, ["i", "j"], "t", (1 - decay) * F.col("x") * F.col("y"), decay, first)
+    return scanned.select("t", "i", "j", F.col("state").alias("cov"))
 
 
 def by_node(filtered_rows: DataFrame, *values: str) -> DataFrame:

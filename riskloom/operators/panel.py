@@ -2,16 +2,19 @@
 
 Aggregation to (bucket, series) is the only step whose input grows with the raw
 table: it is a partial aggregate over the scan's few columns. All that follows
-works on one row a bucket, so windows without partitions stay small.
+works on one row a bucket, numbered by years and then taken in spans of its
+numbers, so no task holds the whole calendar, however fine its buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordered import framed, numbered
+
 SERIES = (1, 2, 3, 4)
 
 
@@ -37,9 +40,8 @@ def pivot_panel(long: DataFrame, key: str = "d", series: str = "k", value: str =
 
 
 def complete_case(wide: DataFrame, key: str = "d") -> DataFrame:
-    """Rows without a gap, numbered t = 1, 2, ... in order of the key."""
-    whole = wide.dropna()
-    return whole.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("t"), *wide.columns)
+    """Rows without a gap, numbered t = 1, 2, ... in order of the key, a date."""
+    return numbered(wide.dropna(), key, F.year(key))
 
 
 def price_panel(lineitem: DataFrame, bucket: str = "day") -> DataFrame:
@@ -49,23 +51,20 @@ def price_panel(lineitem: DataFrame, bucket: str = "day") -> DataFrame:
 
 def log_returns(panel: DataFrame) -> DataFrame:
     """(t, d, r1..r4): log increments from row t to t + 1, which are not known at t; the last row has none and is left out."""
-    w = Window.orderBy("t")
-    out = panel.select("t", "d", *[F.log(F.lead(f"p{k}", 1).over(w) / F.col(f"p{k}")).alias(f"r{k}") for k in SERIES])
-    return out.where(F.col("r1").isNotNull())
+    out = framed(panel, lambda w: [F.log(F.lead(f"p{k}", 1).over(w) / F.col(f"p{k}")).alias(f"r{k}") for k in SERIES], after=1)
+    return out.where(F.col("r1").isNotNull()).select("t", "d", *[f"r{k}" for k in SERIES])
 
 
 def rolling_sum(returns: DataFrame, h: int) -> DataFrame:
     """(t, h1..h4): increments of the rows t + 1 to t + h together; rows without h successors are left out."""
-    w = Window.orderBy("t").rowsBetween(1, h)
-    summed = returns.select("t", F.count("*").over(w).alias("n"), *[F.sum(f"r{k}").over(w).alias(f"h{k}") for k in SERIES])
-    return summed.where(F.col("n") == h).drop("n")
+    summed = framed(returns, lambda w: [F.count("*").over(w.rowsBetween(1, h)).alias("n"), *[F.sum(f"r{k}").over(w.rowsBetween(1, h)).alias(f"h{k}") for k in SERIES]], after=h)
+    return summed.where(F.col("n") == h).select("t", *[f"h{k}" for k in SERIES])
 
 
 def increments(returns: DataFrame, h: int = 1) -> DataFrame:
     """(s, a1..a4, b1..b4): the increment of row s and the sum of the h that follow it."""
-    w = Window.orderBy("t").rowsBetween(1, h)
-    both = returns.select(F.col("t").alias("s"), F.count("*").over(w).alias("n"), *[F.col(f"r{k}").alias(f"a{k}") for k in SERIES], *[F.sum(f"r{k}").over(w).alias(f"b{k}") for k in SERIES])
-    return both.where(F.col("n") == h).drop("n")
+    summed = framed(returns, lambda w: [F.count("*").over(w.rowsBetween(1, h)).alias("n"), *[F.sum(f"r{k}").over(w.rowsBetween(1, h)).alias(f"b{k}") for k in SERIES]], after=h)
+    return summed.where(F.col("n") == h).select(F.col("t").alias("s"), *[F.col(f"r{k}").alias(f"a{k}") for k in SERIES], *[f"b{k}" for k in SERIES])
 
 
 def history(pairs: DataFrame, window: int, h: int = 1, key: str = "s") -> DataFrame:

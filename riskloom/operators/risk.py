@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import expected_shortfall, fz0, inverse_cdf, tail_residual, task_losses
 from riskloom.operators.books import BOOKS, REPORTS
+from riskloom.operators.ordered import framed
 from riskloom.operators.panel import SERIES, columns, increments
 
 TAUS = (Decimal("0.95"), Decimal("0.99"))
@@ -17,8 +18,8 @@ NOTIONAL = 100_000_000.0
 
 def outcomes(panel: DataFrame, h: int = 1, books=BOOKS) -> DataFrame:
     """(t, d, start_d, target_d, book, report, actual_loss, reference_notional, q0..q4): fixed quantities bought at t, lost from t + 1 to t + 1 + h, in reported units of t."""
-    w = Window.orderBy("t")
-    at = panel.select("t", "d", *[f"p{k}" for k in SERIES], F.lead("d", 1).over(w).alias("start_d"), F.lead("d", 1 + h).over(w).alias("target_d"), *[F.lead(f"p{k}", n).over(w).alias(f"{x}{k}") for k in SERIES for x, n in (("u", 1), ("v", 1 + h))]).where(F.col("target_d").isNotNull())
+    ahead = lambda w: [F.lead("d", 1).over(w).alias("start_d"), F.lead("d", 1 + h).over(w).alias("target_d"), *[F.lead(f"p{k}", n).over(w).alias(f"{x}{k}") for k in SERIES for x, n in (("u", 1), ("v", 1 + h))]]
+    at = framed(panel.select("t", "d", *[f"p{k}" for k in SERIES]), ahead, after=1 + h).where(F.col("target_d").isNotNull())
     tasks = []
     for book, (base, weights) in books.items():
         q = [F.lit(NOTIONAL * base), *[F.lit(NOTIONAL * w) / F.col(f"p{k}") for k, w in zip(SERIES, weights, strict=True)]]

@@ -135,6 +135,15 @@ def asof_event(spark, d):
     return latest_completed(events, last, "at", "known_at", ["who"]).where("o_orderkey is not null").select("event_id", "o_orderkey")
 
 
+@query("asof_unkeyed", """WITH known AS (SELECT CAST(l_shipdate AS DATE) AS at, max(struct_pack(o := l_orderkey, n := l_linenumber)) AS x FROM lineitem GROUP BY 1)
+SELECT o.o_orderkey, k.x.o AS shipped_order, CAST(k.x.n AS BIGINT) AS shipped_line, CAST(k.at AS VARCHAR) AS shipped_on FROM orders o ASOF LEFT JOIN known k ON CAST(o.o_orderdate AS DATE) >= k.at""")
+def asof_unkeyed(spark, d):
+    """Every order with the latest shipment of any order on its day or before."""
+    orders = read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ordered_on"))
+    shipped = read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("shipped_on"), F.col("l_orderkey").alias("shipped_order"), F.col("l_linenumber").cast("long").alias("shipped_line"))
+    return days(latest_completed(orders, shipped, "ordered_on", "shipped_on").drop("ordered_on"), "shipped_on")
+
+
 @query("asof_year_cutoff", sql("SELECT p.t, CAST(p.d AS VARCHAR) AS d, c.cutoff, CAST(c.cutoff_d AS VARCHAR) AS cutoff_d FROM panel p JOIN (SELECT year(d) + 1 AS y, max(t) AS cutoff, max(d) AS cutoff_d FROM panel GROUP BY 1) c ON year(p.d) = c.y", "panel"))
 def asof_year_cutoff(spark, d):
     return days(year_cutoff(panel(spark, d).select("t", "d")), "d", "cutoff_d")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import fz0, task_losses
 from riskloom.operators import inference as I
 from riskloom.operators.evaluate import hac_variance
-from riskloom.operators.filters import Garch, normal_draws, task_sets, variance_path
+from riskloom.operators.filters import Garch, filtered, normal_draws, task_sets
 from riskloom.operators.joins import components_of, latest_completed, one_to_one
 from riskloom.operators.panel import columns
 from riskloom.operators.reshape import duplicate_keys, require_empty
@@ -97,16 +97,22 @@ def test_hac_is_the_sum_over_lags(spark):
     assert got.variance == pytest.approx(want) and got.n == 50
 
 
-def test_variance_path_is_causal():
-    r = np.sin(np.arange(60.0)) * 90
+def test_variance_path_is_causal(spark):
+    r = np.sin(np.arange(600.0))
     p = Garch(0.1, 5.0, 0.08, 0.9, 30.0)
-    h, want = variance_path(r, p), [30.0]
+
+    def path(values):
+        rows = [(t, float(v), 0.0, 0.0, 0.0) for t, v in enumerate(values, 1)]
+        f = filtered(spark.createDataFrame(rows, "t long, r1 double, r2 double, r3 double, r4 double"), p)
+        return [x.h for x in f.where("reference = 'base' and node = 's1'").orderBy("t").collect()]
+
+    h, want = path(r), [30.0]
     for x in r[:-1]:
-        want.append(5.0 + 0.08 * (x - 0.1) ** 2 + 0.9 * want[-1])
-    assert np.allclose(h, want, rtol=1e-13) and len(variance_path(r[:0], p)) == 0
+        want.append(5.0 + 0.08 * (100 * x - 0.1) ** 2 + 0.9 * want[-1])
+    assert np.allclose(h, want, rtol=1e-13) and path([]) == []
     changed = r.copy()
-    changed[30:] = 7
-    assert (variance_path(changed, p)[:31] == h[:31]).all()
+    changed[300:] = 7
+    assert path(changed)[:301] == h[:301]
 
 
 def test_sources(spark, tmp_path):
