@@ -83,7 +83,7 @@ def horizon_score_contrasts(spark, d):
     """The short window's daily score less the long one's, with bands at three block lengths."""
     at = lambda m: F.avg(F.when(F.col("model") == m, F.col("score")))
     daily = horizon_scores(spark, d).groupBy("horizon", "tau", "t").agg((at("HS250") - at("HS1250")).alias("HS250")).dropna()
-    return told(I.bands(I.block_means(daily, ["horizon", "tau"], ["HS250"], BLOCKS_H, REPS), I.estimates(daily, ["horizon", "tau"], ["HS250"]), ["horizon", "tau", "block"]))
+    return told(I.bands(*I.bootstrap(daily, ["horizon", "tau"], ["HS250"], BLOCKS_H, REPS), ["horizon", "tau", "block"]))
 
 
 HKEYS = "horizon, model, book, report, tau"
@@ -146,4 +146,4 @@ def reference_pair_contrasts(spark, d):
     f = var_es(filtered_sets(spark, d), FKEYS).where("es > 0")
     at = lambda ref: F.max(F.when(F.col("reference") == ref, F.col("es")))
     g = f.groupBy("tau", F.concat_ws("_", "book", "report").alias("task"), "t").agg(F.count("*").alias("n"), *[((at(a) - at(b)) / at("base")).alias(n) for (a, b), n in zip(FRAMES, PAIR_NAMES, strict=True)]).where("n = 5").drop("n")
-    return told(I.bands(I.block_means(g, ["tau", "task"], PAIR_NAMES, (20,), RANGE_REPS), I.estimates(g, ["tau", "task"], PAIR_NAMES), ["tau", "task", "block"]))
+    return told(I.bands(*I.bootstrap(g, ["tau", "task"], PAIR_NAMES, (20,), RANGE_REPS), ["tau", "task", "block"]))

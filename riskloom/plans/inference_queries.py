@@ -107,7 +107,7 @@ def block_bootstrap_means(spark, d):
 
 def score_band(spark, d) -> DataFrame:
     daily = daily_contrasts(spark, d)
-    return I.bands(I.block_means(daily, ["tau"], CONTRASTS, BLOCKS, REPS), I.estimates(daily, ["tau"], CONTRASTS), ["tau", "block"])
+    return I.bands(*I.bootstrap(daily, ["tau"], CONTRASTS, BLOCKS, REPS), ["tau", "block"])
 
 
 @query("simultaneous_band", sql(band_query(f"{TAU}, block, contrast", "tau, block"), "told", "crit", extra=SCORE_BANDS))
@@ -184,7 +184,7 @@ def paired_task_contrasts(spark, d):
     s = scores(spark, d)
     at = lambda m, b, r: F.avg(F.when((F.col("model") == m) & (F.col("book") == b) & (F.col("report") == r), F.col("score")))
     daily = s.groupBy("tau", "t").agg(*[(at(CONTRASTS[0], b, r) - at(LONGEST, b, r)).alias(f"{b}_{r}") for b, r in TASKS]).dropna()
-    return told(I.bands(I.block_means(daily, ["tau"], TASK_NAMES, BLOCKS, REPS), I.estimates(daily, ["tau"], TASK_NAMES), ["tau", "block"]))
+    return told(I.bands(*I.bootstrap(daily, ["tau"], TASK_NAMES, BLOCKS, REPS), ["tau", "block"]))
 
 
 TAILS = {"tails": ("SELECT t, " + ", ".join(f"max(CASE WHEN tau = 0.{x} THEN {CONTRASTS[0]} END) AS tail{x}" for x in (95, 99)) + " FROM daily GROUP BY t HAVING count(*) = 2", ("daily",))}
@@ -195,7 +195,7 @@ def paired_tail_contrasts(spark, d):
     """The same, averaged over tasks: a family of both tails on shared dates."""
     names = ["tail95", "tail99"]
     daily = daily_contrasts(spark, d).groupBy("t").agg(*[F.max(F.when(F.col("tau") == f"0.{n[-2:]}", F.col(CONTRASTS[0]))).alias(n) for n in names]).dropna()
-    return told(I.bands(I.block_means(daily, [], names, BLOCKS, REPS), I.estimates(daily, [], names), ["block"]))
+    return told(I.bands(*I.bootstrap(daily, [], names, BLOCKS, REPS), ["block"]))
 
 
 # Signed logarithmic ratios of ES over reference frames.
@@ -216,7 +216,7 @@ def reference_log_es_ratios(spark, d):
     at = lambda b, r, ref: F.max(F.when((F.col("book") == b) & (F.col("report") == r) & (F.col("reference") == ref), F.col("es")))
     daily = f.groupBy("tau", "t").agg(*[F.log(at(b, r, ref) / at(b, r, "base")).alias(f"{b}_{r}_{ref}") for b, r in TASKS for ref in REFERENCES[1:]]).dropna()
     split = lambda x: x.withColumn("task", F.regexp_extract("contrast", r"^(.*)_([^_]+)$", 1)).withColumn("contrast", F.regexp_extract("contrast", r"^(.*)_([^_]+)$", 2))
-    draws, est = split(I.block_means(daily, ["tau"], RATIOS, BLOCKS, REPS)), split(I.estimates(daily, ["tau"], RATIOS))
+    draws, est = (split(x) for x in I.bootstrap(daily, ["tau"], RATIOS, BLOCKS, REPS))
     keys = ["tau", "block", "task", "contrast"]
     own = I.bands(draws, est, ["tau", "block", "task"]).select(*keys, "estimate", F.exp("estimate").alias("geometric_ratio"), F.col("simultaneous_low").alias("task_low"), F.col("simultaneous_high").alias("task_high"))
     every = I.bands(draws, est, ["tau", "block"], ["task"]).select(*keys, F.col("simultaneous_low").alias("global_low"), F.col("simultaneous_high").alias("global_high"))
