@@ -8,6 +8,7 @@ expressions over such arrays took five times as long.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import tasks
 from riskloom.operators.books import REFERENCES
 from riskloom.operators.ordered import affine_scan
+from riskloom.operators.points import sobol_array
 from riskloom.operators.reshape import basis_long
 
 
@@ -66,12 +68,17 @@ SETS = "t long, {}book string, report string, x array<double>"
 
 
 def task_sets(a: np.ndarray, b: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
-    """(book, report, losses, ascending) of every task over paths whose increments in the numeraire's frame are a, then b; a row a path."""
+    """task_losses_of, ascending."""
+    return [(book, report, np.sort(x)) for book, report, x in task_losses_of(a, b)]
+
+
+def task_losses_of(a: np.ndarray, b: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
+    """(book, report, losses) of every task over paths whose increments in the numeraire's frame are a, then b; a row a path."""
     out, begin, end = [], np.exp(a), np.exp(a + b)
     for book, report, base, w, n in tasks():
         start, left = base + begin @ np.array(w), base + end @ np.array(w)
         rise, fall = (begin[:, n - 1], end[:, n - 1]) if n else (1.0, 1.0)
-        out.append((book, report, np.sort(start / rise - left / fall)))
+        out.append((book, report, start / rise - left / fall))
     return out
 
 
@@ -123,8 +130,13 @@ def uniform_draws(draws: int, places: range, seed: int) -> np.ndarray:
 
 
 def normal_draws(draws: int, seed: int) -> np.ndarray:
+    """(draws, 8) standard normal numbers from digests."""
+    return polar(uniform_draws(draws, range(8), seed))
+
+
+def polar(u: np.ndarray) -> np.ndarray:
     """(draws, 8) standard normal numbers, two at a time by polar angles of uniform ones."""
-    u = uniform_draws(draws, range(8), seed)
+    draws = len(u)
     r, angle = np.sqrt(-2 * np.log(u[:, ::2])), 2 * np.pi * u[:, 1::2]
     return np.stack([r * np.cos(angle), r * np.sin(angle)], axis=2).reshape(draws, 8)
 
@@ -142,17 +154,30 @@ def root_of(row: dict) -> np.ndarray:
 
 def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
     """(t, book, report, x): losses, ascending, of two-step Gaussian paths with the exponentially weighted covariance known at each origin after the first ``start``; both steps have it."""
+    return path_sets(covariance_states(returns, decay, start), lambda: normal_draws(draws, seed), [draws]).drop("draws")
+
+
+def sobol_sets(returns: DataFrame, origins: DataFrame, counts: Sequence[int], seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
+    """(t, draws, book, report, x): the same at the origins (t) from the first ``counts`` of one table of Sobol points."""
+    states = covariance_states(returns, decay, start).join(F.broadcast(origins.select("t")), "t", "left_semi")  # origins: a row a date
+    return path_sets(states, lambda: polar(sobol_array(8, max(counts), seed)), counts)
+
+
+def path_sets(states: DataFrame, normals: Callable[[], np.ndarray], counts: Sequence[int]) -> DataFrame:
+    """(t, draws, book, report, x) of two-step paths with each origin's covariance, from the first rows of one table of normal numbers; paths are priced once for all counts."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        z, days, sets = normal_draws(draws, seed), [], []
+        z, parts = normals(), []
         for row in group.to_pylist():
             root = root_of(row)
-            mine = task_sets(z[:, :4] @ root.T, z[:, 4:] @ root.T)
-            days += [row["t"]] * len(mine)
-            sets += mine
-        return set_table(days, sets)
-
-    return covariance_states(returns, decay, start).withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format(""))
+            priced = task_losses_of(z[:, :4] @ root.T, z[:, 4:] @ root.T)
+            for n in counts:
+                mine = [(book, report, np.sort(x[:n])) for book, report, x in priced]
+                parts.append(set_table([row["t"]] * len(mine), mine).append_column("draws", pa.array([n] * len(mine), pa.int64())))
+        made = pa.concat_tables(parts) if parts else set_table([], []).append_column("draws", pa.array([], pa.int64()))
+        return made.select(["t", "draws", "book", "report", "x"])
+
+    return states.withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format("draws long, "))
 
 
 def radial_sets(returns: DataFrame, window: int = 250, draws: int = 4096, seed: int = 2, decay: float = 0.94, start: int = 20) -> DataFrame:

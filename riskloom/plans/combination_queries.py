@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import task_losses
 from riskloom.operators import combine as C
 from riskloom.operators import evaluate as E
+from riskloom.operators import filters as G
+from riskloom.operators import reshape as R
 from riskloom.operators.audit import reconciled
-from riskloom.operators.books import REFERENCES
+from riskloom.operators.books import BOOKS, REFERENCES, REPORTS
 from riskloom.operators.panel import columns, history, increments
 from riskloom.operators.parameters import persistence, spread, upper_triangle
+from riskloom.operators.points import BITS, directions, shift
 from riskloom.operators.reshape import basis_long
 from riskloom.operators.risk import TAUS, historical_sets, realised, scored, var_es
 from riskloom.operators.selection import exact_quantiles
 from riskloom.plans.base import KEYS, forecasts, panel, returns, scores
-from riskloom.plans.risk_queries import BASE, FHS, FILTER, FKEYS, TAU, P, WINDOWS, filtered_sets, qs, told
-from riskloom.plans.sql import r6 as q6, score_step, sql
+from riskloom.plans.risk_queries import BASE, FHS, FILTER, FKEYS, STEP, TAU, WINDOWS, P, filtered_sets, gauss_sql, qs, told
+from riskloom.plans.sql import loss_sql, r6 as q6, risk_step, score_step, sql
 from riskloom.sources import io
 from riskloom.sources.yearly import Shards, fingerprints
 
@@ -228,3 +231,54 @@ def parameter_correlations(spark, d):
     whole.select("year", "reference", F.transform(mine, lambda k: F.array(*map(F.lit, REFERENCES))[k]).alias("nodes"), F.transform(mine, lambda i: F.transform(mine, lambda j: F.col("m")[i][j])).alias("matrix")).write.json(at)
     back = spark.read.schema("year long, reference string, nodes array<string>, matrix array<array<double>>").json(at)
     return told(upper_triangle(back, ["year", "reference"], "nodes", "matrix", "correlation"))
+
+
+# Gaussian scenarios from nested tables of Sobol points, at the middle origin of each month.
+COUNTS = (1024, 4096, 16384)
+
+
+def sobol_sql(d: int, points: int, seed: int) -> str:
+    """Coordinate d of point i of the same sequence."""
+    x = str(shift(seed, d))
+    for k, v in enumerate(directions(d)[: (points - 1).bit_length()]):
+        x = f"xor({x}, ((gray >> {k}) & 1) * CAST({v} AS BIGINT))"
+    return f"((CAST({x} AS DOUBLE) + 0.5) / {2**BITS}.0)"
+
+
+PAIRS = ", ".join(f"sqrt(-2 * ln(u{j})) * {f}(2 * pi() * u{j + 1}) AS z{j + k}" for j in (0, 2, 4, 6) for k, f in enumerate(("cos", "sin")))
+POINTS = gauss_sql(4096) | {
+    "middles": ("SELECT t FROM (SELECT t, row_number() OVER w AS rn, count(*) OVER (PARTITION BY year(d), month(d)) AS n FROM panel WINDOW w AS (PARTITION BY year(d), month(d) ORDER BY t)) WHERE rn = n // 2 + 1", ("panel",)),
+    "uniforms": ("SELECT i, " + ", ".join(f"{sobol_sql(d, COUNTS[-1], 1)} AS u{d}" for d in range(8)) + f" FROM (SELECT i, xor(i, i >> 1) AS gray FROM (SELECT unnest(range({COUNTS[-1]})) AS i))", ()),
+    "normals": (f"SELECT i, {PAIRS} FROM uniforms", ("uniforms",)),
+    "spaths": (f"SELECT t, i, {STEP} FROM roots JOIN middles USING (t) CROSS JOIN normals", ("roots", "middles", "normals")),
+    "ssets": (" UNION ALL ".join(f"SELECT t, {n} AS draws, '{book}' AS book, '{report}' AS report, list_sort(list({loss_sql(book, REPORTS[report])})) AS x FROM spaths WHERE i < {n} GROUP BY t" for n in COUNTS for book in BOOKS for report in REPORTS), ("spaths",)),
+    "srisk": (risk_step("ssets", "t, draws, book, report"), ("ssets", "taus")),
+}
+
+
+def sobol_risk(spark, d):
+    origins = R.monthly_middle(panel(spark, d).select("t", "d"))
+    return var_es(G.sobol_sets(returns(spark, d), origins, COUNTS), ["t", "draws", "book", "report"])
+
+
+@query("sobol_gauss", sql(f"SELECT t, draws, book, report, {TAU}, {qs('var', 'es')} FROM srisk", "srisk", extra=POINTS, recursive=True))
+def sobol_gauss(spark, d):
+    return told(sobol_risk(spark, d).drop("n").withColumn("draws", F.col("draws").cast("int")))
+
+
+CHANGE = " UNION ALL ".join(f"SELECT {lo} AS low, {hi} AS high, tau, book, report, abs(a - b) / abs(b) AS change, sa, sb FROM (SELECT tau, t, book, report, max(CASE WHEN draws = {lo} THEN es END) AS a, max(CASE WHEN draws = {hi} THEN es END) AS b, max(CASE WHEN draws = {lo} THEN es - base END) AS sa, max(CASE WHEN draws = {hi} THEN es - base END) AS sb FROM against GROUP BY ALL)" for lo, hi in zip(COUNTS, COUNTS[1:], strict=False))
+
+
+@query("sobol_precision", sql(f"SELECT low, high, {TAU}, book, report, count(*) AS n, {q6('max(change)')} AS max_change, {q6('median(change)')} AS median_change, {q6('max(abs(sb - sa))')} AS max_contrast_change, count(*) FILTER (WHERE sa * sb < 0) AS sign_changes, count(*) FILTER (WHERE abs(sb - sa) > abs(sb)) AS exceeds FROM ({CHANGE}) AS c GROUP BY low, high, c.tau, book, report", "against", extra=POINTS | {
+    "against": ("SELECT s.*, b.es AS base FROM srisk s JOIN srisk b ON s.t = b.t AND s.draws = b.draws AND s.book = b.book AND s.tau = b.tau AND b.report = 'base'", ("srisk",))}, recursive=True))
+def sobol_precision(spark, d):
+    """From each number of points to the next: relative change of ES, and of its contrast to the numeraire's report."""
+    rows = io.stored(sobol_risk(spark, d), "sobol-risk")
+    at = lambda n, report=None: F.max(F.when((F.col("draws") == n) & (F.col("report") == report if report else F.lit(True)), F.col("es")))
+    base = rows.where("report = 'base'").groupBy("tau", "t", "book").agg(*[at(n).alias(f"b{n}") for n in COUNTS])
+    wide = rows.groupBy("tau", "t", "book", "report").agg(*[at(n).alias(f"e{n}") for n in COUNTS]).join(base, ["tau", "t", "book"])
+    steps = [F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), (F.abs(F.col(f"e{lo}") - F.col(f"e{hi}")) / F.abs(f"e{hi}")).alias("change"), (F.col(f"e{lo}") - F.col(f"b{lo}")).alias("sa"), (F.col(f"e{hi}") - F.col(f"b{hi}")).alias("sb")) for lo, hi in zip(COUNTS, COUNTS[1:], strict=False)]
+    c = wide.select("tau", "book", "report", F.explode(F.array(*steps)).alias("c")).select("tau", "book", "report", "c.*")
+    count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    moved = F.abs(F.col("sb") - F.col("sa"))
+    return told(c.groupBy("low", "high", "tau", "book", "report").agg(F.count("*").alias("n"), F.max("change").alias("max_change"), F.percentile("change", 0.5).alias("median_change"), F.max(moved).alias("max_contrast_change"), count(F.col("sa") * F.col("sb") < 0).alias("sign_changes"), count(moved > F.abs("sb")).alias("exceeds")))
