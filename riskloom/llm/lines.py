@@ -30,9 +30,14 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -
 
 
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
-    """(line, keeper) of the lines that at least min_sites sites carry; keeper is the smallest doc_id that has the line."""
-    sketched = cut_lineage(lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("doc_id").alias("keeper")).where(f"sites >= {int(min_sites * (1 - error(lg_k))) - 1}"))
-    near = F.abs(F.col("sites") - min_sites) <= 1 + min_sites * error(lg_k)
+    """(line, keeper) of the lines that at least min_sites sites carry; keeper is the smallest doc_id that has the line.
+
+    Only lines whose estimate lies near the threshold or above it are written down.
+    """
+    margin = 1 + min_sites * error(lg_k)
+    sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("doc_id").alias("keeper"))
+    sketched = cut_lineage(sketched.where(F.col("sites") >= min_sites - margin))
+    near = F.abs(F.col("sites") - min_sites) <= margin
     unsure = sketched.where(near).select("line")
     sites = lines.select("line", "site").distinct()  # a hot line shrinks to its sites before it meets others
     exact = sites.join(unsure, "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
@@ -55,7 +60,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as they are; an empty table returns none. Lines are told apart by a 64-bit hash.
 
     The lines found are broadcast while they are at most broadcast_rows (16
-    bytes each) and joined by a shuffle beyond, which adaptive execution splits where a line is hot.
+    bytes each) and joined by a shuffle beyond, which adaptive execution splits where a line is hot. So are
+    the documents' own lists of what they lose, by the same bound on their lines and
+    documents; beyond it texts are shuffled to meet them.
     """
     lines = cut_lineage(document_lines(docs, id_col, text_col, site_col))
     spread = cut_lineage(spread_lines(lines, min_sites, lg_k))
@@ -63,7 +70,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = lines.join(F.broadcast(spread) if small else spread, "line").where("doc_id <> keeper")
     key, gone = fresh(docs, "gone_id", "gone_lines")
     gone_lines = cut_lineage(found.groupBy("doc_id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("doc_id", key))
-    joined = docs.join(gone_lines, docs[f"`{id_col}`"] == gone_lines[key], "left")
+    size = gone_lines.agg(F.coalesce(F.sum(1 + F.size(gone)), F.lit(0)).alias("n")).first().n
+    joined = docs.join(F.broadcast(gone_lines) if size <= broadcast_rows else gone_lines, docs[f"`{id_col}`"] == gone_lines[key], "left")
     kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(gone), line_hash(x)), F.lit(False)))
     text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from riskloom.llm import chat
-from riskloom.llm.lines import drop_boilerplate
+from riskloom.llm.lines import document_lines, drop_boilerplate, spread_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import first_fit_decreasing, pack
 from riskloom.llm.quality import ANY_LENGTH, COUNTS, MADE_OF, NEEDS, RULES, Cascade, Facts, closure, quality_filter, quality_verdicts
@@ -349,6 +349,26 @@ def test_secrets_of_very_long_texts():
     assert scan(base64.b64encode(quine * 4).decode())[1] == []
 
 
+def test_line_dedup_writes_few_lines_and_moves_no_text(spark):
+    """Lines far below the threshold leave with the first aggregation, and documents meet what they lose without a shuffle of texts."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    lines = document_lines(docs, "doc_id", "text", "source")
+    sites = {r.line: r.n for r in lines.groupBy("line").agg(F.count_distinct("site").alias("n")).collect()}
+    held = []
+
+    def kept(df):
+        held.append(df)
+        return df
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("riskloom.llm.lines.cut_lineage", kept)
+        found = {r.line for r in spread_lines(lines, 3, 12).collect()}
+    assert found == {k for k, n in sites.items() if n >= 3}
+    assert held[0].count() <= sum(n >= 2 for n in sites.values()) < len(sites) / 5
+    plan = drop_boilerplate(docs, min_sites=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 def test_line_dedup_edges(spark, odd, empty):
     rows = [(k, f"own {k}\nshared line\n\ntwo", f"s{k % 4}") for k in range(8)] + [(8, None, None), (None, "shared line", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
