@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.books import REFERENCES, basis
+from riskloom.operators.joins import refused
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,6 +22,13 @@ def require_empty(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {rows}")
 
 
+def matrix(df: DataFrame, keys: Sequence[str], column: str, names: Sequence[str], value: str) -> DataFrame:
+    """(keys, a column a name): mean values side by side, in the order given; the job fails at the first gap."""
+    wide = df.groupBy(*keys).pivot(column, list(names)).agg(F.avg(value))
+    gap = F.greatest(*[F.col(f"`{n}`").isNull() for n in names]) if len(names) > 1 else F.col(f"`{names[0]}`").isNull()
+    return refused(wide, gap, f"{column} by {', '.join(keys)} has a gap")
+
+
 def basis_long(returns: DataFrame) -> DataFrame:
     """(t, reference, node, r): log increments of every node in every reference frame."""
     each = []

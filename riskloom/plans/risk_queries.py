@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import array_mean, expected_shortfall, inverse_cdf, r6
 from riskloom.operators import evaluate as E
 from riskloom.operators import filters as G
+from riskloom.operators.reshape import matrix
 from riskloom.operators.risk import TAUS, historical_sets, pooled, priced, realised, var_es, weighted_var_es, window_of
 from riskloom.plans.base import KEYS, dated, forecasts, panel, returns, scores
 from riskloom.plans.sql import BASE, K, WINDOWS, loss_sql, r6 as q6, risk_step, sql
@@ -110,8 +111,9 @@ def model_rank(spark, d):
 
 @query("daily_score_matrix", sql("SELECT t, " + TAU + ", " + ", ".join(q6(f"avg(CASE WHEN model = 'HS{w}' THEN score END)") + f" AS hs{w}" for w in WINDOWS) + f" FROM scores GROUP BY t, scores.tau HAVING count(DISTINCT model) = {len(WINDOWS)}", "scores"))
 def daily_score_matrix(spark, d):
-    wide = scores(spark, d).groupBy("t", "tau").pivot("model", [f"HS{w}" for w in WINDOWS]).agg(F.avg("score")).dropna()
-    return told(wide.select("t", "tau", *[F.col(f"HS{w}").alias(f"hs{w}") for w in WINDOWS]))
+    """From the first origin on that all windows reach."""
+    rows = scores(spark, d).where(F.col("t") > max(WINDOWS))
+    return told(matrix(rows, ["t", "tau"], "model", [f"HS{w}" for w in WINDOWS], "score").select("t", "tau", *[F.col(f"HS{w}").alias(f"hs{w}") for w in WINDOWS]))
 
 
 @query("regex_models", sql(f"SELECT {TAU}, model || '@' || report AS model_key, count(*) AS n FROM scores WHERE regexp_full_match(model, '(IN_)?HS\\d+') AND NOT starts_with(model, 'IN_TCOP') AND book IN ('funded_assets', 'net_cashflows') GROUP BY 1, 2", "scores"))

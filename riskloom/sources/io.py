@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,17 +60,21 @@ def merge_shards(spark: SparkSession, paths: Sequence[str], keys: Sequence[str],
     return df
 
 
-def gunzipped(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
-    """(path, text) of every gzip file that the path pattern names, its content checked: digests (path, sha256) must have the digest of each file as it is stored, or the job fails."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("found"))
-    told = files.join(digests, "path", "left")
-    same = F.when(F.col("found").eqNullSafe(F.col("sha256")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "path")).cast("boolean"))
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of every file that the path pattern names, as it is stored."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gzip.decompress(x.as_py()).decode() for x in b.column(1)], pa.string())], names=["path", "text"])
 
-    return told.where(same).select("path", "content").mapInArrow(run, "path string, text string")
+def gunzipped(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """(path, value): the lines of every gzip file that the path pattern names, read as a stream each, after all files have been held against digests (path, sha256).
+
+    A file without its digest, one that differs, and a digest without its file are errors, before any line is read.
+    """
+    found = file_digests(spark, path).withColumnRenamed("sha256", "found")
+    told = found.join(digests, "path", "full")
+    if wrong := told.where(~F.col("found").eqNullSafe(F.col("sha256"))).take(3):
+        raise ValueError(f"digest differs: {', '.join(r.path for r in wrong)}")
+    return spark.read.text([r.path for r in found.select("path").collect()]).select(F.col("_metadata.file_path").alias("path"), "value")  # a name a file
 
 
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:

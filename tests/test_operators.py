@@ -12,7 +12,7 @@ from riskloom.operators.evaluate import hac_variance
 from riskloom.operators.filters import Garch, filtered, normal_draws, task_sets
 from riskloom.operators.joins import components_of, latest_completed, one_to_one
 from riskloom.operators.panel import columns
-from riskloom.operators.reshape import duplicate_keys, require_empty
+from riskloom.operators.reshape import duplicate_keys, matrix, require_empty
 from riskloom.operators.risk import sets, var_es, weighted_var_es
 from riskloom.sources import io
 
@@ -115,6 +115,13 @@ def test_variance_path_is_causal(spark):
     assert path(changed)[:301] == h[:301]
 
 
+def test_matrix_refuses_gaps(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0), (2, "b", 4.0)], "t int, m string, v double")
+    assert sorted(map(tuple, matrix(df, ["t"], "m", ["b", "a"], "v").collect())) == [(1, 2.0, 1.0), (2, 4.0, 3.0)]
+    with pytest.raises(Exception, match="gap"):
+        matrix(df.where("not (t = 2 and m = 'b')"), ["t"], "m", ["b", "a"], "v").collect()
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1 + 0.2), (2, 1e-17)], "k long, v double")
     io.write_csv(df, f"{tmp_path}/a")
@@ -125,10 +132,20 @@ def test_sources(spark, tmp_path):
     df.withColumn("k", F.col("k") + 2).write.parquet(f"{tmp_path}/p2")
     assert sorted(r.k for r in io.merge_shards(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], ["k"], 4).collect()) == [1, 2, 3, 4]
     io.write_csv(df, f"{tmp_path}/z", compressed=True)
-    digests = spark.read.format("binaryFile").load(f"{tmp_path}/z/*.gz").select("path", F.sha2("content", 256).alias("sha256"))
-    assert sum(r.text.count("\n") for r in io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests).collect()) >= 3
-    with pytest.raises(Exception, match="digest differs"):
-        io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests.withColumn("sha256", F.lit("0"))).collect()
+    digests = spark.createDataFrame(io.file_digests(spark, f"{tmp_path}/z/*.gz").collect())
+    lines = io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests).where("value <> 'k,v'").collect()
+    assert sorted(r.value.split(",")[0] for r in lines) == ["1", "2"]
+    with pytest.raises(ValueError, match="digest differs"):
+        io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests.limit(0))
+    with pytest.raises(ValueError, match="digest differs"):
+        io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests.union(spark.createDataFrame([("gone.gz", "0")], digests.schema)))
+    file = next((tmp_path / "z").glob("*.gz"))
+    held = bytearray(file.read_bytes())
+    held[4] ^= 1  # the time stamp: the content would still inflate
+    file.write_bytes(held)
+    (tmp_path / "z" / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match=file.name):
+        io.gunzipped(spark, f"{tmp_path}/z/*.gz", digests)
     with pytest.raises(ValueError):
         io.merge_shards(spark, [f"{tmp_path}/p1", f"{tmp_path}/p1"], ["k"])
     (tmp_path / "par.json").write_text('{"cutoff": "2000-12-29", "fits": [{"reference": "base", "nodes": ["s1", "s2"], "garch": [{"mu": 0.1}, {"mu": 0.2}]}]}')
