@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import random
 import re
 import time
@@ -24,7 +25,7 @@ from riskloom.llm.packing import first_fit_decreasing, pack
 from riskloom.llm.quality import ANY_LENGTH, COUNTS, MADE_OF, NEEDS, RULES, Cascade, Facts, closure, quality_filter, quality_verdicts
 from riskloom.llm.secrets import find_secrets, scan, written
 from riskloom.llm.tokens import PLAIN, Encoder, spliced_count, token_counts
-from riskloom.llm.toxicity import Fold, Lexicon, fold, held_out, hits, learn_lexicon, toxicity_scores
+from riskloom.llm.toxicity import Fold, Lexicon, fold, held_out, hits, learn_lexicon, logistic, toxicity_scores
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, `words` int"
@@ -55,6 +56,7 @@ def documents(spark, small):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_encoder_is_the_library(path):
     rng, ids, counts = random.Random(1), Encoder(path, list), Encoder(path)
+    assert ids.pattern is not None  # the way by words is on
     plain = [chr(c) for c in range(0x3000) if PLAIN.fullmatch(chr(c))]
     common = list("abcdefgABC  \n\t.,!'’-_019éßñœΣσςŸ")
     rare = [chr(c) for c in (0x1C, 0x85, 0xA0, 0xB2, 0xBD, 0x2000, 0x200B, 0x301, 0x3000, 0x4E00, 0x660, 0x1F600, 0x130, 0x3A3)] + ["<|endoftext|>", "'ll", "'S"]
@@ -437,6 +439,57 @@ def test_matcher_is_brute_force():
     assert time.process_time() - began < 12
 
 
+def plain_measures(words, weights, exceptions):
+    """Matched weight and that per 100 words, word by word."""
+    pairs = {tuple(x.split(" ")) for x in exceptions}
+    total = 0.0
+    for k, w in enumerate(words):
+        best = max((v for t, v in weights.items() if (t == f"{w} " if t.endswith(" ") else w.startswith(t))), default=0.0)
+        total += 0.0 if tuple(words[k : k + 2]) in pairs or (k and tuple(words[k - 1 : k + 1]) in pairs) else best
+    return math.log1p(total), math.log1p(100 * total / (len(words) + 50))
+
+
+def test_toxicity_query_is_the_plain_count(spark):
+    """Weights, exceptions, curve and scores of the whole query by naive counting over a very long, a repeated and an empty text too."""
+    folder, table = "/root/testdata/sf0.01", Fold()
+    held = [(d, t) for d, t in duckdb.sql(f"select doc_id, text from '{folder}/documents.parquet'").fetchall()]
+    long = " ".join(t for _, t in held[:120])
+    docs = [*held, (10**9, long), (10**9, long), (10**9 + 1, ""), (10**9 + 2, None), (None, held[3][1])]
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{folder}/labels.parquet'").fetchall())
+    words = [(d, fold(t or "", table)) for d, t in docs]
+    sample = [(labels[d], w) for d, w in words if d in labels and zlib.crc32(str(d).encode()) % 5]
+    n_bad, n_good = sum(y for y, _ in sample), sum(1 - y for y, _ in sample)
+
+    def counts(of):
+        bad, good = Counter(), Counter()
+        for y, w in sample:
+            (bad if y else good).update(of(w))
+        return bad, good
+
+    bad, good = counts(lambda w: {f"{x} " for x in w if len(x) > 2} | {x[:k] for x in w for k in range(4, 10) if k < len(x)})
+    found = {}
+    for t, b in bad.items():
+        odds = math.log((b + 0.5) / (n_bad + 1)) - math.log((good[t] + 0.5) / (n_good + 1))
+        if b >= 4 and odds - 2 * math.sqrt(1 / (b + 0.5) + 1 / (good[t] + 0.5)) > 1.5:
+            found[t] = odds
+    weights = {t: v for t, v in found.items() if not any(x != t and x.startswith(t) and 10 * bad[x] >= 9 * bad[t] for x in found)}
+    entry = lambda x: any(t == f"{x} " if t.endswith(" ") else x.startswith(t) for t in weights)
+    bad, good = counts(lambda w: {f"{a} {b}" for a, b in zip(w, w[1:]) if entry(a) or entry(b)})
+    exceptions = [t for t, n in good.items() if n >= 4 and n >= 4 * bad[t]]
+    x = np.array([plain_measures(w, weights, exceptions) for _, w in sample])
+    curve = logistic(x, np.array([y for y, _ in sample]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    learned = learn_lexicon(frame, spark.read.parquet(f"{folder}/labels.parquet"), train_rows=20_000)
+    assert learned.weights == pytest.approx(weights) and weights and set(learned.exceptions) == set(exceptions)
+    got = sorted(((r.doc_id, r.score, r.predicted) for r in toxicity_scores(frame, learned).collect()), key=repr)
+    want = []
+    for d, w in words:
+        a, b = plain_measures(w, weights, exceptions)
+        want.append((d, 1 / (1 + math.exp(-(curve[0] + curve[1] * a + curve[2] * b)))))
+    for (d, score, predicted), (e, plain) in zip(got, sorted(want, key=repr), strict=True):
+        assert d == e and score == pytest.approx(plain, abs=1e-6) and predicted == (score >= 0.5)
+
+
 def test_toxicity(spark, small, odd, empty):
     table = Fold()
     assert fold("ІDIОT 1d10t $tupid i.d @b", table) == fold("idiot idiot stupid i d ab", table)
