@@ -180,26 +180,31 @@ def path_sets(states: DataFrame, normals: Callable[[], np.ndarray], counts: Sequ
     return states.withColumn("span", F.floor(F.col("t") / SPAN)).groupBy("span").applyInArrow(run, SETS.format("draws long, "))
 
 
-def radial_sets(returns: DataFrame, window: int = 250, draws: int = 4096, seed: int = 2, decay: float = 0.94, start: int = 20) -> DataFrame:
+def radial_sets(returns: DataFrame, window: int = 250, draws: int = 4096, seed: int = 2, decay: float = 0.94, start: int = 20, origins: DataFrame | None = None, sobol: bool = False) -> DataFrame:
     """(t, book, report, x): losses, ascending, of two-step elliptical paths: directions even on the sphere, radii drawn from the window's own.
 
     A row's radius is the length of its increments in units of the covariance
     that they lead to; the window's radii are scaled to a mean square of 4, that
-    of a Gaussian law in four dimensions.
+    of a Gaussian law in four dimensions. origins: the dates (t) to make, all if not given.
+    sobol: draws are points of ten coordinates, eight for directions and two for radii.
     """
     last = returns.select((F.col("t") + 1).alias("t"), "r1", "r2", "r3", "r4")
     rows = covariance_states(returns, decay, start).join(last, "t")
+    asked = F.lit(True) if origins is None else F.col("asked").isNotNull()
+    rows = rows if origins is None else rows.join(F.broadcast(origins.select("t", F.lit(1).alias("asked"))), "t", "left")  # origins: a row a date
+    rows = rows.withColumn("asked", asked)
     spans = F.sequence(F.floor(F.col("t") / SPAN), F.floor((F.col("t") + window - 1) / SPAN))
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        z, u = normal_draws(draws, seed), uniform_draws(draws, range(8, 10), seed)
+        every = sobol_array(10, draws, seed) if sobol else uniform_draws(draws, range(10), seed)
+        z, u = polar(every[:, :8]), every[:, 8:]
         way = [x / np.sqrt((x * x).sum(axis=1))[:, None] for x in (z[:, :4], z[:, 4:])]
         at, days, sets = (u * window).astype(int), [], []
         held = group.sort_by("t").to_pylist()
         roots = [root_of(r) for r in held]
         radius = np.array([np.sqrt((np.linalg.solve(root, [r[f"r{k}"] for k in range(1, 5)]) ** 2).sum()) for r, root in zip(held, roots, strict=True)])
         for i in range(window - 1, len(held)):
-            if held[i]["t"] // SPAN != key[0].as_py():
+            if held[i]["t"] // SPAN != key[0].as_py() or not held[i]["asked"]:
                 continue
             own = radius[i - window + 1 : i + 1]
             own = own / np.sqrt((own * own).mean() / 4)

@@ -18,7 +18,7 @@ from riskloom.operators.reshape import basis_long
 from riskloom.operators.risk import TAUS, historical_sets, realised, scored, var_es
 from riskloom.operators.selection import exact_quantiles
 from riskloom.plans.base import KEYS, forecasts, panel, returns, scores
-from riskloom.plans.risk_queries import BASE, FHS, FILTER, FKEYS, STEP, TAU, WINDOWS, P, filtered_sets, gauss_sql, qs, told
+from riskloom.plans.risk_queries import BASE, DRAWS, FHS, FILTER, FKEYS, RADIAL, STEP, TAU, WINDOWS, P, filtered_sets, gauss_sql, qs, told
 from riskloom.plans.sql import loss_sql, r6 as q6, risk_step, score_step, sql
 from riskloom.sources import io
 from riskloom.sources.yearly import Shards, fingerprints
@@ -282,3 +282,19 @@ def sobol_precision(spark, d):
     count = lambda x: F.sum(F.when(x, 1).otherwise(0))
     moved = F.abs(F.col("sb") - F.col("sa"))
     return told(c.groupBy("low", "high", "tau", "book", "report").agg(F.count("*").alias("n"), F.max("change").alias("max_change"), F.percentile("change", 0.5).alias("median_change"), F.max(moved).alias("max_contrast_change"), count(F.col("sa") * F.col("sb") < 0).alias("sign_changes"), count(moved > F.abs("sb")).alias("exceeds")))
+
+
+# Elliptical scenarios from Sobol points of ten coordinates, at the same origins.
+RADIUS = [f"sqrt({' + '.join(f'z{m} * z{m}' for m in range(o, o + 4))})" for o in (0, 4)]
+EVEN = RADIAL | {
+    "middles": POINTS["middles"],
+    "uniforms": ("SELECT i, " + ", ".join(f"{sobol_sql(d, DRAWS, 2)} AS u{d}" for d in range(10)) + f" FROM (SELECT i, xor(i, i >> 1) AS gray FROM (SELECT unnest(range({DRAWS})) AS i))", ()),
+    "rdraws": (f"SELECT *, {RADIUS[0]} AS length1, {RADIUS[1]} AS length2 FROM (SELECT {PAIRS}, CAST(floor(u8 * {BASE}) AS BIGINT) AS i1, CAST(floor(u9 * {BASE}) AS BIGINT) AS i2 FROM uniforms)", ("uniforms",)),
+    "glists": (RADIAL["glists"][0].replace("FROM rorigins o CROSS JOIN", "FROM (SELECT * FROM rorigins JOIN middles USING (t)) o CROSS JOIN"), (*RADIAL["glists"][1], "middles")),
+}
+
+
+@query("sobol_radial", sql(f"SELECT t, book, report, n, {TAU}, {qs('var', 'es')} FROM grisk", "grisk", extra=EVEN, recursive=True))
+def sobol_radial(spark, d):
+    origins = R.monthly_middle(panel(spark, d).select("t", "d"))
+    return told(var_es(G.radial_sets(returns(spark, d), BASE, DRAWS, origins=origins, sobol=True), KEYS))
