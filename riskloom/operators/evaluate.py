@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import inverse_cdf, tail_place
+from riskloom.functions.columns import fresh, inverse_cdf, tail_place
 
 
 def summary(scores: DataFrame, *keys: str) -> DataFrame:
@@ -88,19 +88,21 @@ def factorial(df: DataFrame, cell: Sequence[str], factors: Sequence[str], value:
     A cell holds a full grid of factor levels. An effect is the margin's mean less
     all effects of smaller margins, by inclusion and exclusion over window means.
     """
-    x = df.select(*cell, *factors, *[c for c in scope if c not in cell], value.alias("_x"))
     margins = [m for n in range(len(factors) + 1) for m in combinations(factors, n)]
+    (at,) = fresh(df, "value")
+    named = dict(zip(margins, fresh(df, *(f"mean{k}" for k in range(len(margins)))), strict=True))
+    x = df.select(*cell, *factors, *[c for c in scope if c not in cell], value.alias(at))
     for m in margins:
-        x = x.withColumn("_" + "_".join(("m", *m)), F.avg("_x").over(Window.partitionBy(*cell, *m)))
-    mean = lambda m: F.col("_" + "_".join(("m", *m)))
+        x = x.withColumn(named[m], F.avg(at).over(Window.partitionBy(*cell, *m)))
+    mean = lambda m: F.col(named[m])
     effects = {}
     for m in margins[1:]:
         terms = [((-1) ** (len(m) - n), s) for n in range(len(m) + 1) for s in combinations(m, n)]
         effects[" x ".join(m)] = sum((F.lit(float(sign)) * mean(s) for sign, s in terms[1:]), F.lit(float(terms[0][0])) * mean(terms[0][1]))
-    total = F.sum(F.pow(F.col("_x") - mean(()), 2))
-    g = x.groupBy(*scope).agg(total.alias("total"), *[F.sum(e * e).alias(f"_ss{k}") for k, e in enumerate(effects.values())])
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"_ss{k}").alias("ss")) for k, n in enumerate(effects)]))
-    return g.select(*scope, "total", rows.alias("e")).select(*scope, "e.factor", "e.ss", "total", F.when(F.col("total") > 0, F.col("e.ss") / F.col("total")).alias("share"))
+    total = F.sum(F.pow(F.col(at) - mean(()), 2))
+    each = F.array(*[F.struct(F.lit(n).alias("factor"), F.sum(e * e).alias("ss")) for n, e in effects.items()])
+    g = x.groupBy(*scope).agg(total.alias("total"), each.alias("effects"))
+    return g.select(*scope, "total", F.explode("effects").alias("e")).select(*scope, "e.factor", "e.ss", "total", F.when(F.col("total") > 0, F.col("e.ss") / F.col("total")).alias("share"))
 
 
 def known_lag(scores: DataFrame, value: str, lag: int, *within: str) -> DataFrame:

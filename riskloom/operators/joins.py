@@ -93,9 +93,11 @@ def components_of(forecasts: DataFrame, selectors: DataFrame, on: Sequence[str],
     target dates differ, or where its outcomes differ by more than the tolerance.
     """
     chosen = forecasts.join(F.broadcast(selectors), list(on), "left_semi")  # selectors: a row a component
-    wanted = selectors.select("model").distinct().agg(F.count("*").alias("wanted_"))
-    g = chosen.groupBy(*task).agg(F.count("*").alias("n_"), F.count_distinct("model").alias("models_"), (F.max("actual") - F.min("actual")).alias("apart_"), F.first("actual").alias("actual"), F.sort_array(F.collect_list(F.struct("model", "var", "es"))).alias("x")).crossJoin(F.broadcast(wanted))
-    g = refused(g, F.col("models_") != F.col("wanted_"), "a task lacks a selected component")
-    g = refused(g, F.col("n_") != F.col("models_"), "a task has a component twice")
-    g = refused(g, F.col("apart_") > tolerance, "components disagree about an outcome")
-    return g.select(*task, "actual", F.transform("x", lambda c: c["model"]).alias("models"), F.transform("x", lambda c: c["var"]).alias("var"), F.transform("x", lambda c: c["es"]).alias("es"))
+    wanted = selectors.select("model").distinct().agg(F.count("*").alias("wanted"))
+    facts = F.struct(F.count("*").alias("rows"), F.count_distinct("model").alias("models"), (F.max("actual") - F.min("actual")).alias("apart"), F.first("actual").alias("actual"), F.sort_array(F.collect_list(F.struct("model", "var", "es"))).alias("x"))
+    g = chosen.groupBy(F.struct(*task).alias("task")).agg(facts.alias("facts")).crossJoin(F.broadcast(wanted))  # wanted: one row
+    f = lambda c: F.col(f"facts.{c}")
+    g = refused(g, f("models") != F.col("wanted"), "a task lacks a selected component")
+    g = refused(g, f("rows") != f("models"), "a task has a component twice")
+    g = refused(g, f("apart") > tolerance, "components disagree about an outcome")
+    return g.select("task.*", f("actual").alias("actual"), f("x.model").alias("models"), f("x.var").alias("var"), f("x.es").alias("es"))

@@ -18,7 +18,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = root or tempfile.mkdtemp(prefix="riskloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+#: Folders that scratch has named in this process.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what this process has written to scratch folders, and says how many there were. For when no table that reads them is needed any more."""
+    gone = 0
+    while MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, and readers and writers."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import fz0, task_losses
 from riskloom.operators import inference as I
-from riskloom.operators.evaluate import hac_variance
+from riskloom.operators.evaluate import factorial, hac_variance
 from riskloom.operators.filters import Garch, filtered, normal_draws, task_sets
 from riskloom.operators.joins import components_of, latest_completed, one_to_one
 from riskloom.operators.panel import columns
@@ -115,6 +116,25 @@ def test_variance_path_is_causal(spark):
     assert path(changed)[:301] == h[:301]
 
 
+def test_factorial_with_clashing_names(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 2, 2))
+    rows = [(t, a, b, float(x[t, a, b])) for t in range(3) for a in range(2) for b in range(2)]
+    df = spark.createDataFrame(rows, "value int, mean0 int, total int, v double").withColumnRenamed("total", "ss")
+    got = {r.factor: r for r in factorial(df, ["value"], ["mean0", "ss"], F.col("v")).collect()}
+    g = x.mean(axis=(1, 2), keepdims=True)
+    first, second = x.mean(axis=2, keepdims=True) - g, x.mean(axis=1, keepdims=True) - g
+    assert got["mean0"]["ss"] == pytest.approx(2 * (first**2).sum()) and got["ss"]["ss"] == pytest.approx(2 * (second**2).sum())
+    assert sum(r.share for r in got.values()) == pytest.approx(1) and got["ss"].total == pytest.approx(((x - g) ** 2).sum())
+
+
+def test_discard(spark):
+    kept = io.stored(spark.range(3), "three")
+    assert kept.count() == 3
+    paths = list(io.MADE)
+    assert io.discard(spark) >= 1 and not io.MADE and not any(Path(p).exists() for p in paths)
+
+
 def test_matrix_refuses_gaps(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0), (2, "b", 4.0)], "t int, m string, v double")
     assert sorted(map(tuple, matrix(df, ["t"], "m", ["b", "a"], "v").collect())) == [(1, 2.0, 1.0), (2, 4.0, 3.0)]
