@@ -126,10 +126,11 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, space = Letters(), Space(dim, n, seed)
         waiting: dict[str, list] = {}
+        size: dict[str, int] = {}
         sums: dict[str, np.ndarray] = {}
 
         def told(lang: str) -> None:
-            found = waiting.pop(lang)
+            found, size[lang] = waiting.pop(lang), 0
             keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([c for _, c in found])).astype(np.int64)
             sums[lang] = sums.get(lang, 0) + space.bundle(keys, counts)
@@ -139,6 +140,7 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 told(lang)
             made = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype(np.int64) for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "entries"])
             sums.clear()
+            size.clear()
             return made
 
         for batch in batches:
@@ -146,8 +148,9 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 lang = lang.as_py()
                 for pair in grams(text.as_py(), letters, n):
                     waiting.setdefault(lang, []).append(pair)
-                if sum(len(k) for k, _ in waiting.get(lang, ())) > 1 << 18:
-                    told(lang)
+                    size[lang] = size.get(lang, 0) + len(pair[0])
+                    if size[lang] > 1 << 18:
+                        told(lang)
                 if len(waiting) + len(sums) > 256:
                     yield out()
         yield out()
