@@ -9,19 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import fresh, inverse_cdf, tail_place
+from riskloom.operators.selection import with_quantiles
+from riskloom.sources.io import stored
 
 
 def summary(scores: DataFrame, *keys: str) -> DataFrame:
-    """Dates, tasks, mean score, breach rate, mean VaR and ES, and median ES of each group."""
-    return scores.groupBy(*keys).agg(
+    """Dates, tasks, mean score, breach rate, mean VaR and ES, and median ES of each group. Scores are made once and read from the shared folder; no task holds a group's values."""
+    rows = stored(scores.select(*dict.fromkeys([*keys, "t", "score", "hit", "var", "es"])), "scores")
+    told = rows.groupBy(*keys).agg(
         F.count_distinct("t").alias("n_dates"),
         F.count("*").alias("n_tasks"),
         F.avg("score").alias("mean_score"),
         F.avg("hit").alias("breach_rate"),
         F.avg("var").alias("mean_var"),
         F.avg("es").alias("mean_es"),
-        F.percentile("es", 0.5).alias("median_es"),
     )
+    return with_quantiles(told, rows, keys, {"median_es": ("es", 0.5)})
 
 
 def competition_rank(df: DataFrame, value: str, *within: str) -> DataFrame:

@@ -154,7 +154,12 @@ def root_of(row: dict) -> np.ndarray:
 
 def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
     """(t, book, report, x): losses, ascending, of two-step Gaussian paths with the exponentially weighted covariance known at each origin after the first ``start``; both steps have it."""
-    return path_sets(covariance_states(returns, decay, start), lambda: normal_draws(draws, seed), [draws]).drop("draws")
+    return gaussian_prefixes(returns, [draws], seed, decay, start).drop("draws")
+
+
+def gaussian_prefixes(returns: DataFrame, counts: Sequence[int], seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
+    """(t, draws, book, report, x): gaussian_sets for each number of draws in ``counts``; the smaller are the first draws of the largest, priced once."""
+    return path_sets(covariance_states(returns, decay, start), lambda: normal_draws(max(counts), seed), counts)
 
 
 def sobol_sets(returns: DataFrame, origins: DataFrame, counts: Sequence[int], seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:

@@ -8,12 +8,12 @@ sorted. Equal values are counted, not kept. No task holds a group, and counts al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import place_among
+from riskloom.functions.columns import fresh, place_among
 
 
 def ranked_values(rows: DataFrame, wanted: DataFrame, rounds: int, cuts: int) -> DataFrame:
@@ -52,3 +52,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequ
     between = F.col("v_low") + (F.col("at") - F.col("low")) * (F.col("v_high") - F.col("v_low"))
     quantile = F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(between)
     return j.select(*[F.col("key")[k].alias(k) for k in keys], "level", "n", quantile.alias("quantile"))
+
+
+def with_quantiles(grouped: DataFrame, rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], rounds: int = 1, cuts: int = 256) -> DataFrame:
+    """grouped, a row a group of keys, with a column for each name of ``wanted``: name -> (value, level), that exact quantile of the group's rows.
+
+    Null where a group has no value; null keys are a group. rows are read several times: store them first if they are costly.
+    """
+    (at,) = fresh(grouped, "key")
+    group = F.struct(F.lit(0).alias("none"), *keys).alias(at)
+    out = grouped.select("*", group)
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        mine = {name: float(x) for name, (v, x) in wanted.items() if v == value}
+        found = exact_quantiles(rows, keys, value, sorted(set(mine.values())), rounds, cuts)
+        wide = found.groupBy(group).agg(*[F.max(F.when(F.col("level") == x, F.col("quantile"))).alias(name) for name, x in mine.items()])
+        out = out.join(wide, at, "left")
+    return out.drop(at)

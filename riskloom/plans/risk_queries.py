@@ -9,8 +9,10 @@ from riskloom.functions.columns import array_mean, expected_shortfall, inverse_c
 from riskloom.operators import evaluate as E
 from riskloom.operators import filters as G
 from riskloom.operators.reshape import matrix
+from riskloom.operators.selection import with_quantiles
 from riskloom.operators.risk import TAUS, historical_sets, pooled, priced, realised, var_es, weighted_var_es, window_of
 from riskloom.plans.base import KEYS, dated, forecasts, panel, returns, scores
+from riskloom.sources.io import stored
 from riskloom.plans.sql import BASE, K, WINDOWS, loss_sql, r6 as q6, risk_step, sql
 from riskloom.operators.books import BOOKS, REFERENCES, REPORTS, basis
 
@@ -187,8 +189,10 @@ def topk_support(spark, d):
 @query("support_summary", sql(f"SELECT book, report, {q6('max(high)')} AS maximum, {q6('quantile_cont(high, 0.99)')} AS p99, {q6('median(high / es)')} AS median_over_es FROM (SELECT t, book, report, x[len(x)] AS high FROM sets250) JOIN (SELECT * FROM risk250 WHERE tau = 0.95 AND es > 0) USING (t, book, report) GROUP BY ALL", "sets250", "risk250"))
 def support_summary(spark, d):
     x = historical_sets(returns(spark, d), BASE)
-    j = with_risk(x).where("es > 0").withColumn("high", F.element_at("x", -1))
-    return told(j.groupBy("book", "report").agg(F.max("high").alias("maximum"), F.percentile("high", 0.99).alias("p99"), F.percentile(F.col("high") / F.col("es"), 0.5).alias("median_over_es")))
+    j = with_risk(x).where("es > 0").select("book", "report", F.element_at("x", -1).alias("high"), (F.element_at("x", -1) / F.col("es")).alias("over"))
+    rows = stored(j, "support")
+    g = rows.groupBy("book", "report").agg(F.max("high").alias("maximum"))
+    return told(with_quantiles(g, rows, ["book", "report"], {"p99": ("high", 0.99), "median_over_es": ("over", 0.5)}))
 
 
 @query("reporting_effects", sql(f"SELECT book, count(*) AS n, {q6('avg(b)')} AS mean_base, {q6('avg(s)')} AS mean_s1, {q6('stddev_samp(b)')} AS sd_base, {q6('stddev_samp(s)')} AS sd_s1, {q6('avg(abs(s - b))')} AS mean_abs_difference, {q6('max(abs(s - b))')} AS max_abs_difference FROM (SELECT t, book, max(CASE WHEN report = 'base' THEN actual END) AS b, max(CASE WHEN report = 's1' THEN actual END) AS s FROM realised GROUP BY 1, 2) GROUP BY book", "realised"))
@@ -367,12 +371,14 @@ def radial(spark, d):
 
 @query("precision_draws", sql(f"SELECT book, report, {TAU}, count(*) AS n, {q6('max(c)')} AS max_change, {q6('median(c)')} AS median_change, count(*) FILTER (WHERE c > 0.05) AS above_5_percent FROM (SELECT l.book, l.report, l.tau, abs(h.es - l.es) / abs(h.es) AS c FROM grisk1024 l JOIN grisk h USING (t, book, report, tau) WHERE h.es <> 0) AS j GROUP BY book, report, j.tau", "grisk", "grisk1024", extra=gauss_sql(DRAWS) | gauss_sql(1024), recursive=True))
 def precision_draws(spark, d):
-    """Relative change of ES from the first quarter of the draws to all of them."""
-    r = returns(spark, d)
-    low, high = (var_es(G.gaussian_sets(r, n), KEYS).select(*KEYS, "tau", F.col("es").alias(name)) for n, name in ((DRAWS // 4, "low"), (DRAWS, "high")))
+    """Relative change of ES from the first quarter of the draws to all of them, both from one pricing of the paths."""
+    es = var_es(G.gaussian_prefixes(returns(spark, d), [DRAWS // 4, DRAWS]), [*KEYS, "draws"])
+    each = [F.max(F.when(F.col("draws") == n, F.col("es"))).alias(name) for n, name in ((DRAWS // 4, "low"), (DRAWS, "high"))]
     c = F.abs(F.col("high") - F.col("low")) / F.abs(F.col("high"))
-    j = low.join(high, [*KEYS, "tau"]).where("high <> 0").withColumn("c", c)
-    return told(j.groupBy("book", "report", "tau").agg(F.count("*").alias("n"), F.max("c").alias("max_change"), F.percentile("c", 0.5).alias("median_change"), F.sum((F.col("c") > 0.05).cast("int")).alias("above_5_percent")))
+    j = es.groupBy(*KEYS, "tau").agg(*each).where("high <> 0").select("book", "report", "tau", c.alias("c"))
+    rows, keys = stored(j, "changes"), ["book", "report", "tau"]
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("c").alias("max_change"), F.sum((F.col("c") > 0.05).cast("int")).alias("above_5_percent"))
+    return told(with_quantiles(g, rows, keys, {"median_change": ("c", 0.5)}))
 
 
 def nodes_sql(form: str) -> str:

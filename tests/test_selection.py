@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.parameters import persistence, spread, upper_triangle
-from riskloom.operators.selection import exact_quantiles
+from riskloom.operators.evaluate import summary
+from riskloom.operators.selection import exact_quantiles, with_quantiles
 
 LEVELS = (0.0, 0.025, 0.5, 0.9, 0.99, 1.0)
 
@@ -29,6 +30,22 @@ def test_exact_quantiles(spark, rounds, cuts):
     assert exact_quantiles(df.limit(0), ["rank"], "v", LEVELS, rounds, cuts).count() == 0
 
 
+def test_quantiles_beside_groups(spark):
+    """Columns of quantiles stand beside their groups, null keys and groups without values among them; summaries have the built-in median and no percentile in their plan."""
+    rng = np.random.default_rng(9)
+    rows = [(k, t, float(x), float(x) ** 2, int(x > 1), float(x), None if k == "none" else float(x)) for k in ("a", None, "none") for t, x in enumerate(rng.normal(0, 1, 301).round(2))]
+    df = spark.createDataFrame(rows, "key string, t long, v double, score double, hit int, var double, es double")
+    wanted = {"low": ("v", 0.1), "high": ("v", 0.9), "mid": ("es", 0.5)}
+    got = {r["key"]: r for r in with_quantiles(df.groupBy("key").agg(F.count("*").alias("n")), df, ["key"], wanted, cuts=8).collect()}
+    want = df.groupBy("key").agg(*[F.percentile(v, x).alias(n) for n, (v, x) in wanted.items()]).collect()
+    assert len(got) == len(want) == 3
+    for r in want:
+        assert all(got[r["key"]][n] == (None if r[n] is None else pytest.approx(r[n], rel=1e-12)) for n in wanted) and got[r["key"]].n == 301
+    told = summary(df, "key")
+    assert {(r["key"], r.n_dates, r.n_tasks, r.median_es) for r in told.collect()} == {(r["key"], 301, 301, r.mid) for r in want}
+    assert "percentile(" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_parameter_tables(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], [[1.0, 0.5, 0.2], [0.5, 1.0, 0.1], [0.2]]), (2, None, [[1.0, 2.0]]), (3, ["a"], None)], "i int, names array<string>, matrix array<array<double>>")
     got = sorted(((r.i, r.node_i, r.node_j, r.value) for r in upper_triangle(df, ["i"], "names", "matrix").collect()), key=repr)
