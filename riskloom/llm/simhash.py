@@ -16,7 +16,8 @@ forest of its links, never all pairs; star contraction joins the forests into
 components.
 
 Links by shingle sets take their patterns from MinHash sketches instead, a band
-of bytes each: pairs at the similarity share one with probability 0.998. Leaders
+of bytes each: pairs at the similarity share one with probability 0.998. Patterns
+with far more members than planned are cut by second patterns. Leaders
 below a pattern hold such pairs together, and the texts of the components this
 gives are compared by their exact shingle sets.
 """
@@ -308,13 +309,13 @@ def components(edges: DataFrame, hub_rows: int = 1024, most_hubs: int = 100_000)
         e = cut_lineage(kept.union(small.select("u", F.col("m").alias("v"))).distinct())
 
 
-def sketch_bands(similarity: float, missed: float = 0.002) -> tuple[int, int]:
-    """(bytes a band, bands) so that a pair of this similarity agrees on no band with probability missed at most."""
+def sketch_bands(similarity: float, missed: float = 0.002, size: int = SKETCH) -> tuple[int, int]:
+    """(bytes a band, bands) within ``size`` bytes so that a pair of this similarity agrees on no band with probability missed at most."""
     for width in range(5, 0, -1):
         bands = 1 if similarity >= 1 else int(np.ceil(np.log(missed) / np.log1p(-(similarity**width))))
-        if width * bands <= SKETCH:
+        if width * bands <= size:
             return width, bands
-    return 1, SKETCH
+    return 1, size
 
 
 class Bucket:
@@ -369,13 +370,34 @@ class Bucket:
         return out
 
 
-def loose_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between nodes (node, sketch) whose components hold together all pairs of the similarity that share a band."""
+def band_members(nodes: DataFrame, similarity: float, heavy_rows: int = HEAVY_ROWS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(key, node, sketch) of nodes (node, sketch) under the patterns they are compared in.
+
+    A pattern is a band of the sketch. Members of a pattern with more than heavy_rows
+    of them go under second patterns instead, bands of the bytes that follow the
+    first one around the sketch: a pair at the similarity misses all of those with
+    probability 0.0005, and only counts as missed if it shares no other band.
+    """
     width, bands = sketch_bands(similarity)
-    near = int(SKETCH * similarity - 4 * np.sqrt(SKETCH * similarity * (1 - similarity)))
     upper = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.expr(f"substring(sketch, {1 + k * width}, {width})").alias("bits")) for k in range(bands)]))
-    dealt = nodes.select("node", "sketch", upper.alias("upper")).select(F.xxhash64("upper.band", "upper.bits").alias("key"), "node", "sketch")
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    dealt = nodes.select("node", "sketch", upper.alias("upper")).select(F.xxhash64("upper.band", "upper.bits").alias("key"), F.col("upper.band").alias("band"), "node", "sketch")
+    heavy = cut_lineage(dealt.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > heavy_rows).select("key"))
+    many = heavy.count()
+    if not many:
+        return dealt.select("key", "node", "sketch")
+    held = F.broadcast(heavy) if many <= broadcast_rows else heavy  # 8 bytes each
+    inner, parts = sketch_bands(similarity, 0.0005, SKETCH - width)
+    turned = F.concat("sketch", "sketch")  # bytes after the last are the first
+    second = F.explode(F.array(*[F.struct(F.lit(j).alias("part"), F.substring(turned, (F.col("band") + 1) * width + (1 + j * inner), F.lit(inner)).alias("bits")) for j in range(parts)]))
+    cut = dealt.join(held, "key", "left_semi").select("key", "node", "sketch", second.alias("second"))
+    cut = cut.select(F.xxhash64("key", "second.part", "second.bits").alias("key"), "node", "sketch")
+    return dealt.join(held, "key", "left_anti").select("key", "node", "sketch").unionAll(cut)
+
+
+def loose_links(nodes: DataFrame, similarity: float, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Links (u, v) between nodes (node, sketch) whose components hold together all pairs of the similarity that share a pattern."""
+    near = int(SKETCH * similarity - 4 * np.sqrt(SKETCH * similarity * (1 - similarity)))
+    dealt = band_members(nodes, similarity, heavy_rows).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, bucket, held = None, None, None
@@ -473,30 +495,33 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: i
     """(doc_id, fp, component_id) of every row; fp is zero unless asked for.
 
     Equal shingle sets are one node. Upper nodes of the index are patterns of the
-    sketch, a band each, and give components that are too wide; the texts of
-    those meet, in pairs of blocks where there are many, and link by their exact
-    shingle sets.
+    sketch, a band each, and give components that are too wide; one text of each
+    node in those is read again, by id and digest, and they meet, in pairs of blocks
+    where there are many, and link by their exact shingle sets. So docs must be the same
+    when it is read twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, node, sketches = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(3):
                 text = x.as_py() or ""
                 shingles = shingle_set(text, shingle_words)
                 fp.append(fingerprint(text, shingle_words) if with_fingerprint else 0)
                 node.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
                 sketches.append(sketch_of(shingles).ljust(SKETCH, b"\0"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text", "fp", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "digest", "bytes", "fp", "node", "sketch"])
 
-    rows = cut_lineage(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, fp long, node long, sketch binary"))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch"), F.max(F.octet_length("text")).alias("bytes")))
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    rows = cut_lineage(texts.select("doc_id", "digest", F.octet_length("text").alias("bytes"), "text").mapInArrow(run, "doc_id long, digest long, bytes int, fp long, node long, sketch binary"))
+    named = F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id"))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), named.alias("digest"), F.min("sketch").alias("sketch"), F.max("bytes").alias("bytes")))
     wide = cut_lineage(components(loose_links(nodes, similarity)))
-    wide = cut_lineage(wide.union(wide.select("root", "root")).distinct().join(nodes.select("node", "low", "bytes"), "node"))
+    wide = cut_lineage(wide.union(wide.select("root", "root")).distinct().join(nodes.select("node", "low", "digest", "bytes"), "node"))
     sizes = wide.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).alias("blocks"))
-    met = wide.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)")).select(F.col("node").alias("met"), "low", "root", "blocks", "block")
-    texts = rows.select("doc_id", "node", "text").join(met, (F.col("node") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("low"))).dropDuplicates(["node"])
-    pairs = texts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = wide.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)")).select("node", "low", F.col("digest").alias("met"), "root", "blocks", "block")
+    found = texts.join(met, (F.col("digest") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("low"))).dropDuplicates(["node"])
+    pairs = found.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     pairs = pairs.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "text")
     edges = exact_links(pairs, shingle_words, similarity)
     return name_groups(rows.select("doc_id", "fp", "node"), nodes.select("node", "low"), edges).select("doc_id", "fp", "component_id")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
+from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, band_members, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, loose_links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
 from riskloom.llm.tokens import Encoder
 from riskloom.llm.topk import NONE, Boxes, KDTree, cells_of, cut_space, placed, planted, ranked, routed, searched, top_k
 from test_text_operators import BYTE, brute_kept, check_pieces
@@ -183,6 +183,36 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hot_bands_are_cut(spark):
+    """Patterns beyond the bound are cut by second patterns: no key keeps a template's rows, and pairs at the similarity stay together."""
+    rng = np.random.default_rng(21)
+    template = rng.integers(0, 256, SKETCH)
+    own = rng.integers(0, 256, (1500, SKETCH))
+    base = np.where(rng.random((1500, SKETCH)) < 0.7, template, own)  # bytes that come from a shared template
+    near = np.where(rng.random((1500, SKETCH)) < 0.82, base, rng.integers(0, 256, (1500, SKETCH)))
+    rows = np.concatenate([base, near]).astype(np.uint8)
+    nodes = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)] + [(3000, bytearray(SKETCH)), (3001, bytearray(SKETCH))], "node long, sketch binary")
+    most = [band_members(nodes, 0.8, heavy).groupBy("key").count().agg(F.max("count")).first()[0] for heavy in (10**6, 50)]
+    assert most[0] > 400 > 3 * most[1]
+    for heavy in (10**6, 50):
+        found = [(r.u, r.v) for r in loose_links(nodes, 0.8, heavy).collect()]
+        label = merge(np.arange(3002), *np.array(found, np.int64).reshape(-1, 2).T)
+        apart = [k for k in range(1500) if label[k] != label[k + 1500] and (rows[k] == rows[k + 1500]).sum() >= 103]
+        assert len(apart) <= 3 and label[3000] == label[3001]
+    assert loose_links(nodes.limit(0), 0.8, 50).count() == 0
+
+
+def test_texts_read_again_by_id_and_digest(spark):
+    """Null ids, ids that stand for several texts and repeated rows: each node's own text is compared."""
+    rng = random.Random(4)
+    words = [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(900)]
+    long, other, third = (" ".join(words[k : k + 300]) for k in (0, 300, 600))
+    rows = [(None, long), (None, long + " tail"), (None, other), (None, other + " tail"), (5, third), (5, "quite another text"), (5, third), (9, third + " tail"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.component_id) for r in similar_groups(docs, "doc_id", "text", 5, 0.8, False, block_rows=1).collect()), key=repr)
+    assert out == sorted([(None, None)] * 4 + [(5, 5)] * 3 + [(9, 5), (2, 2)], key=repr)
+
+
 def test_near_duplicates(spark, small):
     base = " ".join(f"w{k}" for k in range(400))
     rows = [(k, r.text, None) for k, r in enumerate(spark.read.parquet(f"{small}/documents.parquet").limit(60).collect())]
