@@ -148,8 +148,10 @@ def covariance_states(returns: DataFrame, decay: float, start: int) -> DataFrame
     return ewma_covariance(returns, decay, start).groupBy((F.col("t") + 1).alias("t")).agg(*known).where(F.col("t") > start)
 
 
-def root_of(row: dict) -> np.ndarray:
-    return np.linalg.cholesky(np.array([[row[f"c{min(i, j)}{max(i, j)}"] for j in range(1, 5)] for i in range(1, 5)]))
+def roots_of(group: pa.Table) -> np.ndarray:
+    """(rows, 4, 4): the Cholesky factors of all rows' covariances c11..c44 at once."""
+    entries = [[group[f"c{min(i, j)}{max(i, j)}"].to_numpy() for j in range(1, 5)] for i in range(1, 5)]
+    return np.linalg.cholesky(np.array(entries, float).transpose(2, 0, 1))
 
 
 def gaussian_sets(returns: DataFrame, draws: int = 4096, seed: int = 1, decay: float = 0.94, start: int = 20) -> DataFrame:
@@ -173,12 +175,11 @@ def path_sets(states: DataFrame, normals: Callable[[], np.ndarray], counts: Sequ
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         z, parts = normals(), []
-        for row in group.to_pylist():
-            root = root_of(row)
+        for t, root in zip(group["t"].to_pylist(), roots_of(group), strict=True):
             priced = task_losses_of(z[:, :4] @ root.T, z[:, 4:] @ root.T)
             for n in counts:
                 mine = [(book, report, np.sort(x[:n])) for book, report, x in priced]
-                parts.append(set_table([row["t"]] * len(mine), mine).append_column("draws", pa.array([n] * len(mine), pa.int64())))
+                parts.append(set_table([t] * len(mine), mine).append_column("draws", pa.array([n] * len(mine), pa.int64())))
         made = pa.concat_tables(parts) if parts else set_table([], []).append_column("draws", pa.array([], pa.int64()))
         return made.select(["t", "draws", "book", "report", "x"])
 
@@ -205,16 +206,15 @@ def radial_sets(returns: DataFrame, window: int = 250, draws: int = 4096, seed:
         z, u = polar(every[:, :8]), every[:, 8:]
         way = [x / np.sqrt((x * x).sum(axis=1))[:, None] for x in (z[:, :4], z[:, 4:])]
         at, days, sets = (u * window).astype(int), [], []
-        held = group.sort_by("t").to_pylist()
-        roots = [root_of(r) for r in held]
-        radius = np.array([np.sqrt((np.linalg.solve(root, [r[f"r{k}"] for k in range(1, 5)]) ** 2).sum()) for r, root in zip(held, roots, strict=True)])
-        for i in range(window - 1, len(held)):
-            if held[i]["t"] // SPAN != key[0].as_py() or not held[i]["asked"]:
-                continue
+        g = group.sort_by("t")
+        t, asked, roots = g["t"].to_numpy(), g["asked"].to_numpy(), roots_of(g)
+        steps = np.column_stack([g[f"r{k}"].to_numpy() for k in range(1, 5)])
+        radius = np.sqrt((np.linalg.solve(roots, steps[:, :, None]) ** 2).sum(axis=(1, 2)))
+        for i in np.flatnonzero((t // SPAN == key[0].as_py()) & asked & (np.arange(len(t)) >= window - 1)):
             own = radius[i - window + 1 : i + 1]
             own = own / np.sqrt((own * own).mean() / 4)
             mine = task_sets(*((way[k] * own[at[:, k], None]) @ roots[i].T for k in (0, 1)))
-            days += [held[i]["t"]] * len(mine)
+            days += [int(t[i])] * len(mine)
             sets += mine
         return set_table(days, sets)
 
