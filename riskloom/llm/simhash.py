@@ -15,17 +15,21 @@ dropped by the same rule before their members are sent. A node yields a spanning
 forest of its links, never all pairs; star contraction joins the forests into
 components.
 
-Links by shingle sets take their patterns from MinHash sketches instead, a band
-of bytes each: pairs at the similarity share one with probability 0.998. Patterns
-with far more members than planned are cut by second patterns. Leaders
-below a pattern hold such pairs together, and the texts of the components this
-gives are compared by their exact shingle sets.
+Links by shingle sets go the same way with longer fingerprints, of 256 bits and
+more, over the distinct shingles: sets of a similarity s have fingerprints that
+differ in a share arccos(2s / (1 + s)) / pi of the bits. max_bits lies above that
+share by as much as chance needs, and the masked patterns are spread over all
+bits, as many as make pairs at the similarity agree on one (no blocks would be free of that
+many differences). The texts of the components that the index gives are then compared by their exact
+shingle sets. (MinHash bands and leaders, ``loose_links``, are another index for
+such pairs; no query uses it.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, fresh, id_and_text, map_texts, place_among
 
 LEAF, FANOUT, CHUNK = 2, 8, 1 << 14
+#: The same for fingerprints of several words, whose members are compared in blocks, and members of an upper node on average.
+WIDE_LEAF, WIDE_ROWS = 16, 512
 #: Fingerprints an upper node holds on average, rows beyond which it is cut into parts, and rows of a part.
 NODE_ROWS, HEAVY_ROWS, PART_ROWS = 2048, 1 << 16, 1 << 14
 #: Hash functions of a sketch, and their odd factors and addends.
@@ -88,6 +94,18 @@ def sketch(text: str, shingle_words: int, size: int = SKETCH) -> bytes:
     return sketch_of(shingle_set(text, shingle_words), size)
 
 
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of shingle hashes in ``words`` 64-bit words; zero for an empty set."""
+    steps, ones = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(64 * words, np.int64)
+    for at in range(0, len(shingles), 255):  # counts of 255 fit a byte
+        h = shingles[at : at + 255, None] + steps
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """(doc_id, fp) of each row; null and empty texts have fingerprint zero."""
     return map_texts(id_and_text(docs, id_col, text_col), lambda t: (fingerprint(t, shingle_words),), "fp long", [pa.int64()])
@@ -101,6 +119,15 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Order of codes (words, members) in the reflected Gray sequence, first word highest."""
+    ranks, odd = [], np.uint64(0)
+    for word in codes:
+        ranks.append(gray_rank(word) ^ odd)
+        odd = np.uint64(0) - (ranks[-1] & np.uint64(1))
+    return np.lexsort(ranks[::-1])
+
+
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lowers labels until both ends of every link carry the same one."""
     while len(a):
@@ -119,48 +146,52 @@ class GrayIndex:
     """Levels of nodes over distinct codes in Gray order; each node holds its first and last member, the mask of bits that all members share, and their pattern.
 
     pruned and compared count the pairs of nodes that accumulated differences
-    drop, and the pairs of codes that are compared in the end.
+    drop, and the pairs of codes that are compared in the end. Codes of several
+    words come as (words, members).
     """
 
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes, self.pruned, self.compared = codes[self.order], 0, 0
-        n = len(codes)
-        edges = np.arange(0, n, LEAF)
-        low, high = np.bitwise_and.reduceat(self.codes, edges), np.bitwise_or.reduceat(self.codes, edges)
+        codes = np.atleast_2d(codes)
+        self.leaf = LEAF if len(codes) == 1 else WIDE_LEAF
+        self.order = gray_order(codes)
+        self.codes, self.pruned, self.compared = codes[:, self.order], 0, 0
+        n = codes.shape[1]
+        edges = np.arange(0, n, self.leaf)
+        low, high = np.bitwise_and.reduceat(self.codes, edges, axis=1), np.bitwise_or.reduceat(self.codes, edges, axis=1)
         self.levels = []
         while True:
             self.levels.append((~(low ^ high), low, edges, np.append(edges[1:], n)))
             if len(edges) == 1:
                 break
             up = np.arange(0, len(edges), FANOUT)
-            low, high, edges = np.bitwise_and.reduceat(low, up), np.bitwise_or.reduceat(high, up), edges[up]
+            low, high, edges = np.bitwise_and.reduceat(low, up, axis=1), np.bitwise_or.reduceat(high, up, axis=1), edges[up]
 
     def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Links (member, a member of its component) that span the components, as places in the codes given."""
-        n = len(self.codes)
+        n = self.codes.shape[1]
         label, stack = np.arange(n), [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
-            if len(i) > CHUNK:
-                stack += [(level, i[k : k + CHUNK], j[k : k + CHUNK]) for k in range(0, len(i), CHUNK)]
+            chunk = CHUNK if level else CHUNK * LEAF**2 // self.leaf**2
+            if len(i) > chunk:
+                stack += [(level, i[k : k + chunk], j[k : k + chunk]) for k in range(0, len(i), chunk)]
                 continue
             mask, pattern, first, last = self.levels[level]
-            shared = mask[i] & mask[j]
-            least = np.bitwise_count((pattern[i] ^ pattern[j]) & shared)
+            shared = mask[:, i] & mask[:, j]
+            least = np.bitwise_count((pattern[:, i] ^ pattern[:, j]) & shared).sum(axis=0, dtype=np.int64)
             near = least <= max_bits
             self.pruned += len(i) - int(near.sum())
             # Two nodes that one component holds already have nothing to add.
             low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
             near &= ~((low[i] == high[i]) & (low[i] == low[j]) & (low[j] == high[j]))
-            i, j, least, shared = i[near], j[near], least[near], shared[near]
-            whole = least + np.bitwise_count(~shared) <= max_bits
+            i, j, least, shared = i[near], j[near], least[near], shared[:, near]
+            whole = least + np.bitwise_count(~shared).sum(axis=0, dtype=np.int64) <= max_bits
             for a, b in zip(i[whole], j[whole], strict=True):  # every member links with every other
                 members = np.concatenate([np.arange(first[a], last[a]), np.arange(first[b], last[b])])
                 label = merge(label, members, np.full(len(members), members[0]))
             i, j = i[~whole], j[~whole]
             if level:
-                count = len(self.levels[level - 1][0])
+                count = len(self.levels[level - 1][2])
                 steps = np.arange(FANOUT)
                 a = (i[:, None, None] * FANOUT + steps[None, :, None]).repeat(FANOUT, axis=2).ravel()
                 b = (j[:, None, None] * FANOUT + steps[None, None, :]).repeat(FANOUT, axis=1).ravel()
@@ -168,13 +199,17 @@ class GrayIndex:
                 if ok.any():
                     stack.append((level - 1, a[ok], b[ok]))
             elif len(i):
-                steps = np.arange(LEAF)
+                steps = np.arange(self.leaf)
                 x, y = (np.minimum(first[k][:, None] + steps, n - 1) for k in (i, j))
-                near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= max_bits
-                near &= label[x][:, :, None] != label[y][:, None, :]
+                differ = np.bitwise_count(self.codes[0][x][:, :, None] ^ self.codes[0][y][:, None, :])
+                for k, word in enumerate(self.codes[1:]):
+                    differ = np.add(differ, np.bitwise_count(word[x][:, :, None] ^ word[y][:, None, :]), dtype=np.uint8 if k < 2 else np.uint16)
+                near = differ <= max_bits
                 self.compared += near.size
-                p, q, r = np.nonzero(near)
-                label = merge(label, x[p, q], y[p, r])
+                if near.any():
+                    near &= label[x][:, :, None] != label[y][:, None, :]
+                    p, q, r = np.nonzero(near)
+                    label = merge(label, x[p, q], y[p, r])
         roots = np.flatnonzero(label != np.arange(n))
         return self.order[roots], self.order[label[roots]]
 
@@ -202,6 +237,49 @@ def upper_masks(distinct: int, max_bits: int, blocks: int | None = None, node_ro
     return block_masks(max_bits, blocks, bits)
 
 
+def set_disagreement(similarity: float) -> float:
+    """Probability, at most, that a bit of SimHash differs between two sets of this Jaccard similarity.
+
+    arccos(cosine) / pi for large sets of one size, whose cosine is the least;
+    sets of up to 12 common members are counted out, as their ties make it larger.
+    """
+    most = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    odds = lambda n: np.array([comb(n, k) for k in range(n + 1)]) / 2**n
+    for both in range(1, 13):
+        for own in range(1, int(both / similarity - both + 1e-9) + 1):
+            for a in range(own // 2 + 1):
+                ones = np.arange(both + 1)[:, None, None], np.arange(a + 1)[:, None], np.arange(own - a + 1)
+                p = odds(both)[:, None, None] * odds(a)[:, None] * odds(own - a)
+                most = max(most, float(p[(2 * (ones[0] + ones[1]) > both + a) != (2 * (ones[0] + ones[2]) > both + own - a)].sum()))
+    return most
+
+
+def set_radius(similarity: float, missed: float = 0.0005) -> tuple[int, int]:
+    """(words, bits): as few 64-bit words, 4 at least, as keep chance neighbours out, and the differing bits that a pair of this similarity exceeds with probability missed at most."""
+    p = set_disagreement(similarity)
+    for words in range(4, 17):
+        n, below, bits = 64 * words, (1 - p) ** (64 * words), 0
+        while below < 1 - missed:
+            bits += 1
+            below += comb(n, bits) * p**bits * (1 - p) ** (n - bits)
+        if bits <= n / 2 - 6 * np.sqrt(n) / 2:
+            break
+    return words, bits
+
+
+def spread_masks(distinct: int, similarity: float, words: int, node_rows: int = WIDE_ROWS, missed: float = 0.0005) -> list[int]:
+    """Masked patterns over all bits of long fingerprints, as many as a pair of this similarity disagrees on with probability missed at most; of just as many bits as leave about node_rows members in a node."""
+    bits = max(0, int(np.ceil(np.log2(max(1, distinct) / node_rows))))
+    agreed = (1 - set_disagreement(similarity)) ** bits
+    if agreed >= 1:
+        return [0]
+    rng, out, n = np.random.default_rng(20240229), [], 64 * words
+    while len(out) < int(np.ceil(np.log(missed) / np.log1p(-agreed))):
+        order = rng.permutation(n)  # masks of one permutation have no bit in common
+        out += [sum(1 << int(b) for b in order[k : k + bits]) for k in range(0, n - bits + 1, bits)]
+    return out[: int(np.ceil(np.log(missed) / np.log1p(-agreed)))]
+
+
 def gray_rank_column(code: Column) -> Column:
     """gray_rank() as a column, below zero for the upper half of the sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -209,40 +287,59 @@ def gray_rank_column(code: Column) -> Column:
     return code
 
 
+def code_words(nodes: DataFrame) -> list[str]:
+    """The columns that hold a fingerprint's words, highest first: all but the node's."""
+    return [c for c in nodes.columns if c not in ("block", "bits", "node")]
+
+
 def parted(dealt: DataFrame, heavy: DataFrame, max_bits: int, part_rows: int) -> DataFrame:
-    """(key, fp, node) of the members of heavy upper nodes, under every pair of parts that can hold a link.
+    """(key, words, node) of the members of heavy upper nodes, under every pair of parts that can hold a link.
 
     A heavy node is cut into parts of about part_rows members by quantiles of the
-    Gray rank. A part keeps the mask of bits all its members share, and their
-    pattern; pairs of parts whose patterns differ in more than max_bits shared
-    bits are dropped before any member is sent.
+    Gray rank, of the first word where there are several; a part whose first words
+    are too much alike for that is cut by a hash. A part keeps the mask of bits all
+    its members share, and their pattern; pairs of parts whose patterns differ in
+    more than max_bits shared bits are dropped before any member is sent.
     """
-    rank, out = gray_rank_column(F.col("fp")), None
+    words, out = code_words(dealt), None
+    rank = gray_rank_column(F.col(words[0]))
     sized = heavy.withColumn("parts", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("rows") / part_rows))).cast("int"))
     for (parts,) in sized.select("parts").distinct().collect():  # powers of two, so a few dozen at most
         own = dealt.join(F.broadcast(sized.where(F.col("parts") == parts).select("block", "bits")), ["block", "bits"])
         cuts = own.groupBy("block", "bits").agg(F.percentile_approx(rank, [k / parts for k in range(1, parts)] or [1.0], max(10_000, 20 * parts)).alias("cuts"))
-        placed = cut_lineage(own.join(F.broadcast(cuts), ["block", "bits"]).select("block", "bits", place_among("cuts", rank, parts).alias("part"), "fp", "node"))
-        nodes = placed.groupBy("block", "bits", "part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
-        one, other = (nodes.select("block", "bits", F.col("part").alias(p), F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias(f"{p}_mask"), F.col("all").alias(f"{p}_bits")) for p in ("low", "high"))
-        differ = F.bit_count(F.col("low_bits").bitwiseXOR(F.col("high_bits")).bitwiseAND(F.col("low_mask")).bitwiseAND(F.col("high_mask")))
+        placed = cut_lineage(own.join(F.broadcast(cuts), ["block", "bits"]).select("block", "bits", place_among("cuts", rank, parts).cast("long").alias("part"), *words, "node"))
+        if len(words) > 1:
+            tall = placed.groupBy("block", "bits", "part").agg(F.ceil(F.count("*") / part_rows).alias("pieces")).where("pieces > 2")
+            piece = F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(0)) * parts + F.col("part")
+            placed = cut_lineage(placed.join(F.broadcast(tall), ["block", "bits", "part"], "left").select("block", "bits", piece.alias("part"), *words, "node"))
+        nodes = placed.groupBy("block", "bits", "part").agg(*[f(w).alias(f"{name}_{w}") for w in words for name, f in (("all", F.bit_and), ("any", F.bit_or))])
+        sides = {p: [x for w in words for x in (F.bitwise_not(F.col(f"all_{w}").bitwiseXOR(F.col(f"any_{w}"))).alias(f"{p}_mask_{w}"), F.col(f"all_{w}").alias(f"{p}_bits_{w}"))] for p in ("low", "high")}
+        one, other = (nodes.select("block", "bits", F.col("part").alias(p), *sides[p]) for p in ("low", "high"))
+        differ = sum((F.bit_count(F.col(f"low_bits_{w}").bitwiseXOR(F.col(f"high_bits_{w}")).bitwiseAND(F.col(f"low_mask_{w}")).bitwiseAND(F.col(f"high_mask_{w}"))) for w in words), F.lit(0))
         pairs = one.join(other, ["block", "bits"]).where((F.col("low") <= F.col("high")) & (differ <= max_bits)).select("block", "bits", "low", "high")
         meets = pairs.withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
-        sent = placed.join(meets, ["block", "bits", "part"]).select(F.xxhash64("block", "bits", "low", "high").alias("key"), "fp", "node")
+        sent = placed.join(meets, ["block", "bits", "part"]).select(F.xxhash64("block", "bits", "low", "high").alias("key"), *words, "node")
         out = sent if out is None else out.unionAll(sent)
     return out
 
 
+def masked(mask: int, words: list[str]) -> Column:
+    """The bits that a mask keeps of a fingerprint; a hash of them where there are several words."""
+    kept = [(w, m - (1 << 64) if m >> 63 else m) for k, w in enumerate(words) if (m := mask >> 64 * k & ((1 << 64) - 1)) or len(words) == 1]
+    cut = [F.col(w).bitwiseAND(F.lit(m)) for w, m in kept]
+    return cut[0] if len(words) == 1 else F.xxhash64(*cut) if cut else F.lit(0).cast("long")
+
+
 def links(nodes: DataFrame, max_bits: int, masks: list[int], heavy_rows: int = HEAVY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Spanning links (u, v) between nodes (node, fp) of distinct fingerprints."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
-    dealt = nodes.select("fp", "node", upper.alias("upper")).select("upper.block", "upper.bits", "fp", "node")
+    """Spanning links (u, v) between nodes (node, fp) of distinct fingerprints; all columns but node are words of the fingerprint."""
+    words = code_words(nodes)
+    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), masked(m, words).alias("bits")) for k, m in enumerate(masks)]))
+    dealt = nodes.select(*words, "node", upper.alias("upper")).select("upper.block", "upper.bits", *words, "node")
     heavy = cut_lineage(dealt.groupBy("block", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > heavy_rows))
     light = dealt
     if heavy.take(1):  # at most len(masks) * rows / heavy_rows of them
         light = dealt.join(F.broadcast(heavy), ["block", "bits"], "left_anti")
-    keyed = light.select(F.xxhash64("block", "bits").alias("key"), "fp", "node")
+    keyed = light.select(F.xxhash64("block", "bits").alias("key"), *words, "node")
     if heavy.take(1):
         keyed = keyed.unionAll(parted(dealt, heavy, max_bits, part_rows))
     keyed = keyed.repartition("key").sortWithinPartitions("key")
@@ -251,20 +348,21 @@ def links(nodes: DataFrame, max_bits: int, masks: list[int], heavy_rows: int = H
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            key, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, *fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            fp = np.stack(fp).view(np.uint64)
             held.clear()
             new = np.flatnonzero(key[1:] != key[:-1]) + 1
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for a, b in zip(np.append(0, new), np.append(new, len(fp)), strict=True):
+            for a, b in zip(np.append(0, new), np.append(new, len(key)), strict=True):
                 if b - a > 1:
-                    found.append(tuple(node[a:b][x] for x in GrayIndex(fp[a:b].view(np.uint64)).forest(max_bits)))
+                    found.append(tuple(node[a:b][x] for x in GrayIndex(fp[:, a:b]).forest(max_bits)))
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(k).to_numpy() for k in range(3)]
+            rows = [column.to_numpy() for column in batch.columns]
             # Rows after the last change of key stay for the next batch.
             change = np.flatnonzero(rows[0] != rows[0][-1])
             cut = change[-1] + 1 if len(change) else 0
@@ -491,32 +589,34 @@ def name_groups(rows: DataFrame, nodes: DataFrame, edges: DataFrame, broadcast_r
     return rows.join(named, "node")
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, with_fingerprint: bool, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, with_fingerprint: bool, block_rows: int = 1024, block_bytes: int = 1 << 23, node_rows: int = WIDE_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; fp is zero unless asked for.
 
-    Equal shingle sets are one node. Upper nodes of the index are patterns of the
-    sketch, a band each, and give components that are too wide; one text of each
-    node in those is read again, by id and digest, and they meet, in pairs of blocks
+    Equal shingle sets are one node. The index over their long fingerprints
+    gives components that are too wide; one text of each node in those is read again, by id and digest, and they meet, in pairs of blocks
     where there are many, and link by their exact shingle sets. So docs must be the same
     when it is read twice.
     """
 
+    words, max_bits = set_radius(similarity)
+    names = [f"word{k}" for k in range(words)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, sketches = [], [], []
-            for x in batch.column(3):
+            fp, node, codes = [], [], np.zeros((words, batch.num_rows), np.uint64)
+            for k, x in enumerate(batch.column(3)):
                 text = x.as_py() or ""
                 shingles = shingle_set(text, shingle_words)
                 fp.append(fingerprint(text, shingle_words) if with_fingerprint else 0)
                 node.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
-                sketches.append(sketch_of(shingles).ljust(SKETCH, b"\0"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "digest", "bytes", "fp", "node", "sketch"])
+                codes[:, k] = wide_fingerprint(shingles, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64()), pa.array(node, pa.int64()), *map(pa.array, codes.view(np.int64))], names=["doc_id", "digest", "bytes", "fp", "node", *names])
 
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    rows = cut_lineage(texts.select("doc_id", "digest", F.octet_length("text").alias("bytes"), "text").mapInArrow(run, "doc_id long, digest long, bytes int, fp long, node long, sketch binary"))
+    rows = cut_lineage(texts.select("doc_id", "digest", F.octet_length("text").alias("bytes"), "text").mapInArrow(run, "doc_id long, digest long, bytes int, fp long, node long, " + ", ".join(f"{w} long" for w in names)))
     named = F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id"))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), named.alias("digest"), F.min("sketch").alias("sketch"), F.max("bytes").alias("bytes")))
-    wide = cut_lineage(components(loose_links(nodes, similarity)))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), named.alias("digest"), F.max("bytes").alias("bytes"), *[F.min(w).alias(w) for w in names]))
+    wide = cut_lineage(components(links(nodes.select("node", *names), max_bits, spread_masks(nodes.count(), similarity, words, node_rows))))
     wide = cut_lineage(wide.union(wide.select("root", "root")).distinct().join(nodes.select("node", "low", "digest", "bytes"), "node"))
     sizes = wide.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).alias("blocks"))
     met = wide.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)")).select("node", "low", F.col("digest").alias("met"), "root", "blocks", "block")
@@ -542,7 +642,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if similarity is None:
         fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words).withColumn("node", F.col("fp")))
         nodes = cut_lineage(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("low")))
-        groups = name_groups(fps, nodes.select("node", "low"), links(nodes, max_bits, upper_masks(nodes.count(), max_bits, blocks)))
+        groups = name_groups(fps, nodes.select("node", "low"), links(nodes.select("node", "fp"), max_bits, upper_masks(nodes.count(), max_bits, blocks)))
     else:
         groups = similar_groups(docs, id_col, text_col, shingle_words, similarity, with_fingerprint=True)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

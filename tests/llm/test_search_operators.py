@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from riskloom.llm import simhash
 from riskloom.llm.simhash import SKETCH, Bucket, GrayIndex, band_members, block_masks, components, drop_near_duplicates, fingerprint, gray_rank, gray_rank_column, links, loose_links, merge, name_groups, near_duplicate_groups, set_forest, similar_groups, sketch, upper_masks
 from riskloom.llm.tokens import Encoder
 from riskloom.llm.topk import NONE, Boxes, KDTree, cells_of, cut_space, placed, planted, ranked, routed, searched, top_k
@@ -142,6 +144,82 @@ def test_similar_pairs_beyond_eight_bits(spark, small):
     assert {r.doc_id: r.component_id for r in blocks} == out
 
 
+def test_long_fingerprints():
+    """Bits of several words: a majority of the hashes each; the index in Gray order gives the components of every pair within the radius."""
+    rng = np.random.default_rng(31)
+    for n in (0, 1, 2, 255, 256, 700):
+        bits = np.zeros(256, int)
+        shingles = rng.integers(0, 1 << 63, n, np.uint64)
+        for h in shingles.tolist():
+            for k in range(4):
+                x = (h + (k + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+                bits[64 * k : 64 * k + 64] += [(x ^ x >> 31) >> b & 1 for b in range(64)]
+        got = simhash.wide_fingerprint(shingles, 4)
+        assert [int(got[b // 64]) >> b % 64 & 1 for b in range(256)] == (2 * bits > n).astype(int).tolist()
+    hearts = rng.integers(0, 1 << 63, (4, 12), np.uint64)
+    near = hearts[:, rng.integers(0, 12, 600)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (9, 4, 600), np.uint64), axis=0)
+    codes = np.concatenate([near, rng.integers(0, 1 << 63, (4, 300), np.uint64)], axis=1)
+    ranks = []
+    for code in codes.T:
+        ones = accumulate(int(b) for w in code for b in f"{int(w):064b}")
+        ranks.append(int("".join(str(n % 2) for n in ones), 2))
+    assert [ranks[k] for k in simhash.gray_order(codes)] == sorted(ranks)
+    differ = np.bitwise_count(codes[:, :, None] ^ codes[:, None]).sum(axis=0, dtype=int)
+    for radius in (40, 69, 90):
+        index = GrayIndex(codes)
+        u, v = index.forest(radius)
+        assert (merge(np.arange(900), u, v) == merge(np.arange(900), *np.nonzero(differ <= radius))).all()
+    assert (differ <= 69).sum() > 20_000 and index.compared < 900**2
+
+
+def test_radius_and_masks_of_sets():
+    """Pairs at the similarity lie within the radius and agree on a masked pattern; the smallest sets, whose ties cost bits, as well."""
+    rng = np.random.default_rng(5)
+    words, radius = simhash.set_radius(0.8)
+    masks = np.array([[m >> 64 * k & (1 << 64) - 1 for k in range(words)] for m in simhash.spread_masks(200_000, 0.8, words)], np.uint64)
+    assert words == 4 and (np.bitwise_count(masks).sum(axis=1) == 9).all() and len({tuple(m) for m in masks.tolist()}) == len(masks)
+    for both, own in ((4, (0, 1)), (5, (0, 1)), (8, (1, 1)), (32, (4, 4)), (200, (0, 50)), (200, (25, 25))):
+        far = apart = 0
+        for _ in range(400):
+            x = rng.integers(0, 1 << 63, both + sum(own), np.uint64)
+            d = simhash.wide_fingerprint(x[: both + own[0]], words) ^ simhash.wide_fingerprint(np.append(x[:both], x[both + own[0] :]), words)
+            far += int(np.bitwise_count(d).sum()) > radius
+            apart += bool((d & masks).any(axis=1).all())
+        assert far <= 3 and apart <= 3
+    assert simhash.set_radius(1.0)[1] == 0 and simhash.spread_masks(10**6, 1.0, 4) == simhash.spread_masks(100, 0.8, 4) == [0]
+
+
+def test_similar_sets_go_through_the_index(spark, monkeypatch):
+    """Texts at a similarity of just 0.8 meet by SimHash, masked patterns and the Gray-order index, in small nodes and cut ones too, and none is missed."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(1500):  # 36 shingles each, 32 in common
+        base = [f"w{rng.randrange(10**6)}" for _ in range(44)]
+        texts += [" ".join(base[:40]), " ".join(base[:36] + base[40:])]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), []
+    real = simhash.links
+
+    def recorded(nodes, max_bits, masks, *bounds):
+        asked.append((nodes.columns, max_bits, len(masks)))
+        return real(nodes, max_bits, masks, *bounds)
+
+    monkeypatch.setattr(simhash, "links", recorded)
+    monkeypatch.setattr(simhash, "loose_links", None)
+    for node_rows in (simhash.WIDE_ROWS, 8):
+        out = {r.doc_id: r.component_id for r in similar_groups(docs, "doc_id", "text", 5, 0.8, False, node_rows=node_rows).collect()}
+        assert all(out[k] == k - k % 2 for k in range(3000))
+    assert [(c[1:], b) for c, b, _ in asked] == [([f"word{k}" for k in range(4)], 69)] * 2 and 1 < asked[0][2] < asked[1][2]
+    alike = np.random.default_rng(2).integers(0, 1 << 63, (4, 700), np.uint64)
+    alike[0, :400] = alike[0, 0]  # no cut by the first word parts these
+    alike[1:, 1:80] = alike[1:, :1] ^ (np.uint64(1) << np.arange(79, dtype=np.uint64) % np.uint64(64))
+    nodes = spark.createDataFrame([(k, *c) for k, c in enumerate(alike.view(np.int64).T.tolist())], "node long, word0 long, word1 long, word2 long, word3 long")
+    differ = np.bitwise_count(alike[:, :, None] ^ alike[:, None]).sum(axis=0, dtype=int)
+    found = [(r.u, r.v) for r in real(nodes, 69, [0, 0xFF], 100, 50).collect()]
+    assert (merge(np.arange(700), *np.array(found, np.int64).reshape(-1, 2).T) == merge(np.arange(700), *np.nonzero(differ <= 69))).all()
+
+
 def test_bucket_and_sets():
     """Leaders hold together every pair near enough, in whatever batches it comes; set forests are the exact components."""
     rng = np.random.default_rng(9)
